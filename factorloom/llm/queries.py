@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factorloom.llm.common import crc_mod
+from factorloom.llm.langid import fit_languages, language_ids
+from factorloom.llm.quality import fit_quality, quality_scores
 from factorloom.llm.token_counts import token_counts
 
 
@@ -19,6 +23,27 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_counts": op1_token_counts}
+def learnt_from(column: str) -> Column:
+    """Ids whose quality labels may be learnt from."""
+    return crc_mod(column, 3) != 1
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit_quality(documents, table(spark, sf_dir, "labels"), learnt_from)
+    return quality_scores(documents, model).select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    languages = fit_languages(documents, crc_mod("doc_id", 5) != 0)
+    return language_ids(documents, languages).select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "proportions")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_quality": op2_quality,
+    "op3_langid": op3_langid,
+}
 
 ORACLES: dict[str, str] = {}
