@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from factorloom.llm.common import crc_mod
 from factorloom.llm.langid import fit_languages, language_ids
+from factorloom.llm.mixing import mix_sources
 from factorloom.llm.quality import fit_quality, quality_scores
+from factorloom.llm.sharding import shard_documents
 from factorloom.llm.token_counts import token_counts
 
 
@@ -40,10 +42,20 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(documents, languages).select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "proportions")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_langid": op3_langid,
+    "op4_sharding": op4_sharding,
+    "op7_mixing": op7_mixing,
 }
 
 ORACLES: dict[str, str] = {}
