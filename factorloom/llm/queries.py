@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.llm.chat import CHAT_SQL, rotate_perspectives
 from factorloom.llm.common import crc_mod
+from factorloom.llm.decontamination import DECONTAMINATION_SQL, decontaminate
+from factorloom.llm.fingerprints import fingerprint_documents
 from factorloom.llm.langid import fit_languages, language_ids
 from factorloom.llm.mixing import mix_sources
 from factorloom.llm.quality import fit_quality, quality_scores
@@ -50,12 +53,27 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_langid": op3_langid,
     "op4_sharding": op4_sharding,
+    "op5_fingerprints": op5_fingerprints,
     "op7_mixing": op7_mixing,
+    "op9_decontamination": op9_decontamination,
+    "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_decontamination": DECONTAMINATION_SQL, "op10_chat": CHAT_SQL}
