@@ -15,6 +15,7 @@ from factorloom.llm.langid import fit_languages, language_ids
 from factorloom.llm.mixing import mix_sources
 from factorloom.llm.quality import fit_quality, quality_scores
 from factorloom.llm.sharding import shard_documents
+from factorloom.llm.simhash import simhash_groups
 from factorloom.llm.token_counts import token_counts
 
 
@@ -57,6 +58,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op4_sharding": op4_sharding,
     "op5_fingerprints": op5_fingerprints,
+    "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
