@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: rows that one bucket of a two-level running total holds on average
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def schema_with(df: DataFrame, keep: tuple[str, ...], more: str) -> StructType:
+    """The fields ``keep`` of a table, then those of a DDL string."""
+    return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(more)])
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the memory of Arrow batches that hold whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -59,6 +65,11 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
 
 
+def row_key(row_id: Column, text: Column) -> Column:
+    """What stands for a row: its id and a hash of its text."""
+    return F.concat_ws("|", F.coalesce(row_id.cast("string"), F.lit("null")), F.hex(F.xxhash64(F.coalesce(text, F.lit("")))))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``links`` (a, b long): (node, component) with the smallest node as component.
 

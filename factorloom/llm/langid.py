@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import small_batches
+from factorloom.llm.common import schema_with, small_batches
 from factorloom.llm.features import ngram_counts
 
 BITS = 12
@@ -111,6 +111,5 @@ def language_ids(df: DataFrame, languages: dict[str, np.ndarray], text_col: str
                     parts[i] = [(names[x], float(row[x])) for x in np.flatnonzero(row > 0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(parts, pa.map_(pa.string(), pa.float64()))], names=[*batch.schema.names[:-1], "lang_pred", "score", "proportions"])
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, proportions map<string,double>"])
+    schema = schema_with(df, keep, "lang_pred string, score double, proportions map<string,double>")
     return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(predict, schema)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import buckets_for, materialise, running_total
+from factorloom.llm.common import buckets_for, materialise, row_key, running_total
 
 GOLDEN = 0.6180339887498949
 SLOTS_PER_BUCKET = 4_096
@@ -50,8 +50,8 @@ def target_words(sizes: DataFrame, weights: tuple[float, ...], share: float, mos
     return w.select("source", "source_size", F.coalesce(F.least("bound", F.col("level") * F.col("weight")), F.col("bound")).alias("target"))
 
 
-def mix_sources(df: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block_words: int = 2_048, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, first_slot (null if nothing is taken), source, and ``keep``, for every row.
+def mix_sources(df: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block_words: int = 2_048, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot (null if nothing is taken), source, and row_key, for every row.
 
     A document's words that the mix takes are counted with repeats: ``taken`` is at most ``most`` times
     its size, and the sum over a source is its target rounded down. Null texts and texts without words
@@ -60,7 +60,8 @@ def mix_sources(df: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), sha
     Targets and cumulative weights are one row per source, sorted in one small window.
     """
     spark = df.sparkSession
-    base = materialise(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), *[F.col(c).alias(f"_keep_{c}") for c in keep]))
+    base = materialise(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_key(F.col(id_col), F.col(text_col)).alias("row_key")))
+    base = base.withColumn("h", F.xxhash64(F.lit(seed), "row_key"))
     # the null source needs a key that joins
     base = base.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     sizes = base.groupBy("s", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -92,7 +93,7 @@ def mix_sources(df: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), sha
     schedule = ranked.select("s", "r", "slot").unionByName(late.select("s", "r", "slot"))
 
     # blocks: pieces of each pass over a source's shuffled documents
-    laid = running_total(base.where("size > 0"), ["s"], ["h", "doc_id"], "size", "lo", buckets_for(rows_n))
+    laid = running_total(base.where("size > 0"), ["s"], ["h", "row_key"], "size", "lo", buckets_for(rows_n))
     laid = materialise(laid.join(targets.select("s", "source_size", "target"), "s"))
     passes = laid.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-int(most * 1000) // 1000) - 1)))))
     begin = F.col("lo") + F.col("pass") * F.col("source_size")
@@ -101,7 +102,19 @@ def mix_sources(df: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), sha
     words = F.least("end", (F.col("r") + 1) * block_words) - F.greatest("begin", F.col("r") * block_words)
     taken = pieces.select("s", "lo", "r", words.alias("words")).join(schedule, ["s", "r"]).groupBy("s", "lo").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     out = laid.join(taken, ["s", "lo"], "left")
-    kept = [F.col(f"_keep_{c}").alias(c) for c in keep]
-    columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("first_slot").cast("long").alias("first_slot"), *([] if "source" in keep else ["source"]), *kept]
+    columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("first_slot").cast("long").alias("first_slot"), "source", "row_key"]
     bare = base.where("size = 0").join(targets.select("s", "source_size", "target"), "s").withColumn("taken", F.lit(0)).withColumn("first_slot", F.lit(None))
     return out.select(*columns).unionByName(bare.select(*columns))
+
+
+def mixed_documents(df: DataFrame, **how) -> DataFrame:
+    """The mix itself: each row of ``df`` as often as its taken words fill its size, rounded half up; same columns.
+
+    Rows without words are not part of a mix. Rows equal in id and text share what they take evenly. The
+    texts move once.
+    """
+    names = {k: how.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"))}
+    taken = mix_sources(df, **how).groupBy("row_key").agg(F.avg(F.try_divide(F.col("taken"), F.col("size"))).alias("_times"))
+    times = taken.select(F.col("row_key").alias("_key"), F.floor(F.col("_times") + 0.5).cast("int").alias("_times")).where("_times > 0")
+    keyed = df.select(F.struct(*df.columns).alias("_row"), row_key(F.col(names["id_col"]), F.col(names["text_col"])).alias("_key"))
+    return keyed.join(times, "_key").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

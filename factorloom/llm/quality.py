@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import small_batches
+from factorloom.llm.common import schema_with, small_batches
 from factorloom.llm.features import quality_features
 
 
@@ -112,6 +112,5 @@ def quality_scores(df: DataFrame, model: LatentModel, text_col: str = "text", ke
             s = np.clip(fitted.value.score(np.stack([quality_features(t) for t in texts])), 0.0, 1.0).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double, predicted int"])
+    schema = schema_with(df, keep, "score double, predicted int")
     return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(score, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import components, materialise, small_batches
+from factorloom.llm.common import components, materialise, row_key, small_batches
 
 #: first bit and width of each block
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
@@ -74,16 +74,17 @@ def majority_bits(hashes: np.ndarray) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row."""
+    """(doc_id, row_key, fp long) for every row."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = np.array([simhash(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["doc_id", "row_key", "fp"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = df.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, row_key string, fp long")
 
 
 def distance_keys(fps: DataFrame) -> DataFrame:
@@ -157,18 +158,27 @@ def near_links(fps: DataFrame, crowd: int = 8_192) -> DataFrame:
     return direct.unionByName(ways.join(hubs, "way").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, with_key: bool = False) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest id reachable by links) for every row.
 
     Fingerprints link at two or fewer differing bits. Null and empty texts have fingerprint zero and are
     linked like any other; texts of fewer words than a shingle give one shingle; repeated rows stay; null
     ids are never the smallest, and a group of them alone has a null component; an empty table gives an
     empty result; other columns are not read. Equal fingerprints meet once, whatever their number.
+    ``with_key`` adds row_key (id and text hash) and root (the component's number).
     """
     rows = materialise(fingerprints(df, id_col, text_col, shingle))
     unique = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(near_links(unique.select("fp")))
     placed = unique.join(groups, unique["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(roots, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = placed.join(roots, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select(*(["row_key", "root"] if with_key else []), "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """The rows of ``df``, one for each component: that with the least id, then the least text hash; null ids last."""
+    groups = simhash_groups(df, id_col, text_col, shingle, with_key=True)
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("_key"))
+    keyed = df.select(F.struct(*df.columns).alias("_row"), row_key(F.col(id_col), F.col(text_col)).alias("_key"))
+    return keyed.join(best, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
