@@ -1,7 +1,8 @@
 """Domain tables derived from order and line-item tables.
 
 Each is one statement that Spark and DuckDB both run, with {table} for every input, so results can be
-checked against a second engine. Suppliers play the tickers, line items the trades of a day, orders the filings.
+checked against a second engine; prices are divided by 9.97 so that
+few end in a half at the digits compared. Suppliers play the tickers, line items the trades of a day, orders the filings.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from factorloom.sources.readers import FILING_VALUES
 
 BARS = """
 SELECT CAST(l_suppkey AS STRING) AS ticker, CAST(l_shipdate AS DATE) AS date,
-       min_by(l_extendedprice / l_quantity, l_orderkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT)) AS open,
-       max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-       max_by(l_extendedprice / l_quantity, l_orderkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT)) AS close,
+       min_by(l_extendedprice / (l_quantity * 9.97), l_orderkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT)) AS open,
+       max(l_extendedprice / (l_quantity * 9.97)) AS high, min(l_extendedprice / (l_quantity * 9.97)) AS low,
+       max_by(l_extendedprice / (l_quantity * 9.97), l_orderkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT)) AS close,
        sum(l_quantity) AS volume, sum(CASE WHEN l_returnflag = 'R' THEN l_discount ELSE 0 END) AS dividends
 FROM {lineitem} WHERE l_quantity > 0 GROUP BY l_suppkey, CAST(l_shipdate AS DATE)
 """
