@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write a stage's result to the folder that all executors share and read it back, so later steps don't repeat it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for all executors; a temporary one where it names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/stage-{uuid.uuid4().hex}"
+    return where
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a stage's result to the shared folder and read it back, so later steps don't repeat it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

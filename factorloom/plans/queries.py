@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.functions.expressions import no_nan, rounded
+from factorloom.functions.stages import shared_folder
 from factorloom.operators import asof, dataset, folds, fundamentals, labels, models, reports, sampling, signals, statistics, timeseries, trades
 from factorloom.plans import workloads as W
 from factorloom.plans.oracles import r, size_sql, trailing_sql, with_parts
 from factorloom.sources.adapters import domain
 from factorloom.sources.readers import FILING_VALUES, subset
+from factorloom.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,3 +577,47 @@ def two_stage_predictions(spark, d):
     side, sure = models.two_stage(train, W.priced_bars(spark, d), _X, trees=5, depth=3, min_weight=0.05)
     sided = models.predict_side(side, test).drop("certainty")
     return models.predict_side(sure, sided.withColumnRenamed("side_prediction", "side").withColumn("side_prediction", F.col("side"))).select("ticker", "date", "side", "certainty")
+
+
+# streams, run to the end of what is there
+
+
+def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a streaming query writes until it has read everything, as a table."""
+    base = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    run = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _ticks(spark: SparkSession, d: str) -> DataFrame:
+    events = feeds.feature_feed(spark, d, spark.read.parquet(f"{d}/events.parquet").schema, files="events.parquet")
+    return events.where("value is not null").select(F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
+
+
+_WEEK = "TIMESTAMP '1970-01-01' + to_days(CAST(7 * floor(epoch(ts) / 604800) AS INTEGER))"
+
+
+@query(f"""SELECT ticker, start, {cols('open', 'high', 'low', 'close', 'volume')} FROM (SELECT CAST(user_id AS VARCHAR) AS ticker, {_WEEK} AS start, arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, value)) AS close, CAST(count(*) AS DOUBLE) AS volume
+FROM events WHERE value IS NOT NULL GROUP BY ALL) WHERE start + INTERVAL 9 DAY <= (SELECT max(ts) FROM events WHERE value IS NOT NULL)""")
+def stream_weekly_bars(spark, d):
+    return _drained(feeds.tumbling_bars(_ticks(spark, d))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"""SELECT ticker, "end", {cols('maxret', 'retvol')}, n FROM (SELECT ticker, CAST(day AS TIMESTAMP) + INTERVAL 5 DAY AS "end", max(value) AS maxret, stddev_samp(value) AS retvol, count(*) AS n
+FROM (SELECT CAST(user_id AS VARCHAR) AS ticker, ts, value, unnest(generate_series(date_trunc('day', ts) - INTERVAL 4 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS day FROM events WHERE value IS NOT NULL) GROUP BY ALL)
+WHERE "end" + INTERVAL 2 DAY <= (SELECT max(ts) FROM events WHERE value IS NOT NULL)""")
+def stream_sliding_statistics(spark, d):
+    return _drained(feeds.sliding_statistics(_ticks(spark, d).withColumnRenamed("price", "ret"), "5 days")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+@query()
+def stream_exits(spark, d):
+    """Trades opened by signups and purchases, closed by later values of the same user."""
+    ticks = feeds.feature_feed(spark, d, spark.read.parquet(f"{d}/events.parquet").schema, files="events.parquet").where("value > 0")
+    opening = F.col("event_type").isin("signup", "purchase")
+    events = ticks.select(
+        F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.when(opening, "order").otherwise("price").alias("kind"), F.col("value").alias("price"), F.col("event_id").alias("order_id"),
+        F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("direction"), F.lit(0.5).alias("take_profit"), F.lit(-0.5).alias("stop_loss"), F.expr("cast(ts as timestamp) + interval 3 days").alias("timeout"),
+    )
+    return _drained(feeds.monitor_exits(events)).withColumn("close_ts", F.col("close_ts").cast("timestamp_ntz"))

@@ -11,9 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
-def feature_feed(spark: SparkSession, path: str, schema: StructType, files_a_batch: int = 8) -> DataFrame:
-    """Features as they arrive in a folder; the query's checkpoint remembers what it has emitted."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+def feature_feed(spark: SparkSession, path: str, schema: StructType, files_a_batch: int = 8, files: str = "*.parquet") -> DataFrame:
+    """Features as they arrive in a folder, in files of this name pattern; the query's checkpoint remembers what it has emitted."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", files).parquet(path)
 
 
 def tumbling_bars(ticks: DataFrame, length: str = "7 days", late: str = "2 days") -> DataFrame:
