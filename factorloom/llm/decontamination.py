@@ -13,13 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialise
+from factorloom.llm.common import materialise, sized
 
 #: all ASCII but letters and digits ends a word
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: rows of hashes, keys or windows (at most 100 bytes each) that may be broadcast
-BROADCAST_ROWS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -51,11 +49,6 @@ def kept_hashes(df: DataFrame, text_col: str, keep: list[str], k: int, window: i
     return parts.select(*keep, F.explode(F.array_distinct(F.concat(*lists))).alias("hash"))
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast only if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and ``keep``, for every row.
 

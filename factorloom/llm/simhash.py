@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import components, materialise, row_key, small_batches
+from factorloom.llm.common import components, materialise, row_key, sized, small_batches
 
 #: first bit and width of each block
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
@@ -40,20 +40,24 @@ def _mask(block: tuple[int, int]) -> int:
     return ((1 << block[1]) - 1) << block[0]
 
 
-def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash over word shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle in order; of the whole sequence if it is shorter; none without words."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[n - 1 :].tolist())], np.uint64)
-    return int(majority_bits(hashes))
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[n - 1 :].tolist())], np.uint64)
+
+
+def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash over word shingles, repeats included; 0 for a text without words."""
+    return majority_bits(shingle_hashes(text, shingle, seed))
 
 
 def majority_bits(hashes: np.ndarray) -> int:
@@ -74,17 +78,16 @@ def majority_bits(hashes: np.ndarray) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, row_key, fp long) for every row."""
+    """(doc_id, fp long) for every row."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["doc_id", "row_key", "fp"])
+            fps = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     kind = dict(df.dtypes)[id_col]
-    rows = df.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, row_key string, fp long")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def distance_keys(fps: DataFrame) -> DataFrame:
@@ -158,27 +161,113 @@ def near_links(fps: DataFrame, crowd: int = 8_192) -> DataFrame:
     return direct.unionByName(ways.join(hubs, "way").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, with_key: bool = False) -> DataFrame:
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest id reachable by links) for every row.
 
     Fingerprints link at two or fewer differing bits. Null and empty texts have fingerprint zero and are
     linked like any other; texts of fewer words than a shingle give one shingle; repeated rows stay; null
     ids are never the smallest, and a group of them alone has a null component; an empty table gives an
     empty result; other columns are not read. Equal fingerprints meet once, whatever their number.
-    ``with_key`` adds row_key (id and text hash) and root (the component's number).
     """
     rows = materialise(fingerprints(df, id_col, text_col, shingle))
     unique = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(near_links(unique.select("fp")))
     placed = unique.join(groups, unique["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(roots, "root").select("fp", "component_id", "root")
-    return rows.join(named, "fp").select(*(["row_key", "root"] if with_key else []), "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = placed.join(roots, "root").select("fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: one shingle in PIECE ends a piece; pieces that two texts of the least similarity share, at least, as a part of either's
+PIECE, SHARED = 8, 0.4
+#: bits that fingerprints of texts of that similarity differ in, at most: five deviations over the mean
+SIMILAR_BITS = 24
+
+
+def pieces(hashes: np.ndarray) -> np.ndarray:
+    """Sums of the shingle hashes between those that end a piece: an edit changes the one or two pieces around it."""
+    if not len(hashes):
+        return hashes
+    with np.errstate(over="ignore"):
+        first = np.flatnonzero(np.concatenate(([True], hashes[:-1] % PIECE == 0)))
+        return np.unique(np.add.reduceat(hashes * np.uint64(0x9E3779B97F4A7C15) ^ hashes >> np.uint64(31), first))
+
+
+def pieced(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, row_key, fp3, fp, same, pieces): the contract's fingerprint, that of longer shingles, a number for texts of equal shingles, and pieces."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for text in batch.column(2).to_pylist():
+                h = shingle_hashes(text, shingle)
+                for into, x in zip(out, (_signed(simhash(text)), _signed(majority_bits(h)), _signed(xxhash.xxh64_intdigest(np.sort(h).tobytes(), 7)), pieces(h).view(np.int64))):
+                    into.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.list_(pa.int64()))], names=["doc_id", "row_key", "fp3", "fp", "same", "pieces"])
+
+    kind = dict(df.dtypes)[id_col]
+    rows = df.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, row_key string, fp3 long, fp long, same long, pieces array<long>")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of ``df``, one for each component: that with the least id, then the least text hash; null ids last."""
-    groups = simhash_groups(df, id_col, text_col, shingle, with_key=True)
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("_key"))
+def similar_links(rows: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of ``same`` numbers: texts whose word shingles have at least this similarity, each linked to the centre of those it shares pieces with.
+
+    Of the texts that share a piece the one with the largest part of shared pieces is the centre: an original has all
+    its pieces in some copy, a copy has edited ones. Every text is paired with its pieces' centres only,
+    never with all others. Pairs that share too few pieces go; then those whose distances to the reference
+    fingerprints differ by more than SIMILAR_BITS anywhere; the rest is verified on the exact sets of shingles.
+    """
+    unique = materialise(rows.groupBy("same").agg(F.first("fp").alias("fp"), F.first("pieces").alias("pieces"), F.min("row_key").alias("row_key")))
+    spread = unique.select("same", F.size("pieces").alias("n"), F.explode("pieces").alias("piece"))
+    common = spread.groupBy("piece").count().where("count > 1").select("piece")
+    shared = materialise(spread.join(common, "piece", "left_semi"))
+    part = shared.groupBy("same", "n").agg(F.count("*").alias("k")).where(F.col("k") >= SHARED * F.col("n")).select("same", (F.col("k") / F.col("n")).alias("part"))
+    ranked = shared.join(part, "same")
+    centres = ranked.groupBy("piece").agg(F.max(F.struct("part", "same")).alias("c")).select("piece", F.col("c.same").alias("b"))
+    pairs = ranked.join(centres, "piece").where("same <> b").groupBy(F.col("same").alias("a"), "b", "n").agg(F.count("*").alias("k")).where(F.col("k") >= SHARED * F.col("n"))
+    prints = unique.select("same", "fp", "row_key")
+    side = lambda x: prints.select(F.col("same").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("row_key").alias(f"key_{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
+    away = [F.abs(F.bit_count(F.col("fp_a").bitwiseXOR(F.lit(_signed(int(r))))) - F.bit_count(F.col("fp_b").bitwiseXOR(F.lit(_signed(int(r)))))) for r in _references()]
+    near = near.where(F.greatest(*away) <= SIMILAR_BITS).where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= SIMILAR_BITS)
+    near = materialise(near.select("a", "b", "key_a", "key_b"))
+    asked = near.select(F.explode(F.array(F.struct(F.col("a").alias("same"), F.col("key_a").alias("key")), F.struct(F.col("b").alias("same"), F.col("key_b").alias("key")))).alias("x")).select("x.*").distinct()
+    asked = sized(materialise(asked))
+    texts = df.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("_text")).join(asked, "key").select("same", "_text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["same", "h"])
+
+    small_batches(df.sparkSession)
+    hashed = materialise(texts.mapInArrow(sets, "same long, h array<long>").groupBy("same").agg(F.first("h").alias("h")))
+    both = near.select("a", "b").join(hashed.withColumnsRenamed({"same": "a", "h": "ha"}), "a").join(hashed.withColumnsRenamed({"same": "b", "h": "hb"}), "b")
+    met = F.size(F.array_intersect("ha", "hb"))
+    return both.where(met >= similarity * (F.size("ha") + F.size("hb") - met)).select("a", "b")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df``, one for each group: that with the least id, then the least text hash; null ids last.
+
+    Texts are linked if their contract fingerprints (three words) differ in two bits at most, or if their
+    ``shingle``-word shingles have at least ``similarity``; groups are the components of both. Texts of equal shingles are one
+    node, whatever their number. Null, empty and short texts are as in ``simhash_groups``.
+    """
+    rows = materialise(pieced(df, id_col, text_col, shingle))
+    similar = similar_links(rows.where(F.size("pieces") > 0), df, id_col, text_col, shingle, similarity)
+    heads = materialise(rows.groupBy("fp3").agg(F.min("same").alias("head")))
+    inside = rows.join(heads, "fp3").select(F.col("same").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
+    between = near_links(heads.select(F.col("fp3").alias("fp"))).withColumnsRenamed({"a": "x", "b": "y"})
+    between = between.join(heads.withColumnsRenamed({"fp3": "x", "head": "a"}), "x").join(heads.withColumnsRenamed({"fp3": "y", "head": "b"}), "y").select("a", "b")
+    groups = components(similar.unionByName(inside).unionByName(between))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
+    each = rows.groupBy("same").agg(first)  # copies meet once
+    named = each.join(groups, each["same"] == groups["node"], "left").select(F.coalesce("component", "same").alias("root"), "m")
+    best = named.groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.row_key").alias("_key"))
     keyed = df.select(F.struct(*df.columns).alias("_row"), row_key(F.col(id_col), F.col(text_col)).alias("_key"))
     return keyed.join(best, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
