@@ -175,7 +175,16 @@ def brute_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components_of(fps, ids):
+def similar(a, b):
+    x, y = ({t for t in shingles(low(v))} for v in (a, b))
+    return len(x & y) >= 0.8 * len(x | y) > 0
+
+
+def low(text):
+    return text.translate({c: c + 32 for c in range(65, 91)})
+
+
+def components_of(fps, ids, linked=lambda i, j: False):
     parent = list(range(len(fps)))
 
     def find(x):
@@ -184,7 +193,7 @@ def components_of(fps, ids):
         return x
 
     for i, j in itertools.combinations(range(len(fps)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= 2:
+        if (fps[i] ^ fps[j]).bit_count() <= 2 or linked(i, j):
             parent[find(j)] = find(i)
     least = {}
     for i in range(len(fps)):
@@ -201,10 +210,29 @@ def test_simhash(docs, none):
     assert simhash.simhash_groups(none).count() == 0
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(set(components_of(fps, ids)))
+    t = texts()
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(set(components_of(fps, ids, lambda i, j: similar(t[i], t[j]))))
     assert simhash.keep_first(none).count() == 0
 
 
+def test_near_copies_of_one_text(spark):
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(900)]
+    originals = [rng.choices(vocab, k=rng.randint(150, 500)) for _ in range(12)]
+    table = [" ".join(o) for o in originals]
+    for o in originals[:6]:
+        for _ in range(15):
+            c = list(o)
+            for at in rng.sample(range(len(c)), len(c) // 60):
+                c[at] = rng.choice(vocab)
+            table.append(" ".join(c))
+    table += [" ".join(originals[7][:100] + rng.choices(vocab, k=300)), table[0]]
+    df = spark.createDataFrame(list(enumerate(table)), "doc_id long, text string").repartition(4)
+    fps = [brute_simhash(t) for t in table]
+    want = set(components_of(fps, list(range(len(table))), lambda i, j: similar(table[i], table[j])))
+    assert {r.doc_id for r in simhash.keep_first(df).collect()} == want and 12 <= len(want) < 20
+
+
 @pytest.mark.parametrize("crowd", [2, 10_000])
 def test_links_keep_components(spark, crowd):
     rng = random.Random(8)
