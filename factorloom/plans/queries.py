@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.functions.expressions import no_nan, rounded
-from factorloom.functions.stages import shared_folder
+from factorloom.functions.stages import shared_folder, staged
 from factorloom.operators import asof, dataset, folds, fundamentals, labels, models, reports, sampling, signals, statistics, timeseries, trades
 from factorloom.plans import workloads as W
 from factorloom.plans.oracles import r, size_sql, trailing_sql, with_parts
@@ -169,7 +169,7 @@ def trailing_statistics(spark, d):
 
 @query(with_parts("monthly") + f"SELECT ticker, month, {cols('ewmstd')} FROM ewm")
 def monthly_volatility(spark, d):
-    return timeseries.monthly_ewm_std(timeseries.adjust_backward(W.known_bars(spark, d)))
+    return timeseries.monthly_ewm_std(staged(timeseries.adjust_backward(W.known_bars(spark, d)).select("ticker", "date", "adj_close")))
 
 
 _BETA = with_parts("sampled") + """, first AS (SELECT ticker, min(date) AS d0, max(date) AS d1 FROM priced GROUP BY ticker),
@@ -186,7 +186,7 @@ b AS (SELECT ticker, date, covar_samp(x, m) / nullif(var_samp(m) FILTER (WHERE x
 
 @query(_BETA + f"SELECT s.ticker, s.date, CASE WHEN s.date >= d0 + INTERVAL 24 MONTH THEN {r('b.beta', 5, 'beta').replace(' AS beta', '')} END AS beta, CASE WHEN s.date >= d0 + INTERVAL 24 MONTH THEN {r('b.idiovol', 5, 'idiovol').replace(' AS idiovol', '')} END AS idiovol FROM sampled s JOIN first USING (ticker) LEFT JOIN b ON b.ticker = s.ticker AND b.date = s.date", 5)
 def market_beta(spark, d):
-    bars = W.priced_bars(spark, d)
+    bars = staged(W.priced_bars(spark, d))
     return timeseries.beta(sampling.month_end_samples(bars), bars).select("ticker", "date", "beta", "idiovol")
 
 
@@ -268,8 +268,8 @@ _L1 = with_parts("sampled") + _barrier_sql("sampled", 1.0, -1.0, "1")
 
 @query(_L1 + f"SELECT ticker, touch.date, touch AS date_of_touch, {r('raw', 6, 'return_tbm')}, CAST(sign(raw) AS INT) AS primary_label_tbm, {r('touch.up', 6, 'take_profit_barrier')}, {r('touch.down', 6, 'stop_loss_barrier')} FROM touch JOIN path ON path.ticker = touch.ticker AND path.date = touch.date AND path.t = touch".replace("SELECT ticker,", "SELECT touch.ticker,"))
 def triple_barrier_labels(spark, d):
-    bars = W.priced_bars(spark, d)
-    return labels.triple_barrier(W.month_end_features(spark, d), bars).select("ticker", "date", "date_of_touch", "return_tbm", "primary_label_tbm", "take_profit_barrier", "stop_loss_barrier")
+    samples, bars = W.month_end_pair(spark, d)
+    return labels.triple_barrier(samples, bars).select("ticker", "date", "date_of_touch", "return_tbm", "primary_label_tbm", "take_profit_barrier", "stop_loss_barrier")
 
 
 _L2 = with_parts("sampled") + ", sided AS (SELECT *, CASE WHEN mom1w > 0 THEN 1 ELSE -1 END AS side_prediction FROM sampled)" + _barrier_sql("sided", 1.0, -0.8, "side_prediction")
@@ -277,13 +277,14 @@ _L2 = with_parts("sampled") + ", sided AS (SELECT *, CASE WHEN mom1w > 0 THEN 1
 
 @query(_L2 + f"SELECT touch.ticker, touch.date, touch AS m_date_of_touch, {r('raw', 6, 'm_return_tbm')}, CASE WHEN raw > 0 THEN 1 ELSE 0 END AS m_primary_label_tbm FROM touch JOIN path ON path.ticker = touch.ticker AND path.date = touch.date AND path.t = touch")
 def meta_labels(spark, d):
-    sided = W.month_end_features(spark, d).withColumn("side_prediction", F.when(F.col("mom1w") > 0, 1).otherwise(-1))
-    return labels.meta_labels(sided, W.priced_bars(spark, d)).select("ticker", "date", "m_date_of_touch", "m_return_tbm", "m_primary_label_tbm")
+    samples, bars = W.month_end_pair(spark, d)
+    sided = samples.withColumn("side_prediction", F.when(F.col("mom1w") > 0, 1).otherwise(-1))
+    return labels.meta_labels(sided, bars).select("ticker", "date", "m_date_of_touch", "m_return_tbm", "m_primary_label_tbm")
 
 
 @query(_L1 + "SELECT industry, CAST(sign(raw) AS INT) AS label, count(*) AS n FROM touch JOIN path ON path.ticker = touch.ticker AND path.date = touch.date AND path.t = touch JOIN metadata m ON m.ticker = touch.ticker GROUP BY ALL")
 def label_counts(spark, d):
-    out = labels.triple_barrier(W.month_end_features(spark, d), W.priced_bars(spark, d))
+    out = labels.triple_barrier(*W.month_end_pair(spark, d))
     return out.groupBy("industry", F.col("primary_label_tbm").alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -302,8 +303,7 @@ _CELLS = ["bm", "roaq", "agr", "retvol"]
 
 
 def _merged(spark, d):
-    bars = timeseries.trailing_statistics(W.priced_bars(spark, d))
-    samples = sampling.month_end_samples(bars)
+    samples = sampling.month_end_samples(timeseries.trailing_statistics(W.priced_bars(spark, d)))
     filings = domain(spark, d, "filings")
     featured = fundamentals.fundamental_features(filings, filings, domain(spark, d, "metadata"))
     return no_nan(dataset.merge_features(samples, featured)).withColumn("size", dataset.size_class())
@@ -335,7 +335,7 @@ _AGGS = ", ".join(f"avg({f}) AS m_{f}, stddev_samp({f}) AS s_{f}" for f in _CELL
 @query(_MERGED + f""", z AS (SELECT size, {_AGGS} FROM merged GROUP BY size), ok AS (SELECT * FROM merged WHERE mom24m IS NOT NULL AND age <= 180 AND size IS NOT NULL),
 i AS (SELECT industry, size, {_AGGS} FROM ok GROUP BY ALL) SELECT m.ticker, m.date, {_FILL} FROM ok m LEFT JOIN i USING (industry, size) LEFT JOIN z ON z.size = m.size""")
 def imputed_means(spark, d):
-    merged = _merged(spark, d)
+    merged = staged(_merged(spark, d))
     rows = dataset.clean(merged, ("mom24m",)).where("size is not null")
     return dataset.impute(rows, _CELLS, dataset.statistics_by(rows, ["industry", "size"], _CELLS), dataset.statistics_by(merged, ["size"], _CELLS), "mean").select("ticker", "date", *_CELLS)
 

@@ -35,11 +35,15 @@ def sample_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.excess_returns(samples, timeseries.daily_rates(domain(spark, sf_dir, "bills")))
 
 
+def month_end_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Month-end samples with their deviations, and the bars that they come from, computed once for both."""
+    bars = staged(priced_bars(spark, sf_dir))
+    return timeseries.attach_ewm_std(sampling.month_end_samples(bars), timeseries.monthly_ewm_std(bars)), bars
+
+
 def month_end_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month-end samples with their deviations."""
-    bars = staged(priced_bars(spark, sf_dir))
-    samples = timeseries.attach_ewm_std(sampling.month_end_samples(bars), timeseries.monthly_ewm_std(bars))
-    return samples
+    return month_end_pair(spark, sf_dir)[0]
 
 
 def filing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
