@@ -230,8 +230,10 @@ def nearest_filing(spark, d):
 
 # fundamentals
 
+_COUNTS = ["nincr", "rd", "ps"]
 
-@query(with_parts("featured") + f"SELECT ticker, calendardate, datekey, is_filled, sin, {r('company_age')}, ipo, {cols(*fundamentals.FEATURES)} FROM featured")
+
+@query(with_parts("featured") + f"SELECT ticker, calendardate, datekey, is_filled, sin, {r('company_age')}, ipo, {cols(*[f for f in fundamentals.FEATURES if f not in _COUNTS])}, {', '.join(f'CAST({f} AS INT) AS {f}' for f in _COUNTS)} FROM featured")
 def fundamental_features(spark, d):
     f = domain(spark, d, "filings")
     out = fundamentals.fundamental_features(f, f, domain(spark, d, "metadata"))
