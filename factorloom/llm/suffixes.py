@@ -7,25 +7,33 @@ with one anchor form a run, whose bytes are its context. Runs with equal context
 are settled by counting. Only where one anchor has several contexts are bytes compared: these contexts are
 dealt to shards by anchor, each shard builds a suffix array by Larsson-Sadakane refinement in numpy and
 the common prefixes of neighbours as Kasai does, each value taken from its left neighbour's where possible.
-An anchor with more contexts than a shard holds has several shards, whose sorted windows are merged by
-binary search.
+An anchor with more contexts than a shard holds has several shards, in as many tasks. Each gives its distinct
+windows; these are dealt once more, by hash, and the shards' sorted windows merged by binary search.
+
+Neither step holds all of an anchor: runs of a frequent anchor are counted by context before they are
+shuffled, and what counts repeat goes back to the runs by a salted join.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialise, small_batches
+from factorloom.llm.common import materialise, sized, small_batches
 
 GRAM = 32
 #: bytes of contexts that one suffix array holds
 SHARD_BYTES = 1_500_000
+#: an anchor with more runs than this, and than its part of all runs, is frequent; so at most FREQUENT anchors are
+ANCHOR_RUNS, FREQUENT = 10_000, 50_000
+#: parts that the runs of a frequent anchor with one context are dealt to
+SALT = 32
 
 
 def rolling(codes: np.ndarray, n: int) -> np.ndarray:
@@ -169,91 +177,119 @@ def spans(flags: np.ndarray, start: int, length: int) -> list[tuple[int, int]]:
 
 
 class Shards:
-    """Contexts of whole anchors, compared in suffix arrays of bounded size."""
+    """Contexts of whole anchors, or of one shard of an anchor that has several, compared in suffix arrays of bounded size."""
 
     def __init__(self, length: int, shard_bytes: int = SHARD_BYTES):
         self.length, self.shard_bytes = length, shard_bytes
-        self.rows: list[tuple] = []  # (anchor, n, id, text hash, start, context)
+        self.rows: list[tuple] = []  # (anchor, shard, shards, n, id, text hash, start, context)
         self.bytes = 0
-        self.parts: list[tuple[list[tuple], list[np.ndarray], list[np.ndarray]]] = []  # of one large anchor
 
     def add(self, row: tuple) -> list[tuple]:
-        out = []
-        if self.bytes >= self.shard_bytes and row[0] != self.rows[-1][0]:
-            out = self.flush()
-        elif self.bytes >= 2 * self.shard_bytes:
-            last = self.rows[-1][0]
-            whole = [r for r in self.rows if r[0] != last]
-            if whole:
-                self.rows, rest = whole, [r for r in self.rows if r[0] == last]
-                out = self.flush()
-                self.rows, self.bytes = rest, sum(len(r[5]) for r in rest)
-            else:
-                self.part()
+        """Rows come in the order of anchor and shard; what one shard holds is bounded by how contexts are dealt."""
+        out = self.flush() if self.bytes >= self.shard_bytes and row[:2] != self.rows[-1][:2] else []
         self.rows.append(row)
-        self.bytes += len(row[5])
+        self.bytes += len(row[7])
         return out
 
-    def part(self) -> None:
-        """One more suffix array of an anchor that has several, merged with those before it by binary search."""
-        flags = repeated_windows([r[5] for r in self.rows], self.length)
-        hashes = [rolling(np.frombuffer(r[5], np.uint8).astype(np.uint64), self.length) for r in self.rows]
-        mine = np.sort(np.concatenate(hashes))
-        has = lambda keys, x: keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
-        for _, other_flags, other_hashes in self.parts:
-            theirs = np.sort(np.concatenate(other_hashes))
-            for f, x in zip(flags, hashes):
-                f |= has(theirs, x)
-            for f, x in zip(other_flags, other_hashes):
-                f |= has(mine, x)
-        self.parts.append((self.rows, flags, hashes))
-        self.rows, self.bytes = [], 0
-
     def flush(self) -> list[tuple]:
-        """(id, text hash, first byte, end) of what repeats; contexts counted more than once are settled already."""
-        if not self.rows and not self.parts:
+        """(id, text hash, first byte, end, anchor, part, window, alone) of what repeats here, and of every window that other shards may repeat.
+
+        The last four are null for the former. A window is alone if nothing repeats it so far. Contexts
+        counted more than once are settled already: their windows are there for others only.
+        """
+        rows, self.rows, self.bytes = self.rows, [], 0
+        if not rows:
             return []
-        if self.parts:
-            if self.rows:
-                self.part()
-            done = [(r, f) for rows, flags, _ in self.parts for r, f in zip(rows, flags)]
-        else:
-            done = list(zip(self.rows, repeated_windows([r[5] for r in self.rows], self.length)))
-        self.rows, self.bytes, self.parts = [], 0, []
-        return [(r[2], r[3], a, b) for r, f in done if r[1] == 1 for a, b in spans(f, r[4], self.length)]
+        flags = repeated_windows([r[7] for r in rows], self.length)
+        out = [(*r[4:6], a, b, None, None, None, None) for r, f in zip(rows, flags) if r[3] == 1 for a, b in spans(f, r[6], self.length)]
+        for _, group in groupby((i for i, r in enumerate(rows) if r[2] > 1), key=lambda i: rows[i][:2]):
+            seen: set[int] = set()
+            for i in group:
+                anchor, _, parts, n, doc, h, start, context = rows[i]
+                windows = rolling(np.frombuffer(context, np.uint8).astype(np.uint64), self.length).view(np.int64).tolist()
+                for at, (window, repeated) in enumerate(zip(windows, flags[i].tolist()), start):
+                    if window not in seen:
+                        seen.add(window)
+                        out.append((doc, h, at, at + self.length, anchor, window % parts, window, n == 1 and not repeated))
+        return out
+
 
+def merge_shards(table: pa.Table) -> pa.Table:
+    """Of one anchor's windows in one part, those that are alone in their shard and found in another by binary search."""
+    windows, alone = table["window"].to_numpy(), table["alone"].to_numpy(zero_copy_only=False)
+    ordered = np.sort(windows)  # a shard gives a window once
+    times = np.searchsorted(ordered, windows, "right") - np.searchsorted(ordered, windows, "left")
+    return table.filter(pa.array(alone & (times > 1))).select(["doc_id", "h", "a", "b"])
 
-def _batch(columns: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for _, t, v in columns], names=[n for n, _, _ in columns])
+
+def _batch(fields: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def find_runs(df: DataFrame, length: int) -> DataFrame:
-    """(anchor, context, doc_id, h, start, windows) of every run of every text; df has doc_id, h and text."""
+    """(anchor, context, doc_id, h, start, windows, times) of every run of every text; df has doc_id, h and text.
+
+    Neighbouring runs with equal contexts, as in periodic text, are one row with the number of ``times``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for doc, h, text in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (text or "").encode()
                 hashes, place, first, last = runs(data, length)
-                lo, hi = first.tolist(), last.tolist()
-                out[0] += hashes.view(np.int64).tolist()
-                out[1] += [digest(data[a : b + length], p - a) for a, b, p in zip(lo, hi, place.tolist())]
-                out[2] += [doc] * len(lo)
-                out[3] += [h] * len(lo)
-                out[4] += lo
-                out[5] += (last - first + 1).tolist()
-            context = pa.array(np.array(out[1], np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), context, pa.array(out[2], batch.schema.types[0]), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32())], names=["anchor", "context", "doc_id", "h", "start", "windows"])
+                if not len(hashes):
+                    continue
+                context = np.array([digest(data[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist())], np.uint64)
+                heads = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (context[1:] != context[:-1]))))
+                out[0] += hashes[heads].view(np.int64).tolist()
+                out[1] += context[heads].view(np.int64).tolist()
+                out[2] += [doc] * len(heads)
+                out[3] += [h] * len(heads)
+                out[4] += first[heads].tolist()
+                out[5] += (last - first + 1)[heads].tolist()
+                out[6] += np.diff(np.append(heads, len(hashes))).tolist()
+            types = [pa.int64(), pa.int64(), batch.schema.types[0], pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=["anchor", "context", "doc_id", "h", "start", "windows", "times"])
 
     kind = dict(df.dtypes)["doc_id"]
-    return df.select("doc_id", "h", "text").mapInArrow(run, f"anchor long, context long, doc_id {kind}, h long, start int, windows int")
+    return df.select("doc_id", "h", "text").mapInArrow(run, f"anchor long, context long, doc_id {kind}, h long, start int, windows int, times int")
+
+
+def meet(found: DataFrame, shard_contexts: int, anchor_runs: int) -> tuple[DataFrame, DataFrame]:
+    """Runs whose context repeats (doc_id, h, start, windows of all its times), and one run for each context that must be compared (also anchor, shard, shards, n).
 
+    Frequent anchors are told from counts; there are at most FREQUENT, so their table is broadcast. Runs of all other anchors meet
+    at their anchor. Runs of frequent ones are counted by context, which collapses them before the shuffle.
+    """
+    limit = max(anchor_runs, found.count() // FREQUENT)
+    frequent = F.broadcast(materialise(found.groupBy("anchor").count().where(F.col("count") > limit).select("anchor")))
+    dealt = lambda contexts: F.ceil(F.col(contexts) / shard_contexts).cast("int").alias("shards")
+    shard = F.pmod("context", F.col("shards").cast("long")).cast("int").alias("shard")
+    run = ["doc_id", "h", "start", "windows"]
+
+    by_anchor, by_context = Window.partitionBy("anchor"), Window.partitionBy("anchor", "context")
+    met = found.join(frequent, "anchor", "left_anti").repartition("anchor").withColumn("all", F.sum("times").over(by_anchor)).where("all > 1")
+    met = met.withColumn("n", F.sum("times").over(by_context)).withColumn("first", (F.row_number().over(by_context.orderBy("doc_id", "h", "start")) == 1).cast("int"))
+    met = met.withColumn("contexts", F.sum("first").over(by_anchor)).where("n > 1 or contexts > 1")
+    met = materialise(met.select("anchor", "context", *run, "times", "n", F.expr("contexts > 1 and first = 1").alias("asked"), dealt("contexts")))
+
+    hot = found.join(frequent, "anchor", "left_semi")
+    counted = materialise(hot.groupBy("anchor", "context").agg(F.sum("times").alias("n"), F.min(F.struct(*run)).alias("run")))
+    contexts = counted.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor", dealt("contexts"))
+    salted = sized(materialise(counted.where("n > 1").select("anchor", "context", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))))
+    hot = hot.withColumn("salt", F.pmod(F.xxhash64(*run), F.lit(SALT)).cast("int")).join(salted, ["anchor", "context", "salt"], "left_semi")
+
+    asked = counted.join(F.broadcast(contexts), "anchor").select("anchor", shard, "shards", "n", "run.*")
+    covered = [*run[:3], (F.col("windows") * F.col("times")).alias("windows")]
+    return met.where("n > 1").select(covered).union(hot.select(covered)), met.where("asked").select("anchor", shard, "shards", "n", *run).union(asked)
 
-def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+
+def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, anchor_runs: int = ANCHOR_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) for every row.
 
     Removed is every byte that lies in a string of ``length`` bytes which also starts anywhere else, in the same
@@ -266,46 +302,39 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     kind = dict(df.dtypes)[id_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    by_anchor, by_context = Window.partitionBy("anchor"), Window.partitionBy("anchor", "context")
-    met = find_runs(docs, length).repartition("anchor")
-    met = met.withColumn("all", F.count("*").over(by_anchor)).where("all > 1").withColumn("several", F.min("context").over(by_anchor) != F.max("context").over(by_anchor))
-    met = met.withColumn("n", F.count("*").over(by_context)).withColumn("place", F.row_number().over(by_context.orderBy("doc_id", "h", "start")))
-    met = materialise(met.where("n > 1 or several").select("anchor", "doc_id", "h", "start", "windows", "n", F.expr("several and place = 1").alias("asked")))
-    settled = met.where("n > 1").select("doc_id", "h", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (length - 1)).alias("b"))
+    repeated, single = meet(materialise(find_runs(docs, length)), max(1, shard_bytes // (2 * length)), anchor_runs)
+    settled = repeated.select("doc_id", "h", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (length - 1)).alias("b"))
 
     # bytes of one run for each context that must be compared
-    asked = met.where("asked").groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "n", "start", "windows")).alias("runs"))
+    asked = single.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "shard", "shards", "n", "start", "windows")).alias("runs"))
     texts = asked.join(docs, asked["doc_id"].eqNullSafe(docs["doc_id"]) & (asked["h"] == docs["h"])).select(asked["doc_id"], asked["h"], "runs", "text")
+    fields = [("anchor", pa.int64()), ("shard", pa.int32()), ("shards", pa.int32()), ("n", pa.int64())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, h, found, text_ in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text_.encode()
-                rows += [(r["anchor"], r["n"], doc, h, r["start"], data[r["start"] : r["start"] + r["windows"] + length - 1]) for r in found]
-            cols = list(zip(*rows)) if rows else [()] * 6
-            yield _batch([("anchor", pa.int64(), cols[0]), ("n", pa.int64(), cols[1]), ("doc_id", batch.schema.types[0], cols[2]), ("h", pa.int64(), cols[3]), ("start", pa.int32(), cols[4]), ("bytes", pa.binary(), cols[5])])
+                rows += [(r["anchor"], r["shard"], r["shards"], r["n"], doc, h, r["start"], data[r["start"] : r["start"] + r["windows"] + length - 1]) for r in found]
+            yield _batch([*fields, ("doc_id", batch.schema.types[0]), ("h", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())], rows)
 
-    contexts = texts.mapInArrow(cut, f"anchor long, n long, doc_id {kind}, h long, start int, bytes binary")
+    contexts = texts.mapInArrow(cut, f"anchor long, shard int, shards int, n long, doc_id {kind}, h long, start int, bytes binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, seen = Shards(length, shard_bytes), None
-
-        def rows_of(found: list[tuple], kind_: pa.DataType) -> pa.RecordBatch:
-            cols = list(zip(*found)) if found else [()] * 4
-            return _batch([("doc_id", kind_, cols[0]), ("h", pa.int64(), cols[1]), ("a", pa.int32(), cols[2]), ("b", pa.int32(), cols[3])])
-
+        shards, names = Shards(length, shard_bytes), None
         for batch in batches:
-            seen = batch.schema.types[2]
+            names = [("doc_id", batch.schema.types[4]), ("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("anchor", pa.int64()), ("part", pa.int32()), ("window", pa.int64()), ("alone", pa.bool_())]
             found: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 found += shards.add(row)
-            yield rows_of(found, seen)
-        if seen is not None:
-            yield rows_of(shards.flush(), seen)
-
-    dealt = contexts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h", "start")
-    compared = dealt.mapInArrow(compare, f"doc_id {kind}, h long, a int, b int")
+            yield _batch(names, found)
+        if names is not None:
+            yield _batch(names, shards.flush())
+
+    dealt = contexts.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "doc_id", "h", "start")
+    compared = materialise(dealt.mapInArrow(compare, f"doc_id {kind}, h long, a int, b int, anchor long, part int, window long, alone boolean"))
+    across = compared.where("window is not null").groupBy("anchor", "part").applyInArrow(merge_shards, f"doc_id {kind}, h long, a int, b int")
+    compared = compared.where("window is null").select("doc_id", "h", "a", "b").unionByName(across)
     covered = settled.unionByName(compared).distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     covered = materialise(covered).withColumnsRenamed({"doc_id": "_d", "h": "_h"})
     marked = docs.join(covered, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["h"] == F.col("_h")), "left").select("doc_id", "text", "ranges")

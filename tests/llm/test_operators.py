@@ -313,14 +313,26 @@ def brute_repeats(data, length):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [600, suffixes.SHARD_BYTES])
-def test_suffix_dedup(docs, none, shard_bytes):
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs, shard_bytes=shard_bytes).collect())
+@pytest.mark.parametrize(("shard_bytes", "anchor_runs"), [(600, 3), (600, suffixes.ANCHOR_RUNS), (suffixes.SHARD_BYTES, 3), (suffixes.SHARD_BYTES, suffixes.ANCHOR_RUNS)])
+def test_suffix_dedup(docs, none, shard_bytes, anchor_runs):
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs, shard_bytes=shard_bytes, anchor_runs=anchor_runs).collect())
     want = brute_repeats([t.encode() for t in texts()], 200)
     assert got == Counter((r[0], *w) for r, w in zip(rows(), want))
     assert suffixes.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("anchor_runs", [20, suffixes.ANCHOR_RUNS])
+def test_suffix_dedup_of_one_line_in_many_contexts(spark, anchor_runs):
+    rng = random.Random(11)
+    line = "the very same line stands in each of these texts, whatever is said around it "
+    around = ["".join(rng.choices("abcdefg ", k=130)) for _ in range(12)]
+    texts = [rng.choice(around) + line + rng.choice(around) for _ in range(90)] + ["".join(rng.choices("abc", k=150)) + line + "".join(rng.choices("abc", k=150)) for _ in range(60)]
+    texts += ["so on " * 90, "x" + "so on " * 50 + "y", "so on " * 33 + "so"]
+    got = suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shard_bytes=2_000, anchor_runs=anchor_runs)
+    want = brute_repeats([t.encode() for t in texts], 200)
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == {(i, *w) for i, w in enumerate(want)}
+
+
 def test_suffix_arrays():
     rng = random.Random(2)
     for _ in range(60):
