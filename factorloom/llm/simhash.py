@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import components, materialise, row_key, sized, small_batches
@@ -178,64 +178,166 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: one shingle in PIECE ends a piece; pieces that two texts of the least similarity share, at least, as a part of either's
-PIECE, SHARED = 8, 0.4
-#: bits that fingerprints of texts of that similarity differ in, at most: five deviations over the mean
-SIMILAR_BITS = 24
+#: longs of a sketch of a set of shingles: parities of 64 buckets each
+SKETCH = 8
+#: texts whose shingles say which are frequent; shingles of so many of them are, and as many of these are told apart
+SAMPLE_TEXTS, FREQUENT, MOST_FREQUENT = 5_000, 3, 100_000
+#: members of one shingle that are compared in one block
+BLOCK = 4_096
 
 
-def pieces(hashes: np.ndarray) -> np.ndarray:
-    """Sums of the shingle hashes between those that end a piece: an edit changes the one or two pieces around it."""
-    if not len(hashes):
-        return hashes
-    with np.errstate(over="ignore"):
-        first = np.flatnonzero(np.concatenate(([True], hashes[:-1] % PIECE == 0)))
-        return np.unique(np.add.reduceat(hashes * np.uint64(0x9E3779B97F4A7C15) ^ hashes >> np.uint64(31), first))
+def parities(distinct: np.ndarray) -> np.ndarray:
+    """Whether each of 512 hash buckets holds an odd number of the set: two sets' parities differ in as many buckets as the sets in shingles, at most."""
+    odd = np.bincount((distinct >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def pieced(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, row_key, fp3, fp, same, pieces): the contract's fingerprint, that of longer shingles, a number for texts of equal shingles, and pieces."""
+def text_number(hashes: np.ndarray) -> int:
+    """A number for texts of equal shingles, repeats included."""
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(np.sort(hashes).tobytes(), 7))
+
+
+def described(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, row_key, fp3, same, n, sketch, sample): the contract's fingerprint, ``text_number``, distinct shingles and their parities; the shingles themselves of some texts."""
     small_batches(df.sparkSession)
+    one_in = max(1, df.count() // SAMPLE_TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text in batch.column(2).to_pylist():
                 h = shingle_hashes(text, shingle)
-                for into, x in zip(out, (_signed(simhash(text)), _signed(majority_bits(h)), _signed(xxhash.xxh64_intdigest(np.sort(h).tobytes(), 7)), pieces(h).view(np.int64))):
+                same, distinct = text_number(h), np.unique(h)
+                sample = distinct.view(np.int64) if same % one_in == 0 else None
+                for into, x in zip(out, (_signed(simhash(text)), same, len(distinct), parities(distinct), sample)):
                     into.append(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.list_(pa.int64()))], names=["doc_id", "row_key", "fp3", "fp", "same", "pieces"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, k) for x, k in zip(out, kinds))], names=["doc_id", "row_key", "fp3", "same", "n", "sketch", "sample"])
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, row_key string, fp3 long, fp long, same long, pieces array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, row_key string, fp3 long, same long, n int, sketch array<long>, sample array<long>")
+
+
+def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of the sampled texts have, sorted, and their numbers of texts. They only order the shingles: any table gives the same links."""
+    sampled = rows.where("sample is not null").groupBy("same").agg(F.first("sample").alias("sample"))
+    counts = sampled.select(F.explode("sample").alias("h")).groupBy("h").agg(F.count("*").cast("int").alias("c")).where(F.col("c") >= FREQUENT)
+    found = counts.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).toArrow()
+    h, c = found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def rarest(distinct: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The prefix of a sorted set, rare shingles first: one shingle more than a set of at least this similarity can lack, so that two such sets' prefixes meet."""
+    known, counts = frequent
+    rank = np.zeros(len(distinct), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+        rank = np.where(known[at] == distinct, counts[at], 0)
+    n = len(distinct)
+    return distinct[np.argsort(rank, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def shared_prefixes(rows: DataFrame, df: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(key, same) for every shingle that is in the prefixes of several texts."""
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys, sames = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for text in batch.column(0).to_pylist():
+                h = shingle_hashes(text, shingle)
+                same = text_number(h)
+                if not len(h) or same in seen:
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(same)
+                keys.append(rarest(np.unique(h), frequent.value, similarity))
+                sames.append(np.full(len(keys[-1]), same))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sames))], names=["key", "same"])
+
+    small_batches(df.sparkSession)
+    dealt = df.select(F.col(text_col).alias("_text")).mapInArrow(run, "key long, same long").repartition("key")
+    every = Window.partitionBy("key")
+    return dealt.withColumn("first", F.min("same").over(every)).withColumn("last", F.max("same").over(every)).where("first < last").select("key", "same").distinct()
+
 
+def alike(similarity: float) -> Column:
+    """Whether the sizes and parities of a and b (n_a, n_b, s_a, s_b) allow the similarity; never false if they have it."""
+    apart = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH)), F.lit(0))
+    both = F.col("n_a") + F.col("n_b")
+    return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
-def similar_links(rows: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) of ``same`` numbers: texts whose word shingles have at least this similarity, each linked to the centre of those it shares pieces with.
 
-    Of the texts that share a piece the one with the largest part of shared pieces is the centre: an original has all
-    its pieces in some copy, a copy has edited ones. Every text is paired with its pieces' centres only,
-    never with all others. Pairs that share too few pieces go; then those whose distances to the reference
-    fingerprints differ by more than SIMILAR_BITS anywhere; the rest is verified on the exact sets of shingles.
+def centre_pairs(shared: DataFrame, unique: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each text with the centre of each of its keys, the member that has most shared keys; as many pairs as keys at most."""
+    ranked = shared.join(shared.groupBy("same").count(), "same")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("count", "same")).alias("c")).select("key", F.col("c.same").alias("b"))
+    pairs = shared.join(centres, "key").where("same <> b").select(F.least("same", "b").alias("a"), F.greatest("same", "b").alias("b")).distinct()
+    side = lambda x: unique.select(F.col("same").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike(similarity)).select("a", "b")
+
+
+def block_pairs(same: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of a left and a right member of unequal components that sizes and parities allow, as rows (a, b, least) with a < b.
+
+    ``least`` is how many keys such a pair must share: beyond the prefix that ends first, its text has ceil(similarity * n) - 1 shingles only.
+    """
+    out = [np.zeros((0, 3), np.int64)]
+    for at in range(0, len(left), 64):
+        some = left[at : at + 64]
+        ok = component[some, None] != component[None, right]
+        ok &= np.minimum(n[some, None], n[None, right]) >= similarity * np.maximum(n[some, None], n[None, right]) - 1e-6
+        x, y = np.nonzero(ok)
+        x, y = some[x], right[y]
+        apart = np.zeros(len(x), np.int64)
+        for word in sketch.view(np.uint64).T:  # bitwise_count takes the absolute value of signed numbers
+            apart += np.bitwise_count(word[x] ^ word[y])
+        near = apart <= (n[x] + n[y]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        x, y = x[near], y[near]
+        least = np.ceil((n[x] + n[y]) * (similarity / (1 + similarity)) - 1e-6) - np.ceil(similarity * np.maximum(n[x], n[y]) - 1e-9) + 1
+        out.append(np.stack([np.minimum(same[x], same[y]), np.maximum(same[x], same[y]), least.astype(np.int64)], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def open_pairs(shared: DataFrame, unique: DataFrame, groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs that share enough keys, are in different groups so far, and may have the similarity.
+
+    The members of a key are dealt to blocks and every two blocks meet in a task of their own, so a frequent key is no single task.
     """
-    unique = materialise(rows.groupBy("same").agg(F.first("fp").alias("fp"), F.first("pieces").alias("pieces"), F.min("row_key").alias("row_key")))
-    spread = unique.select("same", F.size("pieces").alias("n"), F.explode("pieces").alias("piece"))
-    common = spread.groupBy("piece").count().where("count > 1").select("piece")
-    shared = materialise(spread.join(common, "piece", "left_semi"))
-    part = shared.groupBy("same", "n").agg(F.count("*").alias("k")).where(F.col("k") >= SHARED * F.col("n")).select("same", (F.col("k") / F.col("n")).alias("part"))
-    ranked = shared.join(part, "same")
-    centres = ranked.groupBy("piece").agg(F.max(F.struct("part", "same")).alias("c")).select("piece", F.col("c.same").alias("b"))
-    pairs = ranked.join(centres, "piece").where("same <> b").groupBy(F.col("same").alias("a"), "b", "n").agg(F.count("*").alias("k")).where(F.col("k") >= SHARED * F.col("n"))
-    prints = unique.select("same", "fp", "row_key")
-    side = lambda x: prints.select(F.col("same").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("row_key").alias(f"key_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    away = [F.abs(F.bit_count(F.col("fp_a").bitwiseXOR(F.lit(_signed(int(r))))) - F.bit_count(F.col("fp_b").bitwiseXOR(F.lit(_signed(int(r)))))) for r in _references()]
-    near = near.where(F.greatest(*away) <= SIMILAR_BITS).where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= SIMILAR_BITS)
-    near = materialise(near.select("a", "b", "key_a", "key_b"))
-    asked = near.select(F.explode(F.array(F.struct(F.col("a").alias("same"), F.col("key_a").alias("key")), F.struct(F.col("b").alias("same"), F.col("key_b").alias("key")))).alias("x")).select("x.*").distinct()
+    placed = unique.join(groups, unique["same"] == groups["node"], "left").select("same", F.coalesce("component", "same").alias("component"), "n", "sketch")
+    every = Window.partitionBy("key")
+    parted = shared.join(placed.select("same", "component"), "same").withColumn("blocks", F.ceil(F.count("*").over(every) / F.lit(block)).cast("int"))
+    parted = parted.withColumn("first", F.min("component").over(every)).withColumn("last", F.max("component").over(every)).where("first < last")
+    parted = materialise(parted.select("key", "same", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int").alias("own"), "blocks"))
+    dealt = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(placed, "same")
+    met = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "same", "component", "n", "sketch")).alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, found = batch.column(2), [np.zeros((0, 3), np.int64)]
+            own, same, component, n = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            sketch = lists.flatten().field(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            for i, j, lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()):
+                here = np.arange(lo, hi)
+                found.append(block_pairs(same, component, n, sketch, here[own[lo:hi] == i], here[own[lo:hi] == j], similarity))
+            pairs, k = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in pairs.T), pa.array(k.astype(np.int64))], names=["a", "b", "least", "k"])
+
+    small_batches(shared.sparkSession)
+    return met.select("i", "j", "members").mapInArrow(run, "a long, b long, least long, k long").groupBy("a", "b", "least").agg(F.sum("k").alias("k")).where("k >= least").select("a", "b")
+
+
+def verified(pairs: DataFrame, unique: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose exact sets of shingles have the similarity."""
+    near = materialise(pairs)
+    asked = near.select(F.explode(F.array("a", "b")).alias("same")).distinct().join(unique.select("same", F.col("row_key").alias("key")), "same")
     asked = sized(materialise(asked))
     texts = df.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("_text")).join(asked, "key").select("same", "_text")
 
@@ -246,9 +348,26 @@ def similar_links(rows: DataFrame, df: DataFrame, id_col: str, text_col: str, sh
 
     small_batches(df.sparkSession)
     hashed = materialise(texts.mapInArrow(sets, "same long, h array<long>").groupBy("same").agg(F.first("h").alias("h")))
-    both = near.select("a", "b").join(hashed.withColumnsRenamed({"same": "a", "h": "ha"}), "a").join(hashed.withColumnsRenamed({"same": "b", "h": "hb"}), "b")
+    both = near.join(hashed.withColumnsRenamed({"same": "a", "h": "ha"}), "a").join(hashed.withColumnsRenamed({"same": "b", "h": "hb"}), "b")
     met = F.size(F.array_intersect("ha", "hb"))
-    return both.where(met >= similarity * (F.size("ha") + F.size("hb") - met)).select("a", "b")
+    return materialise(both.where(met >= similarity * (F.size("ha") + F.size("hb") - met)).select("a", "b"))
+
+
+def similar_groups(rows: DataFrame, links: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) of ``same`` numbers: groups by ``links`` and by all pairs of texts whose word shingles have at least this similarity.
+
+    Such pairs share one of their rarest shingles (``rarest``). First every text is compared with the centres of its
+    keys, which joins most groups in few pairs; then all pairs that share a key and are still in different
+    groups are compared, whatever their number. Pairs are discarded only by bounds that hold always.
+    """
+    unique = materialise(rows.where("n > 0").groupBy("same").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("row_key").alias("row_key")))
+    shared = materialise(shared_prefixes(rows, df, text_col, shingle, similarity))
+    how = (unique, df, id_col, text_col, shingle, similarity)
+    groups = materialise(components(links.unionByName(verified(centre_pairs(shared, unique, similarity), *how))))
+    more = verified(open_pairs(shared, unique, groups, similarity), *how)
+    if more.isEmpty():
+        return groups
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -258,13 +377,12 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     ``shingle``-word shingles have at least ``similarity``; groups are the components of both. Texts of equal shingles are one
     node, whatever their number. Null, empty and short texts are as in ``simhash_groups``.
     """
-    rows = materialise(pieced(df, id_col, text_col, shingle))
-    similar = similar_links(rows.where(F.size("pieces") > 0), df, id_col, text_col, shingle, similarity)
+    rows = materialise(described(df, id_col, text_col, shingle))
     heads = materialise(rows.groupBy("fp3").agg(F.min("same").alias("head")))
     inside = rows.join(heads, "fp3").select(F.col("same").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
     between = near_links(heads.select(F.col("fp3").alias("fp"))).withColumnsRenamed({"a": "x", "b": "y"})
     between = between.join(heads.withColumnsRenamed({"fp3": "x", "head": "a"}), "x").join(heads.withColumnsRenamed({"fp3": "y", "head": "b"}), "y").select("a", "b")
-    groups = components(similar.unionByName(inside).unionByName(between))
+    groups = similar_groups(rows, inside.unionByName(between), df, id_col, text_col, shingle, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
     each = rows.groupBy("same").agg(first)  # copies meet once
     named = each.join(groups, each["same"] == groups["node"], "left").select(F.coalesce("component", "same").alias("root"), "m")

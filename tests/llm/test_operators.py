@@ -233,6 +233,30 @@ def test_near_copies_of_one_text(spark):
     assert {r.doc_id for r in simhash.keep_first(df).collect()} == want and 12 <= len(want) < 20
 
 
+def kept_and_wanted(spark, table):
+    df = spark.createDataFrame(list(enumerate(table)), "doc_id long, text string").repartition(4)
+    sets = [set(shingles(low(t))) for t in table]
+    linked = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0
+    want = components_of([brute_simhash(t) for t in table], list(range(len(table))), linked)
+    return sorted(r.doc_id for r in simhash.keep_first(df).collect()), sorted(set(want))
+
+
+def test_near_copies_with_a_passage_common_to_all(spark):
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(5_000)}"
+    common_ = [word() for _ in range(300)]
+    table = []
+    for _ in range(40):
+        own = [word() for _ in range(150)]
+        for _ in range(2):
+            c = own + common_
+            for at in rng.sample(range(len(c)), 5):
+                c[at] = word()
+            table.append(" ".join(c))
+    kept, want = kept_and_wanted(spark, table)
+    assert kept == want and len(want) < 60
+
+
 @pytest.mark.parametrize("crowd", [2, 10_000])
 def test_links_keep_components(spark, crowd):
     rng = random.Random(8)
