@@ -257,6 +257,21 @@ def test_near_copies_with_a_passage_common_to_all(spark):
     assert kept == want and len(want) < 60
 
 
+def test_near_copies_of_short_texts(spark):
+    rng = random.Random(13)
+    word = lambda: f"v{rng.randrange(2_000)}"
+    table = []
+    for n in [*range(8, 24)] * 4 + [30, 40, 50, 60] * 5:
+        a = [word() for _ in range(n)]
+        b = a + [word() for _ in range(1 if n < 30 else 5)]
+        if n >= 50:
+            b = list(a)
+            b[rng.randrange(n)] = word()
+        table += [" ".join(a), " ".join(b)]
+    kept, want = kept_and_wanted(spark, table)
+    assert kept == want and len(want) < 125
+
+
 @pytest.mark.parametrize("crowd", [2, 10_000])
 def test_links_keep_components(spark, crowd):
     rng = random.Random(8)
