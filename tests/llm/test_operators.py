@@ -257,6 +257,25 @@ def test_near_copies_with_a_passage_common_to_all(spark):
     assert kept == want and len(want) < 60
 
 
+def test_bounds_keep_similar_sets():
+    rng, kept = random.Random(1), 0
+    for _ in range(1_500):
+        n = rng.randint(1, 120)
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(rng.sample(sorted(a), rng.randint(max(1, int(0.8 * n)), n))) | {rng.getrandbits(64) for _ in range(rng.randint(0, 1 + n // 5))}
+        if len(a & b) < 0.8 * len(a | b):
+            continue
+        x, y = (np.array(sorted(v), np.uint64) for v in (a, b))
+        some = np.array(sorted(rng.sample(sorted(a), rng.randint(0, n))), np.uint64)
+        frequent = some, np.array([rng.randint(3, 6) for _ in some], np.int32)
+        k = len({*simhash.rarest(x, frequent, 0.8).tolist()} & {*simhash.rarest(y, frequent, 0.8).tolist()})
+        sketch = np.stack([simhash.parities(x), simhash.parities(y)])
+        pairs = simhash.block_pairs(np.arange(2), np.arange(2), np.array([len(x), len(y)]), sketch, np.array([0]), np.array([1]), 0.8)
+        assert len(pairs) == 1 and k >= max(1, pairs[0, 2])
+        kept += 1
+    assert kept > 300
+
+
 def test_near_copies_of_short_texts(spark):
     rng = random.Random(13)
     word = lambda: f"v{rng.randrange(2_000)}"
@@ -272,6 +291,18 @@ def test_near_copies_of_short_texts(spark):
     assert kept == want and len(want) < 125
 
 
+def test_near_copies_with_repeated_lines(spark):
+    rng = random.Random(14)
+    word = lambda: f"v{rng.randrange(5_000)}"
+    table = []
+    for i in range(60):
+        a = [word() for _ in range(200)]
+        line = a[50:90]
+        table += [" ".join(a), " ".join(a[:90] + line * (10 + 20 * (i % 2)) + a[90:])]
+    kept, want = kept_and_wanted(spark, table)
+    assert kept == want and len(want) == 60
+
+
 @pytest.mark.parametrize("crowd", [2, 10_000])
 def test_links_keep_components(spark, crowd):
     rng = random.Random(8)
