@@ -33,6 +33,12 @@ def quarter_end(index: Column) -> Column:
     return F.last_day(F.make_date(F.floor(index / 4).cast("int"), (F.pmod(index, F.lit(4)) * 3 + 3).cast("int"), F.lit(1)))
 
 
+def quarter_ends(first: Column, last: Column) -> Column:
+    """The quarter ends from one date's quarter to another's; none where the last is earlier."""
+    span = F.sequence(quarter_index(first), F.greatest(quarter_index(first), quarter_index(last)))
+    return F.when(quarter_index(last) < quarter_index(first), F.array().cast("array<date>")).otherwise(F.transform(span, quarter_end))
+
+
 def is_quarter_end(date: Column) -> Column:
     return date == quarter_end(quarter_index(date))
 

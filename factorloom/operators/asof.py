@@ -15,33 +15,49 @@ def attach_filings(bars: DataFrame, filings: DataFrame, carry: tuple[str, ...] =
     datekey, carried values) is the answer: one shuffle, no range join. Bars before the first filing go.
     """
     fields = ["calendardate", "datekey", *carry]
-    known = F.struct(*fields)
-    left = filings.where("datekey is not null and calendardate is not null").select("ticker", F.col("datekey").alias("date"), F.lit(0).alias("_bar"), known.alias("_known"), F.lit(None).cast(bars.select(F.struct(*bars.columns)).schema[0].dataType).alias("_row"))
-    right = bars.select("ticker", "date", F.lit(1).alias("_bar"), F.lit(None).cast(left.schema["_known"].dataType).alias("_known"), F.struct(*bars.columns).alias("_row"))
+    known = filings.where("datekey is not null and calendardate is not null").select("ticker", F.col("datekey").alias("date"), F.lit(0).alias("_bar"), F.struct(*fields).alias("_known"))
     w = Window.partitionBy("ticker").orderBy("date", "_bar").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("_at", F.max("_known").over(w)).where("_bar = 1 and _at is not null")
-    return both.select("_row.*", "_at.*", F.datediff("date", "_at.datekey").alias("age"))
+    both = bars.withColumn("_bar", F.lit(1)).unionByName(known, allowMissingColumns=True).withColumn("_at", F.max("_known").over(w))
+    return both.where("_bar = 1 and _at is not null").select(*bars.columns, "_at.*", F.datediff("date", "_at.datekey").alias("age"))
 
 
 def enrich(df: DataFrame, metadata: DataFrame, columns: tuple[str, ...] = ("industry", "sector", "siccode")) -> DataFrame:
-    """Rows of tickers that have metadata, with its columns; one row a ticker is small and is broadcast by Spark where it is."""
-    return df.join(metadata.groupBy("ticker").agg(*[F.last(c, ignorenulls=True).alias(c) for c in columns]), "ticker")
+    """Rows of tickers that have metadata, with its columns, all from the last row (``last_rows``); Spark broadcasts them where they are small."""
+    return df.join(last_rows(metadata, columns), "ticker")
 
 
-def filing_lags(current: DataFrame, history: DataFrame, lags: list[int], values: list[str], prefix: str) -> DataFrame:
-    """``current`` with prefix{lag}_{value} of the filing ``lag`` quarters earlier that was public by then (its latest datekey).
+def last_rows(metadata: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(ticker, columns...) of one row a ticker: that with the latest first price, then the greatest values, nulls least."""
+    order = [c for c in ("firstpricedate", *columns) if c in metadata.columns]
+    return metadata.groupBy("ticker").agg(F.max(F.struct(*dict.fromkeys(order))).alias("_m")).select("ticker", *[F.col(f"_m.{c}").alias(c) for c in columns])
 
-    One equi-join on (ticker, quarter) of the current rows exploded by lag, and one aggregation back.
+
+def filing_lags(current: DataFrame, looks: list[tuple[DataFrame | None, list[int], list[str], str]]) -> DataFrame:
+    """``current`` with, for each look-up (history, lags, values, prefix), prefix{lag}_{value} of the filing ``lag`` quarters earlier that was public by then.
+
+    Of several filings of a quarter the latest that was public counts. A history of None is ``current`` itself. The filings of a quarter,
+    one and its few amendments, are one row; the row of ``lag`` quarters before is found in a window over a ticker's
+    quarters, so everything is shuffled once, by ticker, and nothing is repeated for each lag. has_{prefix}{lag} tells whether
+    there is such a filing; a single lag isn't part of the names.
     """
-    key = ["ticker", "calendardate", "datekey"]
-    asked = current.select(*key, F.explode(F.array(*map(F.lit, lags))).alias("lag")).withColumn("_q", quarter_index(F.col("calendardate")) - F.col("lag"))
-    known = history.select("ticker", quarter_index(F.col("calendardate")).alias("_q"), F.col("datekey").alias("_public"), F.struct(*values).alias("_v"))
-    met = asked.join(known, ["ticker", "_q"]).where("_public <= datekey")
-    found = met.groupBy(*key).agg(*[F.max_by("_v", F.when(F.col("lag") == i, F.col("_public"))).alias(f"_{i}") for i in lags])
-    name = (lambda i, v: f"{prefix}{i}_{v}") if len(lags) > 1 else (lambda i, v: f"{prefix}_{v}")
-    flat = found.select(*key, *[F.col(f"_{i}").isNotNull().alias(f"has_{prefix}{i if len(lags) > 1 else ''}") for i in lags], *[F.col(f"_{i}.{v}").alias(name(i, v)) for i in lags for v in values])
-    flags = [c for c in flat.columns if c.startswith("has_")]
-    return current.join(flat, key, "left").fillna(False, subset=flags)
+    quarter = quarter_index(F.col("calendardate")).alias("_q")
+    base = current.select("ticker", quarter, F.struct("datekey", *[c for c in current.columns if c != "datekey"]).alias("_own"))
+    for n, (history, _, values, _) in enumerate(looks):
+        if history is not None:
+            base = base.unionByName(history.select("ticker", quarter, F.struct("datekey", *values).alias(f"_h{n}")), allowMissingColumns=True)
+    base = base if len(base.columns) == 3 else base.repartition("ticker")
+    quarters = base.groupBy("ticker", "_q").agg(*[F.collect_list(c).alias(c) for c in base.columns[2:]])
+    back = lambda i: Window.partitionBy("ticker").orderBy("_q").rangeBetween(-i, -i)
+    lists = {f"_{prefix}{i}": F.first("_own" if history is None else f"_h{n}").over(back(i)) for n, (history, lags, _, prefix) in enumerate(looks) for i in lags}
+    rows = quarters.withColumns(lists).select(*lists, F.explode("_own").alias("_c"))
+    known = lambda c: F.array_max(F.filter(c, lambda x: x["datekey"] <= F.col("_c.datekey"))).alias(c)
+    rows = rows.select("_c", *map(known, lists))
+    out = [F.col(f"_c.{c}").alias(c) for c in current.columns]
+    for _, lags, values, prefix in looks:
+        for i in lags:
+            name = f"{prefix}{i if len(lags) > 1 else ''}"
+            out += [F.col(f"_{prefix}{i}").isNotNull().alias(f"has_{name}"), *[F.col(f"_{prefix}{i}.{v}").alias(f"{name}_{v}") for v in values]]
+    return rows.select(*out)
 
 
 def binned_range_join(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, at: str, days: int, how: str = "inner") -> DataFrame:

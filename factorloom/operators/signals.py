@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.stages import with_ordinal
 from factorloom.operators.asof import trailing_window
 
 
-def signal_id() -> Column:
-    """A number that depends on the ticker and date of a signal only."""
-    return F.xxhash64("ticker", "date")
-
-
 def rebalance_dates(business: DataFrame, weekdays: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
     """Business days on the allowed weekdays (0: Monday)."""
     return business.where("is_business_day").where(F.weekday("date").isin(*weekdays)).select("date")
@@ -21,11 +17,11 @@ def rebalance_dates(business: DataFrame, weekdays: tuple[int, ...] = (0, 1, 2, 3
 def make_signals(dates: DataFrame, scored: DataFrame, tradeable: DataFrame, age: int = 5, longs: int = 15, shorts: int = 6) -> DataFrame:
     """(rebalance, signal_id, ticker, direction, certainty, ewmstd, features_date) of the surest longs and shorts of each date.
 
-    ``scored`` has ticker, date, side, certainty and ewmstd. Candidates are the features of the ``age`` days before a date;
+    ``scored`` has ticker, date, side, certainty and ewmstd; signal_id is its running number in date order, then by ticker. Candidates are the features of the ``age`` days before a date;
     the best of each side are ranked in a window whose partial ranks run before the shuffle; only then are
     tickers dropped that can't be traded on the date.
     """
-    seen = trailing_window(dates, scored.withColumn("signal_id", signal_id()), age)
+    seen = trailing_window(dates, with_ordinal(scored, ["date", "ticker"], "signal_id"), age)
     best = Window.partitionBy("rebalance", "side").orderBy(F.desc("certainty"), "signal_id")
     ranked = seen.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= F.when(F.col("side") > 0, longs).otherwise(shorts))
     open_ = tradeable.where("is_tradeable").select("ticker", F.col("date").alias("rebalance"))
@@ -54,19 +50,31 @@ def allocations(signals: DataFrame) -> DataFrame:
     return signals.withColumn("_s", surplus).withColumn("allocation", F.col("_s") / F.sum("_s").over(Window.partitionBy("rebalance"))).drop("_s")
 
 
-def size_orders(signals: DataFrame, bars: DataFrame, funds: DataFrame, max_position: float = 0.05, volume_limit: float = 0.1, initial_margin: float = 0.5, least: float = 100.0, barriers: tuple[float, float] = (1.0, -1.0)) -> DataFrame:
-    """Orders of allocated signals, given (date, value, funds) for each date.
+def judged_orders(signals: DataFrame, bars: DataFrame, funds: DataFrame, max_position: float = 0.05, volume_limit: float = 0.1, initial_margin: float = 0.5, least: float = 100.0, barriers: tuple[float, float] = (1.0, -1.0)) -> DataFrame:
+    """Orders of allocated signals, given (date, value, funds) for each date, with ``error`` (null for orders that stand).
 
     Dollars are the lesser of a share of the portfolio and the allocated funds, shorts less by the initial margin; shares are
-    bounded by yesterday's volume. Orders under ``least`` dollars go. Barriers are deviations, the timeout a month.
+    bounded by yesterday's volume. Orders under ``least`` dollars are an error. Barriers are deviations, the timeout a month.
     """
     day = bars.select("ticker", F.col("date").alias("rebalance"), "open", F.lag("volume").over(Window.partitionBy("ticker").orderBy("date")).alias("_volume"))
     out = signals.join(day, ["ticker", "rebalance"]).join(funds.withColumnRenamed("date", "rebalance"), "rebalance")
     dollars = F.least(F.col("value") * max_position, F.col("funds") * F.col("allocation"))
     dollars = F.when(F.col("direction") < 0, dollars / (1 + initial_margin)).otherwise(dollars)
     shares = F.least(F.floor(F.col("_volume") * volume_limit), F.floor(F.try_divide(dollars, F.col("open"))))
-    out = out.withColumn("shares", shares).where(F.col("shares") * F.col("open") >= least)
+    out = out.withColumn("shares", shares)
+    stands = F.coalesce(F.col("shares") * F.col("open") >= least, F.lit(False))
     return out.select(
         F.col("signal_id").alias("order_id"), "signal_id", F.col("rebalance").alias("date"), "ticker", (F.col("shares") * F.col("direction")).alias("amount"), "direction",
         (F.col("ewmstd") * barriers[0]).alias("take_profit"), (F.col("ewmstd") * barriers[1]).alias("stop_loss"), F.add_months("rebalance", 1).alias("timeout"), F.col("open").alias("fill_price"),
+        F.when(~stands, F.lit("below the least order")).alias("error"),
     )
+
+
+def size_orders(signals: DataFrame, bars: DataFrame, funds: DataFrame, **how) -> DataFrame:
+    """The orders of ``judged_orders`` that stand."""
+    return judged_orders(signals, bars, funds, **how).where("error is null").drop("error")
+
+
+def cancelled_orders(signals: DataFrame, bars: DataFrame, funds: DataFrame, **how) -> DataFrame:
+    """The others, with their error."""
+    return judged_orders(signals, bars, funds, **how).where("error is not null")

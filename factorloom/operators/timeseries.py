@@ -110,16 +110,29 @@ def attach_ewm_std(samples: DataFrame, monthly: DataFrame, out: str = "ewmstd_2y
 def trailing_statistics(bars: DataFrame, first_sample: str | None = None) -> DataFrame:
     """Add trailing month, two and three month and year statistics; bars carry sharesbas and sharefactor.
 
-    Frames are calendar intervals up to the row's own date. A statistic is null until its interval has passed since
-    ``first_sample`` (a date column; the ticker's first bar by default). Days without volume don't count in ``ill``.
+    Spans are calendar intervals up to the row's own date. A statistic is null until its interval has passed since
+    ``first_sample`` (a date column; the ticker's first bar by default). Days without volume don't count in ``ill``. Sums over
+    more than a month are differences of running sums, so no frame of a year is added up again for every row.
     """
-    interval = lambda length: f"OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL {length} PRECEDING AND CURRENT ROW)"
-    month, two, three, year = (interval(x) for x in ("'1' MONTH", "'2' MONTH", "'3' MONTH", "'1' YEAR"))
+    by_date = "PARTITION BY ticker ORDER BY date RANGE BETWEEN"
+    month = f"OVER ({by_date} INTERVAL '1' MONTH PRECEDING AND CURRENT ROW)"
+
+    def span(aggregate: str, n: int) -> str:
+        """A sum or count over the last n months."""
+        start = f"INTERVAL '{n}' MONTH PRECEDING"
+        until, before, at = (f"coalesce({aggregate} OVER ({by_date} {f}), 0)" for f in ("UNBOUNDED PRECEDING AND CURRENT ROW", f"UNBOUNDED PRECEDING AND {start}", f"{start} AND {start}"))
+        return f"({until} - {before} + {at})"
+
+    def known_sum(x: str, n: int) -> str:
+        """Sum over the last n months; null if all values are."""
+        return f"CASE WHEN {span(f'count({x})', n)} > 0 THEN {span(f'sum({x})', n)} END"
+
     start = F.col(first_sample) if first_sample else F.min("date").over(Window.partitionBy("ticker"))
     day = {
         "_ret": change(F.col("close"), F.col("open")),
         "_dollars": (F.col("open") + F.col("close")) / 2 * F.col("volume"),
         "_turn": ratio(F.col("volume"), F.col("sharesbas")),
+        "_sold": F.when(F.col("close") * F.col("volume") > 0, F.col("close") * F.col("volume")),
     }
     df = bars.withColumns(day).withColumn("_ill", ratio(F.abs("_ret"), F.col("_dollars"))).withColumn("_cap", F.col("sharesbas") * F.col("sharefactor") * F.col("close")).withColumn("_start", start)
     root = "sqrt(22D)"
@@ -131,11 +144,15 @@ def trailing_statistics(bars: DataFrame, first_sample: str | None = None) -> Dat
         "std_turn": f"stddev_samp(_turn) {month} * {root}",
         "zerotrade": f"(count_if(volume = 0) {month} + try_divide(1D, {turnover}) / (11000D / 12)) * 21 / count(*) {month}",
     }
-    dollar = f"sum(close * volume) {two}"
-    others = {"dolvol": (2, f"CASE WHEN {dollar} > 0 THEN ln({dollar}) END"), "turn": (3, f"try_divide(sum(volume) {three} / 3, sharesbas)"), "ill": (12, f"avg(_ill) {year}"), "dy": (12, f"try_divide(sum(dividends) {year}, _cap)")}
+    others = {
+        "dolvol": (2, f"ln({known_sum('_sold', 2)})"),
+        "turn": (3, f"try_divide({known_sum('volume', 3)} / 3, sharesbas)"),
+        "ill": (12, f"try_divide({known_sum('_ill', 12)}, {span('count(_ill)', 12)})"),
+        "dy": (12, f"try_divide({known_sum('dividends', 12)}, _cap)"),
+    }
     gate = lambda months, e: F.when(F.col("date") >= F.add_months("_start", months), F.expr(e))
     cols = {k: gate(1, e) for k, e in monthly.items()} | {k: gate(m, e) for k, (m, e) in others.items()} | {"mve": F.expr("CASE WHEN _cap > 0 THEN ln(_cap) END")}
-    return df.withColumns(cols).drop("_ret", "_dollars", "_turn", "_ill", "_cap", "_start")
+    return df.withColumns(cols).drop("_ret", "_dollars", "_turn", "_sold", "_ill", "_cap", "_start")
 
 
 def weekly_series(df: DataFrame, x: str = "mom1w", market: str = "mom1w_ewa_market") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,17 +92,58 @@ def daily_values(active: DataFrame, initial_margin: float = 0.5, maintenance_mar
     return active.groupBy(F.col("day").alias("date")).agg(F.sum(value).alias("market_value"), F.sum(n * F.col("close")).alias("exposure"), F.sum(margin).alias("required_margin"), F.sum(interest).alias("short_interest"), F.count("*").alias("positions"))
 
 
+#: kinds of costs, then of income
+LEDGER = ("commission", "slippage", "charged", "margin_interest", "account_interest", "short_dividends", "short_losses", "dividends", "interest", "proceeds")
+INCOME = ("dividends", "interest", "proceeds")
+
+
+def cash_entries(trades: DataFrame, exits: DataFrame, active: DataFrame, slippage: float = 0.0) -> DataFrame:
+    """(date, kind, amount) of a book's cash flows: fees and what long trades cost, daily interest and dividends of open trades, and what closed ones bring or lose."""
+
+    def entry(df: DataFrame, date: str, kind: str, amount: Column) -> DataFrame:
+        return df.select(F.col(date).alias("date"), F.lit(kind).alias("kind"), amount.cast("double").alias("amount"))
+
+    shares = F.abs("amount")
+    days, paid = daily_values(active), dividend_flows(active)
+    parts = [
+        entry(trades, "trade_date", "commission", commission(shares, F.col("fill_price"))), entry(trades, "trade_date", "slippage", shares * slippage),
+        entry(trades, "trade_date", "charged", F.when(F.col("direction") > 0, shares * F.col("fill_price")).otherwise(0.0)), entry(days, "date", "margin_interest", F.col("short_interest")),
+        entry(paid, "date", "dividends", F.col("dividends")), entry(paid, "date", "short_dividends", F.col("short_dividends")),
+        entry(exits.where("proceeds > 0"), "close_date", "proceeds", F.col("proceeds")), entry(exits.where("proceeds < 0"), "close_date", "short_losses", -F.col("proceeds")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def daily_balances(entries: DataFrame, start: float) -> DataFrame:
+    """(date, balance) after each day with entries: one row a day, added up in date order."""
+    cash = F.when(F.col("kind").isin(*INCOME), F.col("amount")).otherwise(-F.col("amount"))
+    days = entries.groupBy("date").agg(F.sum(cash).alias("cash"))
+    return days.select("date", (start + F.sum("cash").over(Window.orderBy("date"))).alias("balance"))
+
+
 def account_interest(balances: DataFrame, interest: DataFrame) -> DataFrame:
     """(date, interest): income on a positive day balance, cost on a negative one, of (date, balance, margin_account)."""
     return balances.join(interest.select("date", "daily"), "date").select("date", ((F.col("balance") + F.col("margin_account")) * F.col("daily")).alias("interest"))
 
 
+def interest_entries(interest: DataFrame) -> DataFrame:
+    """Entries of account interest: a cost where it is negative, income where it is positive."""
+    kind = F.when(F.col("interest") < 0, "account_interest").otherwise("interest")
+    return interest.where("interest <> 0").select("date", kind.alias("kind"), F.abs("interest").alias("amount"))
+
+
 def ledger(entries: DataFrame, kinds: list[str]) -> DataFrame:
     """One row a day with a column for each kind of (date, kind, amount), and a row with a null date for the total."""
     cells = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("amount"))), F.lit(0.0)).alias(k) for k in kinds]
     return entries.rollup("date").agg(*cells)
 
 
+def trade_history(trades: DataFrame, exits: DataFrame, orders: DataFrame, signals: DataFrame) -> DataFrame:
+    """Every trade with its exit (null while it is open), the date of its order, and the certainty and features date of its signal."""
+    why = orders.select("order_id", "signal_id", F.col("date").alias("order_date")).join(signals.select("signal_id", F.col("rebalance").alias("order_date"), "certainty", "features_date"), ["signal_id", "order_date"])
+    return trades.drop("signal_id").join(why, "order_id").join(exits, "order_id", "left")
+
+
 def trade_statistics(closed: DataFrame) -> DataFrame:
     """One row of statistics over closed trades: trades joined with their exits and commission.
 

@@ -107,11 +107,24 @@ PARTS["filled"] = """filled AS (SELECT f.* EXCLUDE (calendardate, gap), CAST(las
        (SELECT unnest(range(0, 4)) AS k) WHERE k <= greatest(0, least(3, gap - 1)))""".replace("qidx + k AS qidx_", "qidx + k AS qidx").replace("EXCLUDE (calendardate, gap)", "EXCLUDE (calendardate, gap, qidx)")
 PARTS["featured"] = _fundamentals().strip()
 PARTS["industries"] = _industry().strip()
+PARTS["walked"] = """days AS MATERIALIZED (SELECT ticker, date, datekey, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM known),
+walk AS (SELECT ticker, i, date, datekey, CAST(date + INTERVAL 1 MONTH AS DATE) AS target, date AS before, date AS last, date AS taken, CAST(NULL AS DATE) AS dropped FROM days WHERE i = 1
+  UNION ALL SELECT ticker, i, date, datekey, CASE WHEN filed THEN CAST(date + INTERVAL 1 MONTH AS DATE) WHEN date >= target THEN CAST(target + INTERVAL 1 MONTH AS DATE) ELSE target END, CASE WHEN filed THEN before ELSE date END,
+    coalesce(taken, last), taken, CASE WHEN filed AND last > date - 20 THEN last END
+  FROM (SELECT *, CASE WHEN filed OR date = target THEN date WHEN date > target THEN CASE WHEN target - before > date - target THEN date ELSE before END END AS taken
+        FROM (SELECT d.*, w.target, w.before, w.last, d.datekey <> w.datekey AS filed FROM walk w JOIN days d ON d.ticker = w.ticker AND d.i = w.i + 1))),
+walked AS (SELECT ticker, day AS date FROM (SELECT ticker, taken AS day, 1 AS n FROM walk WHERE taken IS NOT NULL UNION ALL SELECT ticker, dropped, -1 FROM walk WHERE dropped IS NOT NULL) GROUP BY ALL HAVING sum(n) > 0)"""
 PARTS["actions"] = """ended AS (SELECT ticker, max(date) AS date FROM bars GROUP BY ticker HAVING max(date) < (SELECT max(date) FROM bars)),
 actions AS (SELECT ticker, min(date) AS date, CASE WHEN bool_or(b) THEN 'bankruptcy' ELSE 'delisted' END AS action
   FROM (SELECT ticker, date, true AS b FROM corp_events WHERE list_contains(string_split(eventcodes, '|'), '13') UNION ALL SELECT ticker, date, false FROM ended) GROUP BY ticker)"""
 PARTS["scored"] = """scored AS (SELECT ticker, date, CASE WHEN mom1w > 0 THEN 1 ELSE -1 END AS side, round(0.5 + least(0.49, greatest(0.01, abs(mom1w) / 10)), 9) AS certainty, ewmstd_2y_monthly AS ewmstd
   FROM sampled WHERE mom1w IS NOT NULL AND ewmstd_2y_monthly IS NOT NULL)"""
+PARTS["numbered"] = "numbered AS (SELECT *, row_number() OVER (ORDER BY date, ticker) - 1 AS signal_id FROM scored)"
+PARTS["rebalanced"] = """fridays AS (SELECT date FROM filled_days WHERE isodow(date) = 5 GROUP BY date HAVING bool_or(can_trade)),
+candidates AS (SELECT d.date AS rebalance, n.* FROM fridays d JOIN numbered n ON n.date BETWEEN d.date - 7 AND d.date - 1),
+best AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY rebalance, side ORDER BY certainty DESC, signal_id) <= CASE WHEN side > 0 THEN 15 ELSE 6 END),
+rebalanced AS (SELECT b.rebalance, b.signal_id, b.ticker, b.side AS direction, b.certainty, b.ewmstd, b.date AS features_date FROM best b JOIN filled_days f ON f.ticker = b.ticker AND f.date = b.rebalance
+  LEFT JOIN actions a ON a.ticker = b.ticker WHERE f.can_trade AND coalesce(f.date < a.date, true))"""
 PARTS["trades"] = """trades AS (SELECT CAST(ticker AS BIGINT) * 1000000 + year(date) * 100 + month(date) AS order_id, ticker, CASE WHEN (month(date) + year(date) + CAST(ticker AS INT)) % 3 = 0 THEN -1 ELSE 1 END AS direction,
   CAST(CASE WHEN (month(date) + year(date) + CAST(ticker AS INT)) % 3 = 0 THEN -1 ELSE 1 END * ((month(date) + year(date) + CAST(ticker AS INT)) % 7 + 1) * 10 AS DOUBLE) AS amount, close AS fill_price, date + 1 AS trade_date, date + 28 AS timeout, 0.6 AS take_profit, -0.4 AS stop_loss
   FROM bars QUALIFY row_number() OVER (PARTITION BY ticker, last_day(date) ORDER BY date DESC) = 1)"""
@@ -129,7 +142,7 @@ PARTS["active"] = "active AS (SELECT p.* FROM paths p LEFT JOIN exits e USING (o
 
 NEEDS = {
     "pit": ["bars", "filings"], "known": ["pit", "metadata"], "adj": ["known"], "rets": ["adj"], "priced": ["rets"], "monthly": ["adj"], "sampled": ["priced", "monthly"], "filled_days": ["bars"], "rates": ["bills"],
-    "filled": ["filings"], "featured": ["filled", "metadata"], "industries": ["featured"], "actions": ["bars", "corp_events"], "scored": ["sampled"], "trades": ["bars"], "paths": ["trades"], "exits": ["paths", "actions"], "active": ["exits"],
+    "filled": ["filings"], "featured": ["filled", "metadata"], "industries": ["featured"], "actions": ["bars", "corp_events"], "scored": ["sampled"], "walked": ["known"], "numbered": ["scored"], "rebalanced": ["numbered", "filled_days", "actions"], "trades": ["bars"], "paths": ["trades"], "exits": ["paths", "actions"], "active": ["exits"],
 }
 
 
@@ -143,7 +156,7 @@ def with_parts(*names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(PARTS[n] for n in PARTS if n in wanted) + "\n"
+    return ("WITH RECURSIVE " if "walked" in wanted else "WITH ") + ",\n".join(PARTS[n] for n in PARTS if n in wanted) + "\n"
 
 
 def r(x: str, digits: int = 6, name: str | None = None) -> str:

@@ -3,41 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.functions.expressions import no_nan, rounded
+from factorloom.functions.expressions import no_nan
 from factorloom.functions.stages import shared_folder, staged
 from factorloom.operators import asof, dataset, folds, fundamentals, labels, models, reports, sampling, signals, statistics, timeseries, trades
 from factorloom.plans import workloads as W
 from factorloom.plans.oracles import r, size_sql, trailing_sql, with_parts
+from factorloom.plans.registry import ORACLES, QUERIES, cols, query
 from factorloom.sources.adapters import domain
 from factorloom.sources.readers import FILING_VALUES, subset
 from factorloom.streaming import feeds
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
-    """Register a query under its function's name, doubles rounded."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def cols(*names: str, digits: int = 6) -> str:
-    return ", ".join(r(n, digits) for n in names)
-
-
 # sources, filters and quality
 
 
@@ -67,36 +46,30 @@ FROM (SELECT ticker, calendardate - lag(calendardate) OVER (PARTITION BY ticker
 GROUP BY ticker HAVING count(*) FILTER (WHERE gap > 100) > 0"""
 
 
-def _sparse(df: DataFrame) -> DataFrame:
-    """Filings with most quarters left out, so that there are gaps."""
-    return df.where(F.pmod(F.year("calendardate") + F.quarter("calendardate") + F.col("ticker").cast("int"), F.lit(4)) == 0)
-
-
-_SPARSE = with_parts("filings") + ", thin AS (SELECT * FROM filings WHERE (year(calendardate) + quarter(calendardate) + CAST(ticker AS INT)) % 4 = 0)\n"
 _FILLED = """, full_ AS (SELECT f.ticker, f.datekey, CAST(last_day(f.calendardate + to_months(CAST(3 * k AS INTEGER))) AS DATE) AS calendardate, k > 0 AS is_filled
-FROM (SELECT *, coalesce(lead(q) OVER (PARTITION BY ticker ORDER BY calendardate, datekey) - q, 1) AS gap FROM (SELECT *, year(calendardate) * 4 + quarter(calendardate) - 1 AS q FROM thin)) f, (SELECT unnest(range(0, 4)) AS k)
+FROM (SELECT *, coalesce(lead(q) OVER (PARTITION BY ticker ORDER BY calendardate, datekey) - q, 1) AS gap FROM (SELECT *, year(calendardate) * 4 + quarter(calendardate) - 1 AS q FROM customer_filings)) f, (SELECT unnest(range(0, 4)) AS k)
 WHERE k <= greatest(0, least(3, gap - 1)))
 """
 
 
-@query(_SPARSE + _GAPS.format("thin"))
+@query(with_parts("customer_filings") + _GAPS.format("customer_filings"))
 def gap_report(spark, d):
-    return reports.gap_report(_sparse(domain(spark, d, "filings")))
+    return reports.gap_report(domain(spark, d, "customer_filings"))
 
 
-@query(_SPARSE + _FILLED + "SELECT ticker, calendardate, datekey, is_filled FROM full_")
+@query(with_parts("customer_filings") + _FILLED + "SELECT ticker, calendardate, datekey, is_filled FROM full_")
 def filled_filings(spark, d):
-    return asof.fill_quarters(_sparse(domain(spark, d, "filings"))).select("ticker", "calendardate", "datekey", "is_filled")
+    return asof.fill_quarters(domain(spark, d, "customer_filings")).select("ticker", "calendardate", "datekey", "is_filled")
 
 
-@query(_SPARSE + _FILLED + _GAPS.format("full_"))
+@query(with_parts("customer_filings") + _FILLED + _GAPS.format("full_"))
 def gap_report_after_fill(spark, d):
-    return reports.gap_report(asof.fill_quarters(_sparse(domain(spark, d, "filings"))))
+    return reports.gap_report(asof.fill_quarters(domain(spark, d, "customer_filings")))
 
 
-@query(_SPARSE + _FILLED + "SELECT ticker, calendardate, count(*) AS count FROM full_ GROUP BY ALL HAVING count(*) > 1")
+@query(with_parts("customer_filings") + _FILLED + "SELECT ticker, calendardate, count(*) AS count FROM full_ GROUP BY ALL HAVING count(*) > 1")
 def update_report_after_fill(spark, d):
-    return reports.update_report(asof.fill_quarters(_sparse(domain(spark, d, "filings"))))
+    return reports.update_report(asof.fill_quarters(domain(spark, d, "customer_filings")))
 
 
 @query(with_parts("filings") + "SELECT ticker, calendardate, count(*) AS count FROM filings GROUP BY ALL HAVING count(*) > 1")
@@ -172,11 +145,12 @@ def monthly_volatility(spark, d):
     return timeseries.monthly_ewm_std(staged(timeseries.adjust_backward(W.known_bars(spark, d)).select("ticker", "date", "adj_close")))
 
 
-_BETA = with_parts("sampled") + """, first AS (SELECT ticker, min(date) AS d0, max(date) AS d1 FROM priced GROUP BY ticker),
+def beta_sql(table: str) -> str:
+    return f""", first AS (SELECT ticker, min(date) AS d0, max(date) AS d1 FROM priced GROUP BY ticker),
 tue AS (SELECT ticker, CAST(unnest(generate_series(d0 + CAST((9 - isodow(d0)) % 7 AS INT), CAST(d1 AS TIMESTAMP), INTERVAL 7 DAYS)) AS DATE) AS day FROM first
         UNION ALL SELECT ticker, d0 FROM first WHERE isodow(d0) <> 2),
 px AS (SELECT ticker, date, mom1w FROM priced WHERE mom1w IS NOT NULL), pm AS (SELECT ticker, date, mom1w_ewa_market AS m FROM priced WHERE mom1w_ewa_market IS NOT NULL),
-asked AS (SELECT s.ticker, s.date, CAST(s.date - INTERVAL 24 MONTH AS DATE) AS s0 FROM sampled s),
+asked AS (SELECT s.ticker, s.date, CAST(s.date - INTERVAL 24 MONTH AS DATE) AS s0 FROM {table} s),
 pts AS (SELECT a.ticker, a.date, t.day FROM asked a JOIN tue t ON t.ticker = a.ticker AND t.day + CAST((8 - isodow(t.day)) % 7 AS INT) <= a.date AND t.day + CAST((8 - isodow(t.day)) % 7 AS INT) > s0 + CAST((8 - isodow(s0)) % 7 AS INT)
         UNION ALL SELECT ticker, date, s0 FROM asked),
 val AS (SELECT p.ticker, p.date, px.mom1w AS x, pm.m FROM pts p ASOF LEFT JOIN px ON px.ticker = p.ticker AND px.date <= p.day ASOF LEFT JOIN pm ON pm.ticker = p.ticker AND pm.date <= p.day),
@@ -184,7 +158,7 @@ b AS (SELECT ticker, date, covar_samp(x, m) / nullif(var_samp(m) FILTER (WHERE x
 """
 
 
-@query(_BETA + f"SELECT s.ticker, s.date, CASE WHEN s.date >= d0 + INTERVAL 24 MONTH THEN {r('b.beta', 5, 'beta').replace(' AS beta', '')} END AS beta, CASE WHEN s.date >= d0 + INTERVAL 24 MONTH THEN {r('b.idiovol', 5, 'idiovol').replace(' AS idiovol', '')} END AS idiovol FROM sampled s JOIN first USING (ticker) LEFT JOIN b ON b.ticker = s.ticker AND b.date = s.date", 5)
+@query(with_parts("sampled") + beta_sql("sampled") + f"SELECT s.ticker, s.date, CASE WHEN s.date >= d0 + INTERVAL 24 MONTH THEN {r('b.beta', 5, 'beta').replace(' AS beta', '')} END AS beta, CASE WHEN s.date >= d0 + INTERVAL 24 MONTH THEN {r('b.idiovol', 5, 'idiovol').replace(' AS idiovol', '')} END AS idiovol FROM sampled s JOIN first USING (ticker) LEFT JOIN b ON b.ticker = s.ticker AND b.date = s.date", 5)
 def market_beta(spark, d):
     bars = staged(W.priced_bars(spark, d))
     return timeseries.beta(sampling.month_end_samples(bars), bars).select("ticker", "date", "beta", "idiovol")
@@ -250,7 +224,7 @@ def industry_features(spark, d):
 
 @query()
 def samples_at_filings(spark, d):
-    return sampling.sample_at_filings(W.known_bars(spark, d)).select("ticker", "date", "datekey")
+    return sampling.sample_at_filings(staged(W.known_bars(spark, d).select("ticker", "date", "datekey")))
 
 
 @query(with_parts("sampled") + f"SELECT ticker, date, {cols('ewmstd_2y_monthly', 'adj_close')} FROM sampled", 6)
@@ -258,35 +232,35 @@ def month_end_samples(spark, d):
     return W.month_end_features(spark, d).select("ticker", "date", "ewmstd_2y_monthly", "adj_close")
 
 
-def _barrier_sql(table: str, up: float, down: float, side: str) -> str:
+def barrier_sql(table: str, up: float, down: float, side: str) -> str:
     return f""", path AS (SELECT s.ticker, s.date, s.timeout, ewmstd_2y_monthly * {up} AS up, ewmstd_2y_monthly * {down} AS down, p.date AS t, (p.adj_close / s.adj_close - 1) * {side} AS ret, p.adj_close / s.adj_close - 1 AS raw
       FROM {table} s JOIN adj p ON p.ticker = s.ticker AND p.date BETWEEN s.date AND s.timeout),
 touch AS (SELECT ticker, date, up, down, least(timeout, min(t) FILTER (WHERE ret > up), min(t) FILTER (WHERE ret < down)) AS touch FROM path GROUP BY ticker, date, up, down, timeout)
 """
 
 
-_L1 = with_parts("sampled") + _barrier_sql("sampled", 1.0, -1.0, "1")
+_L1 = with_parts("sampled") + barrier_sql("sampled", 1.0, -1.0, "1")
 
 
 @query(_L1 + f"SELECT ticker, touch.date, touch AS date_of_touch, {r('raw', 6, 'return_tbm')}, CAST(sign(raw) AS INT) AS primary_label_tbm, {r('touch.up', 6, 'take_profit_barrier')}, {r('touch.down', 6, 'stop_loss_barrier')} FROM touch JOIN path ON path.ticker = touch.ticker AND path.date = touch.date AND path.t = touch".replace("SELECT ticker,", "SELECT touch.ticker,"))
 def triple_barrier_labels(spark, d):
-    samples, bars = W.month_end_pair(spark, d)
+    samples, bars = W.barrier_pair(spark, d)
     return labels.triple_barrier(samples, bars).select("ticker", "date", "date_of_touch", "return_tbm", "primary_label_tbm", "take_profit_barrier", "stop_loss_barrier")
 
 
-_L2 = with_parts("sampled") + ", sided AS (SELECT *, CASE WHEN mom1w > 0 THEN 1 ELSE -1 END AS side_prediction FROM sampled)" + _barrier_sql("sided", 1.0, -0.8, "side_prediction")
+_L2 = with_parts("sampled") + ", sided AS (SELECT *, CASE WHEN mom1w > 0 THEN 1 ELSE -1 END AS side_prediction FROM sampled)" + barrier_sql("sided", 1.0, -0.8, "side_prediction")
 
 
 @query(_L2 + f"SELECT touch.ticker, touch.date, touch AS m_date_of_touch, {r('raw', 6, 'm_return_tbm')}, CASE WHEN raw > 0 THEN 1 ELSE 0 END AS m_primary_label_tbm FROM touch JOIN path ON path.ticker = touch.ticker AND path.date = touch.date AND path.t = touch")
 def meta_labels(spark, d):
-    samples, bars = W.month_end_pair(spark, d)
+    samples, bars = W.barrier_pair(spark, d)
     sided = samples.withColumn("side_prediction", F.when(F.col("mom1w") > 0, 1).otherwise(-1))
     return labels.meta_labels(sided, bars).select("ticker", "date", "m_date_of_touch", "m_return_tbm", "m_primary_label_tbm")
 
 
 @query(_L1 + "SELECT industry, CAST(sign(raw) AS INT) AS label, count(*) AS n FROM touch JOIN path ON path.ticker = touch.ticker AND path.date = touch.date AND path.t = touch JOIN metadata m ON m.ticker = touch.ticker GROUP BY ALL")
 def label_counts(spark, d):
-    out = labels.triple_barrier(*W.month_end_pair(spark, d))
+    out = labels.triple_barrier(*W.barrier_pair(spark, d))
     return out.groupBy("industry", F.col("primary_label_tbm").alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -342,52 +316,13 @@ def imputed_means(spark, d):
     return dataset.impute(rows, _CELLS, dataset.statistics_by(rows, ["industry", "size"], _CELLS), dataset.statistics_by(merged, ["size"], _CELLS), "mean").select("ticker", "date", *_CELLS)
 
 
-@query()
-def training_table(spark, d):
-    return W.training_table(spark, d)
-
-
 # signals and trades
 
-_SIGNALS = with_parts("scored", "filled_days", "actions") + """, days AS (SELECT date FROM filled_days WHERE isodow(date) = 5 GROUP BY date HAVING bool_or(can_trade)),
-cand AS (SELECT d.date AS rebalance, s.* FROM days d JOIN scored s ON s.date BETWEEN d.date - 7 AND d.date - 1),
-best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY rebalance, side ORDER BY certainty DESC, date, ticker) <= CASE WHEN side > 0 THEN 15 ELSE 6 END),
-sig AS (SELECT b.* FROM best b JOIN filled_days f ON f.ticker = b.ticker AND f.date = b.rebalance LEFT JOIN actions a ON a.ticker = b.ticker WHERE f.can_trade AND coalesce(f.date < a.date, true))
-"""
-
-
-@query()
-def weekly_signals(spark, d):
-    return W.weekly_signals(spark, d).select("rebalance", "ticker", "direction", "certainty", "ewmstd", "features_date")
-
-
-@query(with_parts("scored", "filled_days", "actions") + """, days AS (SELECT date FROM filled_days WHERE isodow(date) = 5 GROUP BY date HAVING bool_or(can_trade)),
-cand AS (SELECT d.date AS rebalance, s.* FROM days d JOIN scored s ON s.date BETWEEN d.date - 7 AND d.date - 1)
-SELECT b.rebalance, b.ticker, b.side AS direction, """ + cols("certainty", "ewmstd") + """, b.date AS features_date FROM cand b JOIN filled_days f ON f.ticker = b.ticker AND f.date = b.rebalance LEFT JOIN actions a ON a.ticker = b.ticker WHERE f.can_trade AND coalesce(f.date < a.date, true)""")
-def all_signals(spark, d):
-    """Signals without a limit on their number, so ties don't matter."""
-    filled = timeseries.fill_days(domain(spark, d, "bars"))
-    actions = reports.corporate_actions(domain(spark, d, "bars"), domain(spark, d, "corp_events"))
-    dates = signals.rebalance_dates(reports.business_days(filled), (4,))
-    out = signals.make_signals(dates, W.scored_samples(spark, d), reports.tradeable(filled, actions), age=7, longs=10**9, shorts=10**9)
-    return out.select("rebalance", "ticker", "direction", "certainty", "ewmstd", "features_date")
-
-
-@query()
-def sized_orders(spark, d):
-    """Orders of the top signals, with a constant portfolio value and funds."""
-    made = W.weekly_signals(spark, d)
-    none = made.limit(0)
-    top = signals.allocations(signals.top_signals(made, none.select("signal_id"), none.select("rebalance", "ticker")))
-    funds = top.select(F.col("rebalance").alias("date")).distinct().withColumns({"value": F.lit(1e9), "funds": F.lit(5e8)})
-    return signals.size_orders(top, domain(spark, d, "bars"), funds)
-
-
 _COMMISSION = "least(greatest(0.35, abs(amount) * 0.0035), abs(amount) * fill_price * 0.01)"
-_FEES = f"({_COMMISSION} + abs(amount) * 0.0002 + abs(amount) * fill_price * 0.0000207 + {_COMMISSION} * 0.000735 + abs(amount) * 0.000119)"
+COMMISSION_SQL = f"({_COMMISSION} + abs(amount) * 0.0002 + abs(amount) * fill_price * 0.0000207 + {_COMMISSION} * 0.000735 + abs(amount) * 0.000119)"
 
 
-@query(with_parts("trades") + f"SELECT order_id, {r(_FEES, 6, 'commission')}, {r('fill_price * (1 + take_profit)', 4, 'take_profit_price')}, {r('fill_price * (1 + stop_loss)', 4, 'stop_loss_price')} FROM trades")
+@query(with_parts("trades") + f"SELECT order_id, {r(COMMISSION_SQL, 6, 'commission')}, {r('fill_price * (1 + take_profit)', 4, 'take_profit_price')}, {r('fill_price * (1 + stop_loss)', 4, 'stop_loss_price')} FROM trades")
 def commissions(spark, d):
     t = trades.barrier_prices(W.plain_trades(spark, d)).withColumn("commission", trades.commission(F.abs("amount"), F.col("fill_price")))
     return t.select("order_id", "commission", F.round("take_profit_price", 4).alias("take_profit_price"), F.round("stop_loss_price", 4).alias("stop_loss_price"))
@@ -420,7 +355,7 @@ def dividend_flows(spark, d):
     return trades.dividend_flows(W.trade_book(spark, d)[2])
 
 
-@query(with_parts("trades") + f", e AS (SELECT trade_date AS date, CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS kind, {_FEES} AS amount FROM trades) SELECT coalesce(CAST(date AS VARCHAR), 'total') AS date, " + ", ".join(r(f"coalesce(sum(amount) FILTER (WHERE kind = '{k}'), 0)", 4, f'"{k}"') for k in ("long", "short")) + " FROM e GROUP BY ROLLUP (date)", 4)
+@query(with_parts("trades") + f", e AS (SELECT trade_date AS date, CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS kind, {COMMISSION_SQL} AS amount FROM trades) SELECT coalesce(CAST(date AS VARCHAR), 'total') AS date, " + ", ".join(r(f"coalesce(sum(amount) FILTER (WHERE kind = '{k}'), 0)", 4, f'"{k}"') for k in ("long", "short")) + " FROM e GROUP BY ROLLUP (date)", 4)
 def fee_ledger(spark, d):
     t = W.plain_trades(spark, d)
     entries = t.select(F.col("trade_date").alias("date"), F.when(F.col("direction") > 0, "long").otherwise("short").alias("kind"), trades.commission(F.abs("amount"), F.col("fill_price")).alias("amount"))
@@ -431,7 +366,7 @@ _HIT = "total_ret > 0"
 _MONTHS = "(datediff('month', min(trade_date), max(trade_date)) + 1)"
 
 
-@query(with_parts("exits") + f", c AS (SELECT t.*, e.* EXCLUDE (order_id), {_FEES} AS commission FROM trades t JOIN exits e USING (order_id)) SELECT count(*) AS trades, count(DISTINCT ticker) AS tickers, " + ", ".join([
+@query(with_parts("exits") + f", c AS (SELECT t.*, e.* EXCLUDE (order_id), {COMMISSION_SQL} AS commission FROM trades t JOIN exits e USING (order_id)) SELECT count(*) AS trades, count(DISTINCT ticker) AS tickers, " + ", ".join([
     r(f"avg(CASE WHEN {_HIT} THEN 1.0 ELSE 0.0 END)", 5, "hit_ratio"), r("avg(CASE WHEN direction > 0 THEN 1.0 ELSE 0.0 END)", 5, "long_ratio"), r(f"avg(total_ret) FILTER (WHERE {_HIT})", 5, "mean_hit"), r(f"avg(total_ret) FILTER (WHERE NOT {_HIT})", 5, "mean_miss"),
     r("max(total_ret)", 5, "max_hit"), r("min(total_ret)", 5, "min_miss"), r("sum(pnl * abs(amount)) FILTER (WHERE direction > 0)", 0, "pnl_long"), r("sum(pnl * abs(amount)) FILTER (WHERE direction < 0)", 0, "pnl_short"),
     r(f"count(*) / {_MONTHS}", 5, "trades_a_month"), r("avg(close_date - trade_date)", 5, "holding_days"), r("sum(commission) / sum(abs(amount) * fill_price)", 5, "fees_a_dollar"), r("sum(commission) / sum(abs(amount))", 5, "fees_a_share"), r("max(abs(amount) * fill_price)", 3, "max_position"),
@@ -446,25 +381,25 @@ def trade_statistics(spark, d):
 
 # portfolio statistics
 
-_SERIES = with_parts("filled_days") + _FWD + """, pair AS (SELECT month, avg(monthly_return) AS market, avg(monthly_return) FILTER (WHERE CAST(ticker AS INT) % 3 = 0) AS portfolio FROM fwd GROUP BY month)
+SERIES_SQL = with_parts("filled_days") + _FWD + """, pair AS (SELECT month, avg(monthly_return) AS market, avg(monthly_return) FILTER (WHERE CAST(ticker AS INT) % 3 = 0) AS portfolio FROM fwd GROUP BY month)
 """
 
 
-def _pair(spark, d):
+def monthly_pair(spark, d):
     fwd = timeseries.monthly_forward_returns(timeseries.fill_days(domain(spark, d, "bars")), "close")
     chosen = F.pmod(F.col("ticker").cast("int"), F.lit(3)) == 0
     return fwd.groupBy("month").agg(F.avg("monthly_return").alias("market"), F.avg(F.when(chosen, F.col("monthly_return"))).alias("portfolio"))
 
 
-@query(_SERIES + "SELECT " + ", ".join(r(e, 6, n) for e, n in (("corr(portfolio, market)", "correlation"), ("avg(portfolio)", "mean"), ("stddev_samp(portfolio)", "std"), ("avg(market)", "mean_market"), ("stddev_samp(market)", "std_market"))) + " FROM pair")
+@query(SERIES_SQL + "SELECT " + ", ".join(r(e, 6, n) for e, n in (("corr(portfolio, market)", "correlation"), ("avg(portfolio)", "mean"), ("stddev_samp(portfolio)", "std"), ("avg(market)", "mean_market"), ("stddev_samp(market)", "std_market"))) + " FROM pair")
 def return_moments(spark, d):
-    return statistics.return_moments(_pair(spark, d))
+    return statistics.return_moments(monthly_pair(spark, d))
 
 
-@query(_SERIES + """, m AS (SELECT avg(portfolio) AS a, stddev_samp(portfolio) AS s, stddev_pop(portfolio) AS p FROM pair), k AS (SELECT (a - 0.002) / s AS sharpe, avg(pow((portfolio - a) / p, 3)) AS skew, avg(pow((portfolio - a) / p, 4)) - 3 AS excess FROM pair, m GROUP BY a, s, p)
+@query(SERIES_SQL + """, m AS (SELECT avg(portfolio) AS a, stddev_samp(portfolio) AS s, stddev_pop(portfolio) AS p FROM pair), k AS (SELECT (a - 0.002) / s AS sharpe, avg(pow((portfolio - a) / p, 3)) AS skew, avg(pow((portfolio - a) / p, 4)) - 3 AS excess FROM pair, m GROUP BY a, s, p)
 SELECT """ + cols("sharpe", "skew", "excess") + ", " + r("sharpe + skew / 6 * pow(sharpe, 2) - excess / 24 * pow(sharpe, 3)", 6, "adjusted_sharpe") + " FROM k")
 def sharpe_ratio(spark, d):
-    return statistics.sharpe(_pair(spark, d), 0.002)
+    return statistics.sharpe(monthly_pair(spark, d), 0.002)
 
 
 @query(with_parts("bars") + f"SELECT ticker AS name, CAST(max(date) - min(date) AS INT) AS days, {r('arg_max(close, date) / arg_min(close, date) - 1', 6, 'total_return')}, {r('pow(arg_max(close, date) / arg_min(close, date), 365.0 / (max(date) - min(date))) - 1', 6, 'annual_return')} FROM bars GROUP BY ticker")
@@ -477,38 +412,27 @@ def return_histogram(spark, d):
     return statistics.return_histogram(timeseries.monthly_forward_returns(timeseries.fill_days(domain(spark, d, "bars")), "close"), "monthly_return", 0.5)
 
 
-@query()
-def mean_return_test(spark, d):
-    return statistics.t_test(_pair(spark, d), "portfolio")
-
-
-_PRED = """, y AS (SELECT ticker, date, return_1m, mom1w AS f, CASE WHEN return_1m > 0 THEN 1 ELSE 0 END AS l, CASE WHEN mom1w > 0 THEN 1 ELSE 0 END AS p FROM sampled WHERE return_1m IS NOT NULL AND mom1w IS NOT NULL)
+PREDICTIONS_SQL = with_parts("sampled") + """, y AS (SELECT ticker, date, return_1m, mom1w AS f, CASE WHEN return_1m > 0 THEN 1 ELSE 0 END AS l, CASE WHEN mom1w > 0 THEN 1 ELSE 0 END AS p FROM sampled WHERE return_1m IS NOT NULL AND mom1w IS NOT NULL)
 """
 
 
-def _forecasts(spark, d):
+def forecasts(spark, d):
     s = W.month_end_features(spark, d).where("return_1m is not null and mom1w is not null")
     return s.select("ticker", "date", "return_1m", F.col("mom1w").alias("f"), (F.col("return_1m") > 0).cast("int").alias("l"), (F.col("mom1w") > 0).cast("int").alias("p"))
 
 
-@query(with_parts("sampled") + _PRED + """, c AS (SELECT count(*) FILTER (WHERE l = 1 AND p = 1) AS tp, count(*) FILTER (WHERE l = 0 AND p = 1) AS fp, count(*) FILTER (WHERE l = 0 AND p = 0) AS tn, count(*) FILTER (WHERE l = 1 AND p = 0) AS fn FROM y)
+@query(PREDICTIONS_SQL + """, c AS (SELECT count(*) FILTER (WHERE l = 1 AND p = 1) AS tp, count(*) FILTER (WHERE l = 0 AND p = 1) AS fp, count(*) FILTER (WHERE l = 0 AND p = 0) AS tn, count(*) FILTER (WHERE l = 1 AND p = 0) AS fn FROM y)
 SELECT tp, fp, tn, fn, """ + ", ".join(r(e, 6, n) for e, n in (("(tp + tn) / (tp + fp + tn + fn)", "accuracy"), ("(tp / (tp + fn) + tn / (tn + fp)) / 2", "balanced_accuracy"), ("tp / (tp + fp)", "precision"), ("tp / (tp + fn)", "recall"), ("2 * tp / (2 * tp + fp + fn)", "f1"))) + " FROM c")
 def classification_metrics(spark, d):
-    return statistics.classification_metrics(_forecasts(spark, d), "l", "p")
+    return statistics.classification_metrics(forecasts(spark, d), "l", "p")
 
 
-@query(with_parts("sampled") + _PRED + "SELECT " + ", ".join(r(e, 6, n) for e, n in (("avg((f - return_1m) * (f - return_1m))", "mse"), ("avg(abs(f - return_1m))", "mae"), ("1 - sum((f - return_1m) * (f - return_1m)) / (var_pop(return_1m) * count(*))", "r2"), ("1 - sum((f - return_1m) * (f - return_1m)) / sum(return_1m * return_1m)", "r2_zero"))) + ", count(*) AS n FROM y")
+@query(PREDICTIONS_SQL + "SELECT " + ", ".join(r(e, 6, n) for e, n in (("avg((f - return_1m) * (f - return_1m))", "mse"), ("avg(abs(f - return_1m))", "mae"), ("1 - sum((f - return_1m) * (f - return_1m)) / (var_pop(return_1m) * count(*))", "r2"), ("1 - sum((f - return_1m) * (f - return_1m)) / sum(return_1m * return_1m)", "r2_zero"))) + ", count(*) AS n FROM y")
 def regression_metrics(spark, d):
-    return statistics.regression_metrics(_forecasts(spark, d), "return_1m", "f")
-
-
-@query()
-def bootstrap_accuracy(spark, d):
-    rows = _forecasts(spark, d).withColumn("id", F.xxhash64("ticker", "date"))
-    return statistics.bootstrap_accuracy(rows, "l", "p", 50)
+    return statistics.regression_metrics(forecasts(spark, d), "return_1m", "f")
 
 
-# folds and models
+# folds
 
 _FOLDS = with_parts("priced") + """, s AS (SELECT ticker, date, timeout FROM priced QUALIFY row_number() OVER (PARTITION BY ticker, last_day(date) ORDER BY date DESC) = 1),
 o AS (SELECT *, row_number() OVER (ORDER BY date, ticker) - 1 AS ordinal, count(*) OVER () AS n FROM s),
@@ -520,7 +444,7 @@ WHERE own = b.fold OR timeout <= lo OR ordinal >= right_ + floor(n * 0.01)"""
 
 
 def _fold_rows(spark, d):
-    return sampling.month_end_samples(W.priced_bars(spark, d)).select("ticker", "date", "timeout")
+    return sampling.month_end_samples(timeseries.price_returns(timeseries.adjust_backward(W.known_bars(spark, d)))).select("ticker", "date", "timeout")
 
 
 @query(_FOLDS)
@@ -531,7 +455,7 @@ def purged_folds(spark, d):
 @query(with_parts("priced") + """, s AS (SELECT ticker, date, timeout FROM priced QUALIFY row_number() OVER (PARTITION BY ticker, last_day(date) ORDER BY date DESC) = 1), t AS (SELECT * FROM s WHERE year(date) = 1998)
 SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE s.date <= t.timeout AND s.timeout >= t.date)""")
 def purged_overlaps(spark, d):
-    rows = _fold_rows(spark, d)
+    rows = staged(_fold_rows(spark, d))
     return folds.purge_overlaps(rows, rows.where(F.year("date") == 1998))
 
 
@@ -540,51 +464,10 @@ def embargo_times(spark, d):
     return folds.embargo_times(domain(spark, d, "bars"), 0.05)
 
 
-_X = ["mom1w", "mom1m", "mom6m", "mom12m"]
-
-
-def _model_rows(spark, d):
-    rows = W.month_end_features(spark, d).na.drop(subset=[*_X, "return_1m", "ewmstd_2y_monthly", "timeout"])
-    return rows.withColumn("label", (F.col("return_1m") > 0).cast("double"))
-
-
-@query()
-def forest_folds(spark, d):
-    """Scores of a forest over purged folds."""
-    fold = folds.purged_folds(_model_rows(spark, d), 3, embargo=0.01).cache()
-    return models.cross_validate(fold, 3, models.forest_classifier(_X, "label", trees=5, depth=3, min_weight=0.05), lambda p: statistics.classification_metrics(p, "label", "prediction"))
-
-
-@query()
-def regressions(spark, d):
-    """Test metrics of linear, component and forest regression, their mean, and the baselines."""
-    train, test = folds.date_split(_model_rows(spark, d), "2000-01-01", "2000-03-01")
-    train = train.cache()
-    fitted = {"linear": models.linear(_X, "return_1m").fit(train), "components": models.component_regression(_X, "return_1m", 3).fit(train), "forest": models.forest_regressor(_X, "return_1m", trees=5, depth=3).fit(train)}
-    scores = [statistics.regression_metrics(m.transform(test), "return_1m", "prediction").withColumn("model", F.lit(n)) for n, m in fitted.items()]
-    scores.append(statistics.regression_metrics(models.ensemble(list(fitted.values()), test), "return_1m", "prediction").withColumn("model", F.lit("ensemble")))
-    base = statistics.with_baselines(test, train, "return_1m")
-    scores += [statistics.regression_metrics(base, "return_1m", c).withColumn("model", F.lit(c)) for c in ("mean_forecast", "zero_forecast")]
-    out = scores[0]
-    for s in scores[1:]:
-        out = out.unionByName(s)
-    return out
-
-
-@query()
-def two_stage_predictions(spark, d):
-    """Side and certainty of test rows from models fitted before them."""
-    rows = _model_rows(spark, d).withColumn("erp_1m_direction", F.signum("return_1m").cast("int"))
-    train, test = folds.date_split(rows, "2000-01-01", "2000-03-01")
-    side, sure = models.two_stage(train, W.priced_bars(spark, d), _X, trees=5, depth=3, min_weight=0.05)
-    sided = models.predict_side(side, test).drop("certainty")
-    return models.predict_side(sure, sided.withColumnRenamed("side_prediction", "side").withColumn("side_prediction", F.col("side"))).select("ticker", "date", "side", "certainty")
-
-
 # streams, run to the end of what is there
 
 
-def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a streaming query writes until it has read everything, as a table."""
     base = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     run = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
@@ -603,23 +486,38 @@ _WEEK = "TIMESTAMP '1970-01-01' + to_days(CAST(7 * floor(epoch(ts) / 604800) AS
 @query(f"""SELECT ticker, start, {cols('open', 'high', 'low', 'close', 'volume')} FROM (SELECT CAST(user_id AS VARCHAR) AS ticker, {_WEEK} AS start, arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, value)) AS close, CAST(count(*) AS DOUBLE) AS volume
 FROM events WHERE value IS NOT NULL GROUP BY ALL) WHERE start + INTERVAL 9 DAY <= (SELECT max(ts) FROM events WHERE value IS NOT NULL)""")
 def stream_weekly_bars(spark, d):
-    return _drained(feeds.tumbling_bars(_ticks(spark, d))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return drained(feeds.tumbling_bars(_ticks(spark, d))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(f"""SELECT ticker, "end", {cols('maxret', 'retvol')}, n FROM (SELECT ticker, CAST(day AS TIMESTAMP) + INTERVAL 5 DAY AS "end", max(value) AS maxret, stddev_samp(value) AS retvol, count(*) AS n
 FROM (SELECT CAST(user_id AS VARCHAR) AS ticker, ts, value, unnest(generate_series(date_trunc('day', ts) - INTERVAL 4 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS day FROM events WHERE value IS NOT NULL) GROUP BY ALL)
 WHERE "end" + INTERVAL 2 DAY <= (SELECT max(ts) FROM events WHERE value IS NOT NULL)""")
 def stream_sliding_statistics(spark, d):
-    return _drained(feeds.sliding_statistics(_ticks(spark, d).withColumnRenamed("price", "ret"), "5 days")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+    return drained(feeds.sliding_statistics(_ticks(spark, d).withColumnRenamed("price", "ret"), "5 days")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query()
+_EXITS = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS ticker, ts, event_id, value AS price, event_type IN ('signup', 'purchase') AS opens, CASE WHEN event_type = 'signup' THEN 1 ELSE -1 END AS direction FROM events WHERE value > 0),
+o AS (SELECT ticker, ts, event_id AS order_id, price AS fill, direction, ts + INTERVAL 3 DAY AS until FROM e WHERE opens),
+p AS (SELECT o.*, e.ts AS moment, e.event_id AS seen, e.price, (e.price / fill - 1) * o.direction AS ret FROM o JOIN e ON e.ticker = o.ticker AND NOT e.opens AND e.ts >= o.ts),
+c AS (SELECT *, CASE WHEN moment >= until THEN 'timeout' WHEN ret <= -0.5 THEN 'stop_loss' WHEN ret >= 0.5 THEN 'take_profit' END AS cause FROM p),
+x AS (SELECT * FROM c WHERE cause IS NOT NULL QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY moment, seen) = 1),
+l AS (SELECT o.order_id, any_value(o.ticker) AS ticker, any_value(o.until) AS until, any_value(o.fill) AS fill, any_value(o.direction) AS direction, arg_max(p.price, (p.moment, p.seen)) AS price FROM o LEFT JOIN p USING (order_id)
+      WHERE o.order_id NOT IN (SELECT order_id FROM x) AND o.until + INTERVAL 2 DAY < (SELECT max(ts) FROM e) GROUP BY o.order_id)
+"""
+
+
+@query(_EXITS + f"""SELECT order_id, ticker, moment AS close_ts, price AS close_price, cause AS close_cause, {cols('ret')} FROM x
+UNION ALL SELECT order_id, ticker, until, coalesce(price, fill), 'timeout', {r('(coalesce(price, fill) / fill - 1) * direction', 6, 'ret')} FROM l""")
 def stream_exits(spark, d):
     """Trades opened by signups and purchases, closed by later values of the same user."""
-    ticks = feeds.feature_feed(spark, d, spark.read.parquet(f"{d}/events.parquet").schema, files="events.parquet").where("value > 0")
+    ticks = feeds.feature_feed(spark, d, spark.read.parquet(f"{d}/events.parquet").schema, files="events.parquet")
     opening = F.col("event_type").isin("signup", "purchase")
     events = ticks.select(
         F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.when(opening, "order").otherwise("price").alias("kind"), F.col("value").alias("price"), F.col("event_id").alias("order_id"),
         F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("direction"), F.lit(0.5).alias("take_profit"), F.lit(-0.5).alias("stop_loss"), F.expr("cast(ts as timestamp) + interval 3 days").alias("timeout"),
     )
-    return _drained(feeds.monitor_exits(events)).withColumn("close_ts", F.col("close_ts").cast("timestamp_ntz"))
+    return drained(feeds.monitor_exits(events)).withColumn("close_ts", F.col("close_ts").cast("timestamp_ntz"))
+
+
+# queries of these modules register themselves
+from factorloom.plans import dataset_queries, model_queries, trading_queries  # noqa: E402, F401

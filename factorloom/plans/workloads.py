@@ -11,7 +11,7 @@ from factorloom.sources.adapters import domain
 
 #: features of the price side that are imputed
 PRICE_FEATURES = ["mom1m", "mom6m", "mom12m", "mom24m", "chmom", "indmom", "maxret", "retvol", "std_dolvol", "std_turn", "zerotrade", "dolvol", "turn", "ill", "dy", "mve", "beta", "betasq", "idiovol"]
-FILING_FEATURES = [*fundamentals.FEATURES, *fundamentals.ADJUSTED, "ms", "company_age"]
+FILING_FEATURES = [*fundamentals.FEATURES, *fundamentals.ADJUSTED, "ms", "sin", "ipo", "company_age"]
 
 
 def known_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,13 @@ def month_end_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return timeseries.attach_ewm_std(sampling.month_end_samples(bars), timeseries.monthly_ewm_std(bars)), bars
 
 
+def barrier_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Month-end samples and bars with what barriers need: adjusted price, timeout and deviation; no other returns, no market or industry means."""
+    bars = timeseries.price_returns(timeseries.adjust_backward(known_bars(spark, sf_dir)))
+    bars = staged(bars.select("ticker", "date", "industry", "adj_close", "mom1w", "timeout"))
+    return timeseries.attach_ewm_std(sampling.month_end_samples(bars), timeseries.monthly_ewm_std(bars)), bars
+
+
 def month_end_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month-end samples with their deviations."""
     return month_end_pair(spark, sf_dir)[0]
@@ -59,8 +66,8 @@ def training_table(spark: SparkSession, sf_dir: str, strategy: str = "normal") -
 
 
 def scored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Month-end samples with a side and certainty from last month's return: a stand-in for a model's output."""
-    s = month_end_features(spark, sf_dir)
+    """Month-end samples with a side and certainty from last week's return: a stand-in for a model's output."""
+    s = barrier_pair(spark, sf_dir)[0]
     certainty = 0.5 + F.least(F.lit(0.49), F.greatest(F.lit(0.01), F.abs("mom1w") / 10))
     return s.where("mom1w is not null and ewmstd_2y_monthly is not null").select("ticker", "date", F.when(F.col("mom1w") > 0, 1).otherwise(-1).alias("side"), F.round(certainty, 9).alias("certainty"), F.col("ewmstd_2y_monthly").alias("ewmstd"))
 
@@ -83,9 +90,9 @@ def trade_book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return opened, exits, trades.active_days(opened, exits, bars), bars
 
 
-def weekly_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekly_signals(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
     """Signals of every Friday that is a business day."""
     filled = timeseries.fill_days(domain(spark, sf_dir, "bars"))
     actions = reports.corporate_actions(domain(spark, sf_dir, "bars"), domain(spark, sf_dir, "corp_events"))
     dates = signals.rebalance_dates(reports.business_days(filled), (4,))
-    return signals.make_signals(dates, scored_samples(spark, sf_dir), reports.tradeable(filled, actions), age=7)
+    return signals.make_signals(dates, scored_samples(spark, sf_dir), reports.tradeable(filled, actions), age=7, **limits)

@@ -41,6 +41,13 @@ FROM (SELECT CAST(slot AS STRING) AS ticker, last_day(make_date(year(o_orderdate
       FROM (SELECT *, o_custkey % (SELECT count(*) FROM {{supplier}}) AS slot FROM {{orders}}) AS o GROUP BY 1, 2, 3) AS g
 """
 
+#: filings by customer: most customers skip quarters, and some file one twice
+CUSTOMER_FILINGS = """
+SELECT CAST(o_custkey AS STRING) AS ticker, last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)) AS calendardate,
+       last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)) + CAST(20 + 30 * (o_orderkey % 2) AS INT) AS datekey, sum(o_totalprice) AS assets
+FROM {orders} GROUP BY o_custkey, last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)), o_orderkey % 2
+"""
+
 METADATA = """
 SELECT CAST(s_suppkey AS STRING) AS ticker, CASE WHEN s_suppkey % 10 = 9 THEN 'OTHER' ELSE 'SF1' END AS source_table, n_name AS industry, r_name AS sector,
        CAST(n_nationkey * 100 AS INT) AS siccode, CAST(f.first AS DATE) AS firstpricedate
@@ -60,12 +67,12 @@ SELECT CAST(o_custkey % (SELECT count(*) FROM {supplier}) AS STRING) AS ticker,
 FROM {orders}
 """
 
-STATEMENTS = {"bars": BARS, "filings": FILINGS, "metadata": METADATA, "bills": BILLS, "corp_events": EVENTS}
+STATEMENTS = {"bars": BARS, "filings": FILINGS, "customer_filings": CUSTOMER_FILINGS, "metadata": METADATA, "bills": BILLS, "corp_events": EVENTS}
 INPUTS = ("lineitem", "orders", "supplier", "nation", "region")
 
 
 def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of bars, filings, metadata, bills, corp_events over the tables of a folder."""
+    """One of bars, filings, customer_filings, metadata, bills, corp_events over the tables of a folder."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in INPUTS if f"{{{t}}}" in STATEMENTS[name]}
     return spark.sql(STATEMENTS[name], **used)
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 
@@ -30,51 +30,78 @@ def sliding_statistics(returns: DataFrame, length: str = "30 days", step: str =
 
 
 MONITOR = "order_id long, ticker string, close_ts timestamp, close_price double, close_cause string, ret double"
-OPEN = "order_id array<long>, direction array<int>, fill array<double>, take array<double>, stop array<double>, until array<long>"
+#: the state store that keyed state with timers needs
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def exit_monitor() -> StatefulProcessor:
+    """The keyed state of ``monitor_exits``. The class is made here so that it travels to the workers by value."""
+
+    class ExitMonitor(StatefulProcessor):
+        """One ticker: its open trades by order, the last price seen (times in microseconds), and one timer for each trade's timeout."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.open = handle.getMapState("open", "order_id long", "ts long, direction int, fill double, take double, stop double, until long")
+            self.last = handle.getValueState("last", "ts long, price double")
+
+        def closed(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+            if rows:
+                yield pd.DataFrame(rows, columns=["order_id", "ticker", "close_ts", "close_price", "close_cause", "ret"])
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            events = pd.concat(list(rows)).sort_values(["ts", "kind", "order_id"])
+            events = events[events["ts"] >= pd.Timestamp(max(0, timerValues.getCurrentWatermarkInMs()), unit="ms")]
+            held = {k[0]: v for k, v in self.open.iterator()}
+            before, out, last = set(held), [], None
+            moments, until = (events[c].to_numpy().astype("datetime64[us]").astype("int64").tolist() for c in ("ts", "timeout"))
+            for at, end, ts, kind, price, order, direction, take, stop in zip(moments, until, *(events[c].tolist() for c in ("ts", "kind", "price", "order_id", "direction", "take_profit", "stop_loss"))):
+                if kind == "order":
+                    held[int(order)] = (at, int(direction), price, take, stop, end)
+                    continue
+                last = (at, price)
+                for k, (opened, side, fill, up, down, expiry) in list(held.items()):
+                    if at < opened:
+                        continue
+                    ret = (price / fill - 1) * side
+                    cause = "timeout" if at >= expiry else "stop_loss" if ret <= down else "take_profit" if ret >= up else None
+                    if cause:
+                        out.append((k, key[0], ts, price, cause, ret))
+                        del held[k]
+            for k in before - set(held):  # their timers find nothing to close
+                self.open.removeKey((k,))
+            for k in set(held) - before:
+                self.open.updateValue((k,), held[k])
+                self.handle.registerTimer(-(-held[k][5] // 1000))
+            if last is not None:
+                self.last.update(last)
+            yield from self.closed(out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now, last, out = expiredTimerInfo.getExpiryTimeInMs() * 1000, self.last.get(), []
+            for (k,), (at, side, fill, _, _, until) in list(self.open.iterator()):
+                if until <= now:
+                    price = last[1] if last is not None and last[0] >= at else fill
+                    out.append((k, key[0], pd.Timestamp(until, unit="us"), price, "timeout", (price / fill - 1) * side))
+                    self.open.removeKey((k,))
+            yield from self.closed(out)
+
+        def close(self) -> None:
+            pass
+
+    return ExitMonitor()
 
 
 def monitor_exits(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Closed trades of a stream of orders and prices by ticker.
 
-    ``events``: ticker, ts, kind (order or price), price, order_id, direction, take_profit, stop_loss, timeout. Orders
-    open at their price and stay in the ticker's state until a price is beyond a barrier (stop first), or until event time
-    passes their timeout, when they close at the last price seen.
+    ``events``: ticker, ts, kind (order or price), price, order_id, direction, take_profit, stop_loss, timeout; rows whose price isn't
+    positive are no events. Orders open at their price and stay in the ticker's state until a later price is at or beyond a barrier
+    (stop first), is at or after their timeout, or until event time passes their timeout: then they close at the last price
+    seen since they opened, their own if there was none. Events of one time run orders first, then by order_id; events later than
+    ``late`` are dropped.
+    Sets the state store that timers need.
     """
-
-    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
-        closed = []
-
-        def close(trade: tuple, ts: pd.Timestamp, price: float, cause: str) -> None:
-            closed.append((trade[0], key[0], ts, price, cause, (price / trade[2] - 1) * trade[1]))
-
-        frames = [] if state.hasTimedOut else list(frames)
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs()
-            for t in held:
-                if t[5] <= now:
-                    close(t, pd.Timestamp(t[5], unit="ms"), t[2], "timeout")
-            held = [t for t in held if t[5] > now]
-        rows = pd.concat(frames).sort_values(["ts", "kind"]) if frames else pd.DataFrame()
-        for r in rows.itertuples():
-            ms = int(r.ts.timestamp() * 1000)
-            if r.kind == "order":
-                held.append((int(r.order_id), int(r.direction), float(r.price), float(r.take_profit), float(r.stop_loss), int(r.timeout.timestamp() * 1000)))
-                continue
-            stay = []
-            for t in held:
-                ret = (r.price / t[2] - 1) * t[1]
-                cause = "timeout" if ms >= t[5] else "stop_loss" if ret <= t[4] else "take_profit" if ret >= t[3] else None
-                if cause:
-                    close(t, r.ts, float(r.price), cause)
-                else:
-                    stay.append(t)
-            held = stay
-        if held:
-            state.update(tuple(list(x) for x in zip(*held)))
-            state.setTimeoutTimestamp(max(min(t[5] for t in held), state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(closed, columns=["order_id", "ticker", "close_ts", "close_price", "close_cause", "ret"])
-
-    return events.withWatermark("ts", late).groupBy("ticker").applyInPandasWithState(watch, MONITOR, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
+    events.sparkSession.conf.set(*STATE_STORE)
+    seen = events.where("price > 0").withWatermark("ts", late)
+    return seen.groupBy("ticker").transformWithStateInPandas(exit_monitor(), MONITOR, "append", "EventTime")

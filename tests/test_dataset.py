@@ -6,8 +6,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.functions import expressions
-from factorloom.operators import dataset, folds, fundamentals, labels, reports, signals, statistics, trades
+from factorloom.functions import expressions, stages
+from factorloom.operators import asof, dataset, folds, fundamentals, labels, reports, signals, statistics, trades
 from factorloom.plans.queries import ORACLES, QUERIES
 from factorloom.sources import readers
 
@@ -68,7 +68,7 @@ def test_folds(spark):
 
 def test_ordinals(spark):
     df = spark.createDataFrame([(day(i * 7 % 50), str(i)) for i in range(200)], "date date, ticker string").repartition(6)
-    got = folds.with_ordinal(df, ["date", "ticker"], parts=5).collect()
+    got = stages.with_ordinal(df, ["date", "ticker"]).collect()
     order = sorted(got, key=lambda r: (r.date, r.ticker))
     assert [r.ordinal for r in order] == list(range(200))
 
@@ -136,8 +136,9 @@ def test_statistics(spark):
     hist = {x.bin: x["count"] for x in statistics.return_histogram(df, "x", 2.0).collect()}
     assert hist == {0: 2, 1: 2, 2: 1}
     acc = spark.range(2000).withColumn("y", F.lit(1)).withColumn("p", (F.col("id") % 4 > 0).cast("int"))
-    draws = [x.accuracy for x in statistics.bootstrap_accuracy(acc, "y", "p", 20).collect()]
-    assert len(draws) == 20 and all(0.7 < a < 0.8 for a in draws) and len(set(draws)) > 5
+    drawn = statistics.bootstrap_accuracy(acc, "y", "p", ["id"], 20, 1_000).collect()
+    assert len(drawn) == 20 and all(0.7 < x.accuracy < 0.8 and x.n == 1_000 for x in drawn) and len({x.accuracy for x in drawn}) > 5
+    assert not statistics.bootstrap_accuracy(acc.limit(0), "y", "p", ["id"], 3, 5).count()
 
 
 def test_fundamental_formulas(spark):
@@ -203,5 +204,49 @@ def test_readers(spark, tmp_path):
     assert [r.ticker for r in readers.read_dataset(spark, str(tmp_path / "ds"), "2021-01-01").collect()] == ["B"]
 
 
+def test_csv_tables(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("date,ticker,open,high,low,close,dividends\n2010-01-01,A,10,10.5,9.5,10,2\n2010-01-02,A,x,11,9,inf,1\n")
+    first, second = readers.read_prices(spark, str(tmp_path / "p.csv")).orderBy("date").collect()
+    assert (first.ticker, first.close, first.dividends, first.volume) == ("A", 10.0, 2.0, None) and second.open is None and second.close is None
+    (tmp_path / "m.csv").write_text("table,ticker,industry,sector,siccode,firstpricedate\nSF1,A,Tobacco,Goods,2111,1998-01-02\n")
+    m = readers.read_metadata(spark, str(tmp_path / "m.csv")).first()
+    assert (m.ticker, m.table, m.siccode, m.firstpricedate) == ("A", "SF1", 2111, D(1998, 1, 2))
+    (tmp_path / "e.csv").write_text("ticker,date,eventcodes\nA,2010-01-03,13|42|98\n")
+    assert readers.read_events(spark, str(tmp_path / "e.csv")).first().eventcodes == "13|42|98"
+    kept = readers.write_stage(spark.range(3), str(tmp_path / "stage"))
+    assert kept.count() == 3 and spark.read.parquet(str(tmp_path / "stage")).count() == 3
+
+
+def test_accounts(spark):
+    balances = spark.createDataFrame([(day(0), 100.0, 50.0), (day(1), -200.0, 50.0)], "date date, balance double, margin_account double")
+    rates = spark.createDataFrame([(day(0), 0.01), (day(1), 0.01)], "date date, daily double")
+    paid = trades.account_interest(balances, rates)
+    assert {r.date: r.interest for r in paid.collect()} == {day(0): pytest.approx(1.5), day(1): pytest.approx(-1.5)}
+    book = {(r.date, r.kind): r.amount for r in trades.interest_entries(paid).collect()}
+    assert book == {(day(0), "interest"): pytest.approx(1.5), (day(1), "account_interest"): pytest.approx(1.5)}
+    entries = spark.createDataFrame([(day(0), "charged", 40.0), (day(0), "commission", 1.0), (day(2), "proceeds", 50.0)], "date date, kind string, amount double")
+    assert {r.date: r.balance for r in trades.daily_balances(entries, 100.0).collect()} == {day(0): 59.0, day(2): 109.0}
+
+
+def test_metadata_rows_stay_whole(spark):
+    rows = spark.createDataFrame([("A", "x", None, D(2000, 1, 1)), ("A", None, 7, D(1999, 1, 1))], "ticker string, industry string, siccode int, firstpricedate date")
+    assert asof.last_rows(rows, ("industry", "siccode")).first() == ("A", "x", None)
+
+
+def test_quarters_between(spark):
+    df = spark.createDataFrame([(D(2019, 9, 30), D(2020, 6, 30)), (D(2020, 3, 31), D(2019, 3, 31))], "a date, b date")
+    got = [r.x for r in df.select(expressions.quarter_ends(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got == [[D(2019, 9, 30), D(2019, 12, 31), D(2020, 3, 31), D(2020, 6, 30)], []]
+
+
+def test_lags_know_no_later_filing(spark):
+    q, public = [D(2019, 3, 31), D(2019, 6, 30), D(2019, 9, 30)], [D(2019, 5, 1), D(2019, 8, 1), D(2019, 11, 1)]
+    rows = [("A", c, p, float(i)) for i, (c, p) in enumerate(zip(q, public))] + [("A", q[0], D(2019, 9, 1), 9.0)]
+    df = spark.createDataFrame(rows, "ticker string, calendardate date, datekey date, v double")
+    for history in (None, df):
+        got = {(r.calendardate, r.datekey): (r.q0_v, r.q1_v, r.q2_v, r.has_q2) for r in asof.filing_lags(df, [(history, [0, 1, 2], ["v"], "q")]).collect()}
+        assert got == {(q[0], public[0]): (0.0, None, None, False), (q[0], D(2019, 9, 1)): (9.0, None, None, False), (q[1], public[1]): (1.0, 0.0, None, False), (q[2], public[2]): (2.0, 1.0, 9.0, True)}
+
+
 def test_every_sql_has_its_query():
     assert set(ORACLES) <= set(QUERIES)
