@@ -76,12 +76,12 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, k: int
     near = corpus.join(suspects, "key", "left_semi").groupBy("key").agg(F.first("_text").alias("_text"))
     near = near.select("key", F.transform(words(F.col("_text")), lambda w: F.translate(w, UPPER, LOWER)).alias("w"))
     found = [near.select("key", F.posexplode(windows(F.col("w"), n)).alias("at", "span")).withColumn("length", F.lit(n)) for n in [window, *short]]
-    hits = materialise(reduce(DataFrame.unionByName, found).join(sized(materialise(spans.select("span", "length").distinct())), ["span", "length"]))
+    hits = materialise(reduce(DataFrame.unionByName, found).join(sized(materialise(spans.select("span", "length").distinct()), F.octet_length("span")), ["span", "length"]))
 
     before = F.coalesce(F.max(F.col("at") + F.col("length")).over(Window.partitionBy("key").orderBy("at", "length").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     covered = hits.withColumn("fresh", F.greatest(F.lit(0), F.col("at") + F.col("length") - F.greatest(before, F.col("at")))).groupBy("key").agg(F.sum("fresh").alias("n_hit"))
     listed = hits.select("key", "span", "length").distinct().join(spans, ["span", "length"]).where("item is not null").select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("found"))
-    per_text = sized(materialise(covered.join(listed, "key", "left")))
+    per_text = sized(materialise(covered.join(listed, "key", "left")), F.aggregate("found", F.lit(0), lambda n, x: n + F.length(x) + 24))
     base = df.select(F.col(id_col).alias("doc_id"), *keep, key, F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     found_items = F.coalesce("found", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.llm.common import materialise
+
 WHITE = r"[\x20\x09-\x0D]+"
-#: rows in one bucket of neighbours, and the most buckets (one small row of each is broadcast)
+#: rows in one range of neighbours, and the most ranges (one key of each is broadcast)
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 100_000
 
 
@@ -65,28 +67,27 @@ def as_hex(sketch: Column) -> Column:
 
 
 def with_next(df: DataFrame, id_col: str, order: list[str], take: list[str]) -> DataFrame:
-    """Add next_<c> for each column of ``take``: the value in the next row by ascending id, then ``order``; after the last comes the first.
+    """Add next_<c> for each column of ``take``: the value in the next row by ascending id (null first), then ``order``; after the last comes the first.
 
-    Ids are dealt to equally wide ranges, each sorted by itself. The rows with a range's least id also go
-    to the range before it, as a mark of what follows its last row; the rows of all ranges move once. Only the
-    least id of each range is broadcast, ``MOST_BUCKETS`` rows at most.
+    Rows are dealt to ranges of equally many keys (id, order), whatever the type and spread of the ids, and each range is
+    sorted by itself. The rows with a range's least key also go to the range before it, as a mark of what follows its last
+    row; the rows of all ranges move once. Only the least key of each range is broadcast, ``MOST_BUCKETS`` keys in one row at most.
     """
-    ids = df.select(F.col(id_col).alias("_i"))
-    seen = ids.agg(F.count("*").alias("n"), F.min("_i").alias("low"), F.max("_i").alias("high")).first()
-    ranges = max(1, min(MOST_BUCKETS, seen["n"] // BUCKET_ROWS))
-    low = float(seen["low"] or 0)
-    width = max(1.0, (float(seen["high"] or 0) - low + 1) / ranges)
-    place = lambda c: F.coalesce(F.least(F.lit(ranges - 1), F.floor((c.cast("double") - low) / width)), F.lit(-1)).cast("int")
-    heads = ids.withColumn("_b", place(F.col("_i"))).groupBy("_b").agg(F.min("_i").alias("_head"))
-    heads = heads.select("_b", "_head", F.lag("_b").over(Window.orderBy("_b")).alias("_before"), F.max("_b").over(Window.partitionBy()).alias("_last"))
-    heads = heads.select(F.col("_b").alias("_hb"), "_head", F.coalesce("_before", "_last").alias("_to"))
-    dealt = df.withColumn("_b", place(F.col(id_col))).join(F.broadcast(heads), (F.col("_b") == F.col("_hb")) & F.col(id_col).eqNullSafe(F.col("_head")), "left")
-    copies = F.filter(F.array(F.struct(F.lit(0).alias("mark"), F.col("_b").alias("b")), F.struct(F.lit(1).alias("mark"), F.col("_to").alias("b"))), lambda x: x["b"].isNotNull())
-    dealt = dealt.withColumn("_at", F.explode(copies)).withColumn("_r", F.col("_at.b")).withColumn("_mark", F.col("_at.mark"))
+    keyed = df.withColumn("_k", F.struct(id_col, *order))
+    ranges = max(1, min(MOST_BUCKETS, df.count() // BUCKET_ROWS))
+    heads = keyed.select("_k").repartitionByRange(ranges, "_k").groupBy(F.spark_partition_id().alias("_p")).agg(F.min("_k").alias("_k"))
+    heads = materialise(heads.agg(F.sort_array(F.collect_list("_k")).alias("_heads")))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(ranges.bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_heads", at + step - 1) <= F.col("_k"), at + step).otherwise(at))  # binary search
+    dealt = keyed.join(F.broadcast(heads)).withColumn("_b", found - 1)
+    before = F.when(F.col("_b") > 0, F.col("_b") - 1).otherwise(F.size("_heads") - 1)
+    place = lambda mark, b: F.struct(F.lit(mark).alias("mark"), b.alias("b"))
+    copies = F.when(F.col("_k") == F.get("_heads", F.col("_b")), F.array(place(0, F.col("_b")), place(1, before))).otherwise(F.array(place(0, F.col("_b"))))
+    dealt = dealt.select(*df.columns, F.explode(copies).alias("_at")).withColumn("_r", F.col("_at.b")).withColumn("_mark", F.col("_at.mark"))
     w = Window.partitionBy("_r").orderBy("_mark", id_col, *order)
     for c in take:
         dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(w))
-    return dealt.where("_mark = 0").drop("_b", "_hb", "_head", "_to", "_at", "_r", "_mark")
+    return dealt.where("_mark = 0").drop("_at", "_r", "_mark")
 
 
 def fingerprint_documents(df: DataFrame, k: int = 64, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,8 +95,8 @@ def fingerprint_documents(df: DataFrame, k: int = 64, shingle: int = 5, id_col:
 
     The edited text replaces the last quarter of the code points by as many of the next document. Null
     texts count as empty; a text without words has an empty fingerprint, which resembles empty ones
-    only; rows of equal ids follow each other by a hash of their texts; a single row is its own next;
-    an empty table gives an empty result; other columns are not read.
+    only; ids may be of any type with an order, null ids come first; rows of equal ids follow each other by a hash of
+    their texts; a single row is its own next; an empty table gives an empty result; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = with_sketch(df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")), F.col("text"), "sketch", k, shingle)

@@ -8,7 +8,6 @@ penalty for each language (Schwarz's, times ``penalty``), among the nested sets
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,13 @@ from factorloom.llm.common import schema_with, small_batches
 from factorloom.llm.features import ngram_counts
 
 BITS = 12
-LETTER = re.compile(r"[^\W\d_]")
+#: languages that may be learnt: their tables, 2**12 numbers each, are collected and broadcast
+MOST_LANGUAGES = 1_000
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter; digits, fractions and letter-like numbers are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -31,9 +36,13 @@ def fit_languages(df: DataFrame, learn, lang_col: str = "lang", text_col: str =
     """Language to log probabilities of the trigram buckets, from every row that ``learn`` (a condition) admits.
 
     Each task adds up its share, so what is shuffled and collected is languages x 2**12 numbers at most
-    per task, whatever the number of rows. Rows with a null language are not learnt from.
+    per task, whatever the number of rows. Rows with a null language are not learnt from. More than
+    ``MOST_LANGUAGES`` languages are an error: the column then holds something else.
     """
     small_batches(df.sparkSession)
+    names = df.where(F.col(lang_col).isNotNull() & learn).select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count()
+    if names > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -102,7 +111,7 @@ def language_ids(df: DataFrame, languages: dict[str, np.ndarray], text_col: str
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             pred, score, parts = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-            at = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]
+            at = [i for i, t in enumerate(texts) if names and has_letter(t)]
             if at:
                 share = mixtures(np.stack([trigrams(texts[i]) for i in at]), log_prob).astype(np.float64)
                 for i, row in zip(at, share):

@@ -36,12 +36,18 @@ class LatentModel(NamedTuple):
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, weighted by a power of the cosine; the prior for rows without features."""
+        """Share of label 1 among the nearest labelled vectors, weighted by a power of the cosine; the prior for rows without features.
+
+        Of equal cosines the vectors of lesser ids count first, so the sample alone decides.
+        """
         if not len(self.labels):
             return np.full(len(x), self.prior)
         cosines = self.embed(x) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(cosines, near, 1).min(axis=1, keepdims=True)
+        tied = np.flatnonzero((cosines >= least).sum(axis=1) > k)
+        near[tied] = np.argsort(-cosines[tied], axis=1, kind="stable")[:, :k]
         weight = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6).astype(np.float64) ** self.power
         votes = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return np.where(x.any(axis=1), votes, self.prior)

@@ -3,9 +3,9 @@
 Documents with equal texts are linked: every group of copies is one hyperedge, never expanded into
 pairs. Rows start evenly spread over the shards. Copies of one group are interchangeable, so the state
 that the iterations move is (group, shard, rows), which a group of any size keeps at ``n_shards`` rows.
-In each round every group asks to move its rows towards the shard with room that holds most of its
-neighbours, and a shard admits rows up to its quota; rows without links then fill the shards to exactly
-even counts (law ``rows``: counts differ by one at most).
+In each round every group takes as its home the fewest of its shards that hold or have room for all its rows, and asks to move
+its other rows there; a shard admits rows up to its quota. Rounds go on until no group comes together any further. Rows without
+links then fill the shards to exactly even counts (law ``rows``: counts differ by one at most).
 """
 
 from __future__ import annotations
@@ -13,48 +13,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import buckets_for, materialise, running_total
+from factorloom.llm.common import buckets_for, join_split, materialise, running_total
+
+
+def wishes(state: DataFrame, room: list[int]) -> DataFrame:
+    """(g, shard, to, k): how many rows each group wants to move from a shard to its home."""
+    group = Window.partitionBy("g")
+    order = group.orderBy(F.desc("fit"), F.desc("c"), F.xxhash64("g", "shard"), "shard")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = state.withColumn("r", F.array(*map(F.lit, room))[F.col("shard")]).withColumn("all", F.sum("c").over(group)).withColumn("fit", F.least("all", F.col("c") + F.col("r")))
+    rows = rows.withColumn("home", F.coalesce(F.sum(F.col("c") + F.col("r")).over(before), F.lit(0)) < F.col("all"))
+    total = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
+    rows = rows.withColumn("free", total(F.when(F.col("home"), F.col("r")))).withColumn("at", total(F.when(~F.col("home"), F.col("c"))))
+    homes = F.collect_list(F.when(F.col("home"), F.struct("free", "r", F.col("shard").alias("to")))).over(group)  # n_shards at most
+    moving = rows.withColumn("homes", homes).where("not home").select("g", "shard", "c", "at", F.explode("homes").alias("h"))
+    k = F.least(F.col("h.free") + F.col("h.r"), F.col("at") + F.col("c")) - F.greatest("h.free", "at")
+    return moving.select("g", "shard", "h.to", k.alias("k")).where("k > 0")
 
 
 def propagate(state: DataFrame, quota: list[int], rounds: int, buckets: int) -> tuple[DataFrame, list[int]]:
-    """Move (g, shard, c) towards each group's best shard; the last state and the rows that it holds in each shard.
+    """Move (g, shard, c) towards each group's home; the last state and the rows that it holds in each shard.
 
-    ``quota`` is the most linked rows that a shard may hold. Stops early when nothing moves.
+    ``quota`` is the most linked rows that a shard may hold. Ends when a round leaves as many parts of groups as there were.
     """
-    n = len(quota)
 
-    def held(df: DataFrame) -> list[int]:
-        found = {r["shard"]: r["c"] for r in df.groupBy("shard").agg(F.sum("c").alias("c")).collect()}  # n_shards rows
-        return [int(found.get(s, 0)) for s in range(n)]
+    def held(df: DataFrame) -> tuple[list[int], int]:
+        found = {r["shard"]: r for r in df.groupBy("shard").agg(F.sum("c").alias("c"), F.count("*").alias("parts")).collect()}  # n_shards rows
+        return [int(found[s]["c"]) if s in found else 0 for s in range(len(quota))], sum(r["parts"] for r in found.values())
 
-    now = held(state)
+    now, parts = held(state)
     for _ in range(rounds):
-        room = F.array(*[F.lit(q - h) for q, h in zip(quota, now)])
-        luck = F.xxhash64("g", "shard")
-        group = Window.partitionBy("g")
-        best = F.max(F.when(room[F.col("shard")] > 0, F.struct(F.col("c").alias("c"), luck.alias("luck"), F.col("shard").alias("shard")))).over(group)
-        asked = state.withColumn("best", best).withColumn("moves", F.coalesce((F.col("best.shard") != F.col("shard")) & ((F.col("c") < F.col("best.c")) | ((F.col("c") == F.col("best.c")) & (luck < F.col("best.luck")))), F.lit(False)))
-        asked = materialise(asked.select("g", "shard", "c", F.when(F.col("moves"), F.col("best.shard")).alias("to")))
-        wishes = running_total(asked.where("to is not null"), ["to"], ["g", "shard"], "c", "before", buckets)
-        wishes = wishes.withColumn("k", F.greatest(F.lit(0), F.least(F.col("c"), room[F.col("to")] - F.col("before")))).where("k > 0")
-        change = wishes.select("g", F.col("shard"), (-F.col("k")).alias("c")).union(wishes.select("g", F.col("to"), F.col("k")))
-        state = materialise(asked.select("g", "shard", "c").union(change).groupBy("g", "shard").agg(F.sum("c").alias("c")).where("c > 0"))
-        before, now = now, held(state)
-        if before == now and not asked.where("to is not null").limit(1).count():
-            break
-        if before == now and wishes.limit(1).count() == 0:
+        room = [q - h for q, h in zip(quota, now)]
+        asked = running_total(materialise(wishes(state, room)), ["to"], ["g", "shard"], "k", "before", buckets)
+        admitted = asked.withColumn("k", F.least(F.col("k"), F.array(*map(F.lit, room))[F.col("to")] - F.col("before"))).where("k > 0")
+        change = admitted.select("g", "shard", (-F.col("k")).alias("c")).union(admitted.select("g", "to", "k"))
+        state = materialise(state.union(change).groupBy("g", "shard").agg(F.sum("c").alias("c")).where("c > 0"))
+        last, (now, parts) = parts, held(state)
+        if parts >= last:
             break
     return state, now
 
 
-def shard_documents(df: DataFrame, n_shards: int = 16, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(df: DataFrame, n_shards: int = 16, rounds: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and n_copies for every row.
 
     size is the UTF-8 bytes of the text plus 1, slot counts from 0 in every shard without gaps, and
     grown_shard is null, as the law is ``rows``. A null text counts as an empty one and is linked to
     empty ones; null ids are ordinary values; repeated rows are separate rows with slots of their own; an
     empty table gives an empty result; other columns of ``df`` are not read. A group larger than a shard
-    fills as few shards as the quotas allow.
+    takes about as few shards as the quotas leave room for; ``rounds`` bounds the effort, the counts are even whatever it is.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialise(df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("g"), F.lit(1).alias("one")))
@@ -69,7 +76,7 @@ def shard_documents(df: DataFrame, n_shards: int = 16, rounds: int = 6, id_col:
     w = Window.partitionBy("g").orderBy("shard")
     ends = state.select("g", F.struct(F.sum("c").over(w).alias("end"), "shard").alias("part")).groupBy("g").agg(F.sort_array(F.collect_list("part")).alias("parts"))  # n_shards parts at most
     none = F.unhex(F.lit(""))
-    placed = rows.join(ends, "g", "left").withColumn("k", F.when(F.col("parts").isNotNull(), F.col("g")).otherwise(none))
+    placed = join_split(rows, ends, ["g"], "left").withColumn("k", F.when(F.col("parts").isNotNull(), F.col("g")).otherwise(none))
     placed = running_total(placed, ["k"], ["doc_id", "g"], "one", "place", buckets)
     free, total = [], 0
     for s in range(n_shards):

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import components, materialise, row_key, sized, small_batches
+from factorloom.llm.common import components, join_split, materialise, row_key, sized, small_batches
+from factorloom.llm.hashing import majority_bits, shingle_hashes
 
 #: first bit and width of each block
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
@@ -40,50 +41,13 @@ def _mask(block: tuple[int, int]) -> int:
     return ((1 << block[1]) - 1) << block[0]
 
 
-def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of every word shingle in order; of the whole sequence if it is shorter; none without words."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[n - 1 :].tolist())], np.uint64)
-
-
-def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash over word shingles, repeats included; 0 for a text without words."""
-    return majority_bits(shingle_hashes(text, shingle, seed))
-
-
-def majority_bits(hashes: np.ndarray) -> int:
-    """Bits set in over half of the hashes. Eight counters share a word, emptied before they overflow."""
-    lanes = np.uint64(0x0101010101010101)
-    counts = np.zeros((8, 8), np.int64)  # [shift, lane]
-    for at in range(0, len(hashes), 255):
-        part = hashes[at : at + 255]
-        for shift in range(8):
-            total = np.add.reduce((part >> np.uint64(shift)) & lanes)
-            counts[shift] += np.frombuffer(np.uint64(total).tobytes(), np.uint8)
-    out = 0
-    for lane in range(8):
-        for shift in range(8):
-            if 2 * counts[shift, lane] > len(hashes):
-                out |= 1 << (8 * lane + shift)
-    return out
-
-
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp long) for every row."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            fps = majority_bits([h for (h,) in shingle_hashes(batch.column(1).to_pylist(), shingle)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     kind = dict(df.dtypes)[id_col]
@@ -121,33 +85,34 @@ def near_links(fps: DataFrame, crowd: int = 8_192) -> DataFrame:
     """(a, b) of distinct fingerprints (column fp): links of at most two differing bits with the same components as all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(members: np.ndarray) -> tuple[list[int], list[int], list[bool]]:
-            if len(members) > crowd:
-                return members.view(np.int64).tolist(), members.view(np.int64).tolist(), [True] * len(members)
-            signed = members.view(np.int64)
-            found = forest(members)
-            return [int(signed[a]) for a, _ in found], [int(signed[b]) for _, b in found], [False] * len(found)
-
-        rest_k, rest = None, [np.zeros(0, np.uint64)]
+        def table(a: np.ndarray, b: np.ndarray, crowded: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), crowded))], names=["a", "b", "crowded"])
+
+        def linked(members: list[np.ndarray]) -> pa.RecordBatch:
+            every = np.concatenate(members)
+            found = np.array(forest(every), np.int64).reshape(-1, 2)
+            return table(every.view(np.int64)[found[:, 0]], every.view(np.int64)[found[:, 1]], False)
+
+        key, held, full = None, [], False  # of a crowded key no more than a crowd is held at once
         for batch in batches:
             keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             if not len(keys):
                 continue
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            out: tuple[list[int], list[int], list[bool]] = ([], [], [])
-            parts = [(int(keys[s]), values[s:e]) for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]) if e - s > 1 or s == 0 or e == len(keys)]
-            for k, part in parts:
-                if k == rest_k:
-                    rest.append(part)
-                    continue
-                if sum(map(len, rest)) > 1:
-                    for into, more in zip(out, emit(np.concatenate(rest))):
-                        into += more
-                rest_k, rest = k, [part]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["a", "b", "crowded"])
-        if sum(map(len, rest)) > 1:
-            a, b, c = emit(np.concatenate(rest))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.bool_())], names=["a", "b", "crowded"])
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if e - s == 1 and 0 < s and e < len(keys):
+                    continue  # alone
+                if keys[s] != key:
+                    if not full and sum(map(len, held)) > 1:
+                        yield linked(held)
+                    key, held, full = keys[s], [], False
+                held.append(values[s:e])
+                if full or sum(map(len, held)) > crowd:
+                    members = np.concatenate(held).view(np.int64)
+                    yield table(members, members, True)
+                    held, full = [], True
+        if not full and sum(map(len, held)) > 1:
+            yield linked(held)
 
     spark = fps.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows of two numbers
@@ -206,13 +171,14 @@ def described(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text in batch.column(2).to_pylist():
-                h = shingle_hashes(text, shingle)
+            short, out = [], [[], [], [], []]
+            for three, h in shingle_hashes(batch.column(2).to_pylist(), 3, shingle):
+                short.append(three)
                 same, distinct = text_number(h), np.unique(h)
                 sample = distinct.view(np.int64) if same % one_in == 0 else None
-                for into, x in zip(out, (_signed(simhash(text)), same, len(distinct), parities(distinct), sample)):
+                for into, x in zip(out, (same, len(distinct), parities(distinct), sample)):
                     into.append(x)
+            out.insert(0, majority_bits(short).view(np.int64))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, k) for x, k in zip(out, kinds))], names=["doc_id", "row_key", "fp3", "same", "n", "sketch", "sample"])
 
@@ -250,8 +216,7 @@ def shared_prefixes(rows: DataFrame, df: DataFrame, text_col: str, shingle: int,
         seen: set[int] = set()
         for batch in batches:
             keys, sames = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for text in batch.column(0).to_pylist():
-                h = shingle_hashes(text, shingle)
+            for (h,) in shingle_hashes(batch.column(0).to_pylist(), shingle):
                 same = text_number(h)
                 if not len(h) or same in seen:
                     continue
@@ -283,26 +248,34 @@ def centre_pairs(shared: DataFrame, unique: DataFrame, similarity: float) -> Dat
     return pairs.join(side("a"), "a").join(side("b"), "b").where(alike(similarity)).select("a", "b")
 
 
-def block_pairs(same: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs of a left and a right member of unequal components that sizes and parities allow, as rows (a, b, least) with a < b.
+#: pairs that are compared at once
+PAIRS = 500_000
+
+
+def block_pairs(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, own: np.ndarray, same: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of unequal components that sizes and parities allow, as rows (a, b, least) with a < b, over groups of members laid end to end.
 
-    ``least`` is how many keys such a pair must share: beyond the prefix that ends first, its text has ceil(similarity * n) - 1 shingles only.
+    Group g has ``sizes[g]`` members; those of block i[g] meet those of block j[g]. ``least`` is how many keys such a pair must
+    share: beyond the prefix that ends first, its text has ceil(similarity * n) - 1 shingles only.
     """
-    out = [np.zeros((0, 3), np.int64)]
-    for at in range(0, len(left), 64):
-        some = left[at : at + 64]
-        ok = component[some, None] != component[None, right]
-        ok &= np.minimum(n[some, None], n[None, right]) >= similarity * np.maximum(n[some, None], n[None, right]) - 1e-6
-        x, y = np.nonzero(ok)
-        x, y = some[x], right[y]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    left, right = np.flatnonzero(own == i[group]), np.flatnonzero(own == j[group])
+    begin, end = np.searchsorted(group[right], np.arange(len(sizes))), np.searchsorted(group[right], np.arange(len(sizes)), "right")
+    met = (end - begin)[group[left]]
+    pieces = np.flatnonzero(np.diff(np.cumsum(met) // PAIRS, prepend=0))
+    for part in np.split(np.arange(len(left)), pieces):
+        x = np.repeat(left[part], met[part])
+        y = right[np.arange(len(x)) - np.repeat(np.cumsum(met[part]) - met[part], met[part]) + np.repeat(begin[group[left[part]]], met[part])]
+        ok = (component[x] != component[y]) & ((own[x] != own[y]) | (same[x] < same[y]))
+        ok &= np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6
+        x, y = x[ok], y[ok]
         apart = np.zeros(len(x), np.int64)
         for word in sketch.view(np.uint64).T:  # bitwise_count takes the absolute value of signed numbers
             apart += np.bitwise_count(word[x] ^ word[y])
         near = apart <= (n[x] + n[y]) * ((1 - similarity) / (1 + similarity)) + 1e-6
         x, y = x[near], y[near]
         least = np.ceil((n[x] + n[y]) * (similarity / (1 + similarity)) - 1e-6) - np.ceil(similarity * np.maximum(n[x], n[y]) - 1e-9) + 1
-        out.append(np.stack([np.minimum(same[x], same[y]), np.maximum(same[x], same[y]), least.astype(np.int64)], axis=1))
-    return np.unique(np.concatenate(out), axis=0)
+        yield np.stack([np.minimum(same[x], same[y]), np.maximum(same[x], same[y]), least.astype(np.int64)], axis=1)
 
 
 def open_pairs(shared: DataFrame, unique: DataFrame, groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -320,13 +293,11 @@ def open_pairs(shared: DataFrame, unique: DataFrame, groups: DataFrame, similari
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, found = batch.column(2), [np.zeros((0, 3), np.int64)]
+            lists = batch.column(2)
             own, same, component, n = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
             sketch = lists.flatten().field(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            for i, j, lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()):
-                here = np.arange(lo, hi)
-                found.append(block_pairs(same, component, n, sketch, here[own[lo:hi] == i], here[own[lo:hi] == j], similarity))
+            i, j, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            found = [np.zeros((0, 3), np.int64), *block_pairs(i, j, sizes, own, same, component, n, sketch, similarity)]
             pairs, k = np.unique(np.concatenate(found), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in pairs.T), pa.array(k.astype(np.int64))], names=["a", "b", "least", "k"])
 
@@ -338,12 +309,12 @@ def verified(pairs: DataFrame, unique: DataFrame, df: DataFrame, id_col: str, te
     """The pairs (a, b) whose exact sets of shingles have the similarity."""
     near = materialise(pairs)
     asked = near.select(F.explode(F.array("a", "b")).alias("same")).distinct().join(unique.select("same", F.col("row_key").alias("key")), "same")
-    asked = sized(materialise(asked))
+    asked = sized(materialise(asked), F.length("key"))
     texts = df.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("_text")).join(asked, "key").select("same", "_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+            found = [np.unique(h).view(np.int64) for (h,) in shingle_hashes(batch.column(1).to_pylist(), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["same", "h"])
 
     small_batches(df.sparkSession)

@@ -1,17 +1,20 @@
 """Exact removal of repeated byte strings with suffix arrays.
 
-A string of ``length`` bytes that starts in two places is found as follows. The k-grams of every text are
+Whole texts that are equal are counted first, and one of each goes on. A string of ``length`` bytes that starts in two places
+of the others is found as follows. The k-grams of every text are
 hashed, and each window of ``length`` bytes is assigned to its least (leftmost) k-gram, its anchor; equal
 windows have equal anchors in equal places, so they meet at their anchor's hash. Neighbouring windows
-with one anchor form a run, whose bytes are its context. Runs with equal contexts repeat as a whole and
-are settled by counting. Only where one anchor has several contexts are bytes compared: these contexts are
-dealt to shards by anchor, each shard builds a suffix array by Larsson-Sadakane refinement in numpy and
-the common prefixes of neighbours as Kasai does, each value taken from its left neighbour's where possible.
-An anchor with more contexts than a shard holds has several shards, in as many tasks. Each gives its distinct
-windows; these are dealt once more, by hash, and the shards' sorted windows merged by binary search.
-
-Neither step holds all of an anchor: runs of a frequent anchor are counted by context before they are
-shuffled, and what counts repeat goes back to the runs by a salted join.
+with one anchor form a run, whose bytes are its context, named by a cryptographic digest. Contexts of anchors that occur
+more than once are dealt to shards by anchor: one run of each context, and a second where there are more. Each shard
+builds a suffix array of their bytes by Larsson-Sadakane refinement in numpy and common prefixes by Kasai's pass; a window whose
+prefix of ``length`` bytes is its neighbour's is repeated, in this run and in all others with the context.
+
+An anchor with more contexts than a shard holds has several shards, in as many tasks. Windows whose hashes several shards
+have are dealt once more, in parts, and each that is alone in its shard is looked up among the sorted windows of the others, by binary search
+on their bytes.
+
+Nothing holds all of an anchor: runs of a frequent anchor are counted by context before they are
+shuffled, and what is found goes back to the runs by a join that splits frequent contexts.
 """
 
 from __future__ import annotations
@@ -25,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialise, sized, small_batches
+from factorloom.llm.common import join_split, materialise, sized, small_batches
 
 GRAM = 32
 #: bytes of contexts that one suffix array holds
 SHARD_BYTES = 1_500_000
 #: an anchor with more runs than this, and than its part of all runs, is frequent; so at most FREQUENT anchors are
 ANCHOR_RUNS, FREQUENT = 10_000, 50_000
-#: parts that the runs of a frequent anchor with one context are dealt to
-SALT = 32
 
 
 def rolling(codes: np.ndarray, n: int) -> np.ndarray:
@@ -82,98 +83,98 @@ def runs(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.nda
     return h[place], place, first, last
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols, by Larsson-Sadakane refinement: only groups that are still tied are sorted again, by the ranks that their suffixes have further on."""
-    n, first = len(codes), 7
-    padded = np.concatenate((codes, np.zeros(first, codes.dtype))).astype(np.int64)
-    key = np.zeros(n, np.int64)
-    for i in range(first):
-        key = key << 9 | padded[i : i + n]
-    sa = np.argsort(key, kind="stable")
-    sorted_key = key[sa]
-    start = np.maximum.accumulate(np.where(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])), np.arange(n), 0))
-    rank = np.full(n + depth, -1, np.int64)
-    rank[sa] = start
-    h = first
-    while h < depth:
-        group = rank[sa]
-        tied = np.zeros(n, bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
+def _order(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    """Order of pairs of numbers below 2**bits each; packed with their places into one word where they fit, as plain sorting is several times faster."""
+    if 3 * bits > 63:
+        return np.lexsort((low, high))
+    return np.sort(high << 2 * bits | low << bits | np.arange(len(high))) & ((1 << bits) - 1)
+
+
+def suffix_array(codes: np.ndarray) -> np.ndarray:
+    """All suffixes in order, by Larsson-Sadakane refinement: only groups that are still tied are sorted again, by the ranks that their suffixes have further on, twice as far each time."""
+    n = len(codes)
+    bits, symbol = (n + 1).bit_length(), int(codes.max(initial=0) + 1).bit_length()
+    h = max(1, bits // symbol)
+    padded = np.concatenate((codes + 1, np.zeros(2 * h, codes.dtype))).astype(np.int64)  # the end comes before every symbol
+    pair = []
+    for at in (0, h):
+        key = np.zeros(n, np.int64)
+        for i in range(at, at + h):
+            key = key << symbol | padded[i : i + n]
+        pair.append(key)
+    sa = _order(*pair, max(bits, symbol * h))
+    h, at = 2 * h, np.arange(n)
+    high, low = (key[sa] for key in pair)
+    rank = np.full(n + 1, -1, np.int64)  # of the empty suffix too
+    while True:
+        same = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
+        rank[sa[at]] = at[np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(at)), 0))] if len(at) else at
+        at = at[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(at) else at
         if not len(at):
-            break
-        step = min(h, depth - h)
-        key = group[at] * (n + 1) + rank[sa[at] + step] + 1
-        order = np.argsort(key, kind="stable")
+            return sa
+        high, low = rank[sa[at]], rank[np.minimum(sa[at] + h, n)] + 1
+        order = _order(high, low, bits)
         sa[at] = sa[at][order]
-        key = key[order]
-        rank[sa[at]] = at[np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(at)), 0))]
-        h += step
-    return sa
+        high, low = high[order], low[order]
+        h *= 2
 
 
-def common_prefixes(codes: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place: the suffix sorted before its own (-1: none), and how long a prefix they share.
+def common_prefixes(codes: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place: the suffix sorted before its own (-1: none), and how long a prefix they share; from ``enough`` on, at least so much.
 
-    Where the places before both hold equal symbols, the value is one less than the left neighbour's
-    (Kasai); all others are compared, eight symbols at a time.
+    Kasai's pass over every text (from ``starts``, ``sizes`` long) at once: what a place shares is one less than what the place before it
+    shared, or more, so each goes on from there, seven symbols at a time.
     """
     n = len(codes)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    previous = before[:-1]
-    chained = np.zeros(n, bool)
-    chained[1:] = (before[1:] == previous + 1) & (previous >= 0) & (codes[:-1] == codes[np.maximum(previous, 0)])
-    heads = np.flatnonzero(~chained & (before >= 0))
-    padded = np.concatenate((codes, np.zeros(8, codes.dtype))).astype(np.uint64)
-    packed = np.zeros(n, np.uint64)
+    padded = np.concatenate((codes, np.zeros(enough + 24, codes.dtype))).astype(np.uint64)
+    packed = np.zeros(n + enough + 16, np.uint64)
     for i in range(7):
-        packed = packed << np.uint64(9) | padded[i : i + n]
-    shared = np.zeros(n, np.int64)
-    active, offset = heads, 0
-    while len(active):
-        a, b = active + offset, before[active] + offset
-        inside = np.maximum(a, b) + 7 <= n
-        same = np.zeros(len(active), bool)
-        same[inside] = packed[a[inside]] == packed[b[inside]]
-        ended, active = active[~same], active[same]
-        more = np.full(len(ended), 0)
-        going = np.ones(len(ended), bool)
-        for i in range(7):
-            x, y = ended + offset + i, before[ended] + offset + i
-            going &= np.maximum(x, y) < n
-            going &= codes[np.minimum(x, n - 1)] == codes[np.minimum(y, n - 1)]
-            more += going
-        shared[ended] = offset + more
-        offset += 7
-    head = np.maximum.accumulate(np.where(~chained, np.arange(n), 0))
-    return before, np.where(chained, shared[head] - (np.arange(n) - head), shared)
+        packed = packed << np.uint64(9) | padded[i : i + len(packed)]
+    shared, carried = np.zeros(n, np.int32), np.zeros(len(starts), np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    live = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)))  # texts that have each place
+    for t, m in enumerate(live.tolist()):
+        texts = order[:m]
+        i = starts[texts] + t
+        j = before[i]
+        v = np.where(j < 0, 0, np.maximum(carried[texts] - 1, 0))
+        active = np.flatnonzero((j >= 0) & (v < enough))
+        while len(active):
+            x = packed[i[active] + v[active]] ^ packed[j[active] + v[active]]
+            more = np.full(len(active), 7)
+            differ = np.flatnonzero(x)
+            y = x[differ]
+            more[differ] = sum(((y >> np.uint64(bits)) == 0).astype(np.int64) for bits in range(9, 63, 9))
+            v[active] += more
+            active = active[(x == 0) & (v[active] < enough)]
+        carried[texts], shared[i] = v, v
+    return before, shared
 
 
 def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
     """For each context, which of its windows of ``length`` bytes start anywhere else in these contexts."""
     sizes = np.array([len(c) for c in contexts])
-    codes = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes)
-    codes = np.insert(codes, ends, 0)
-    starts = np.concatenate(([0], ends[:-1])) + np.arange(len(contexts))
-    left = np.zeros(len(codes), np.int64)  # symbols to the end of the context
-    left[starts] = sizes
-    left = left[np.maximum.accumulate(np.where(left > 0, np.arange(len(codes)), 0))] - (np.arange(len(codes)) - np.maximum.accumulate(np.where(left > 0, np.arange(len(codes)), 0)))
-    before, shared = common_prefixes(codes, suffix_array(codes, length))
-    other = np.maximum(before, 0)
-    equal = (before >= 0) & (shared >= length) & (left >= length) & (left[other] >= length)
+    codes = np.insert(np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 1, ends, 0)  # a zero ends each
+    starts = ends - sizes + np.arange(len(contexts))
+    left = np.repeat(starts + sizes, sizes + 1) - np.arange(len(codes))  # symbols to the end of the context
+    before, shared = common_prefixes(codes, suffix_array(codes), starts, sizes, length)
+    equal = (before >= 0) & (shared >= length) & (left >= length)
     found = equal.copy()
     found[before[equal]] = True
     return [found[s : s + max(0, n - length + 1)] for s, n in zip(starts.tolist(), sizes.tolist())]
 
 
-def spans(flags: np.ndarray, start: int, length: int) -> list[tuple[int, int]]:
-    """Byte ranges that the flagged windows cover; window i starts at start + i."""
+def spans(flags: np.ndarray) -> list[tuple[int, int]]:
+    """First and one past the last of each row of flagged windows."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return [(start + int(a), start + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2])]
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+#: what a shard gives: flagged windows first to last of a context (part null), and windows that other shards may have
+FOUND = pa.schema([("anchor", pa.int64()), ("context", pa.binary()), ("first", pa.int32()), ("last", pa.int32()), ("part", pa.int32()), ("window", pa.int64()), ("alone", pa.bool_())])
 
 
 class Shards:
@@ -181,50 +182,47 @@ class Shards:
 
     def __init__(self, length: int, shard_bytes: int = SHARD_BYTES):
         self.length, self.shard_bytes = length, shard_bytes
-        self.rows: list[tuple] = []  # (anchor, shard, shards, n, id, text hash, start, context)
+        self.rows: list[tuple] = []  # (anchor, shard, shards, context, copy, bytes)
         self.bytes = 0
 
-    def add(self, row: tuple) -> list[tuple]:
-        """Rows come in the order of anchor and shard; what one shard holds is bounded by how contexts are dealt."""
-        out = self.flush() if self.bytes >= self.shard_bytes and row[:2] != self.rows[-1][:2] else []
-        self.rows.append(row)
-        self.bytes += len(row[7])
+    def add(self, row: tuple) -> pa.RecordBatch | None:
+        """Rows come in the order of anchor, shard, context and copy; a copy that comes again, of a repeated row, is the same text."""
+        out = self.flush() if self.bytes >= self.shard_bytes and row[:2] != self.rows[-1][:2] else None
+        if not self.rows or row[:5] != self.rows[-1][:5]:
+            self.rows.append(row)
+            self.bytes += len(row[5])
         return out
 
-    def flush(self) -> list[tuple]:
-        """(id, text hash, first byte, end, anchor, part, window, alone) of what repeats here, and of every window that other shards may repeat.
-
-        The last four are null for the former. A window is alone if nothing repeats it so far. Contexts
-        counted more than once are settled already: their windows are there for others only.
-        """
+    def flush(self) -> pa.RecordBatch | None:
+        """Flagged windows of each context, and the windows that other shards of an anchor may have, each once a shard."""
         rows, self.rows, self.bytes = self.rows, [], 0
         if not rows:
-            return []
-        flags = repeated_windows([r[7] for r in rows], self.length)
-        out = [(*r[4:6], a, b, None, None, None, None) for r, f in zip(rows, flags) if r[3] == 1 for a, b in spans(f, r[6], self.length)]
-        for _, group in groupby((i for i, r in enumerate(rows) if r[2] > 1), key=lambda i: rows[i][:2]):
-            seen: set[int] = set()
-            for i in group:
-                anchor, _, parts, n, doc, h, start, context = rows[i]
-                windows = rolling(np.frombuffer(context, np.uint8).astype(np.uint64), self.length).view(np.int64).tolist()
-                for at, (window, repeated) in enumerate(zip(windows, flags[i].tolist()), start):
-                    if window not in seen:
-                        seen.add(window)
-                        out.append((doc, h, at, at + self.length, anchor, window % parts, window, n == 1 and not repeated))
-        return out
-
-
-def merge_shards(table: pa.Table) -> pa.Table:
-    """Of one anchor's windows in one part, those that are alone in their shard and found in another by binary search."""
-    windows, alone = table["window"].to_numpy(), table["alone"].to_numpy(zero_copy_only=False)
+            return None
+        flags = repeated_windows([r[5] for r in rows], self.length)
+        marks = [(r[0], r[3], a, b) for r, f in zip(rows, flags) if r[4] == 1 for a, b in spans(f)]
+        columns = [list(c) for c in zip(*marks)] if marks else [[], [], [], []]
+        more: list[list] = [[None] * len(marks) for _ in range(3)]
+        for _, group in groupby((i for i, r in enumerate(rows) if r[2] > 1 and r[4] == 1), key=lambda i: rows[i][:2]):
+            here = list(group)
+            sizes = [len(flags[i]) for i in here]
+            windows = np.concatenate([rolling(np.frombuffer(rows[i][5], np.uint8).astype(np.uint64), self.length) for i in here]).view(np.int64)
+            alone, at, of = ~np.concatenate([flags[i] for i in here]), np.concatenate([np.arange(n) for n in sizes]), np.repeat(here, sizes)
+            _, once = np.unique(windows, return_index=True)
+            columns[0] += [rows[here[0]][0]] * len(once)
+            columns[1] += [rows[i][3] for i in of[once].tolist()]
+            columns[2] += at[once].tolist()
+            columns[3] += (at[once] + 1).tolist()
+            for into, x in zip(more, (windows[once] % rows[here[0]][2], windows[once], alone[once])):
+                into += x.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, *more], FOUND.types)], schema=FOUND)
+
+
+def merge_shards(table: pa.Table, length: int) -> pa.Table:
+    """Of one anchor's windows in one part, those that are alone in their shard and found in another: binary search among all, sorted by their bytes."""
+    windows = np.frombuffer(b"".join(table["bytes"].to_pylist()), f"S{length}")
     ordered = np.sort(windows)  # a shard gives a window once
     times = np.searchsorted(ordered, windows, "right") - np.searchsorted(ordered, windows, "left")
-    return table.filter(pa.array(alone & (times > 1))).select(["doc_id", "h", "a", "b"])
-
-
-def _batch(fields: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+    return table.filter(pa.array(table["alone"].to_numpy(zero_copy_only=False) & (times > 1))).select(["anchor", "context", "first", "last"])
 
 
 def find_runs(df: DataFrame, length: int) -> DataFrame:
@@ -234,59 +232,62 @@ def find_runs(df: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
+        digest = hashlib.blake2b
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
             for doc, h, text in zip(*(c.to_pylist() for c in batch.columns)):
-                data = (text or "").encode()
-                hashes, place, first, last = runs(data, length)
+                data = text.encode()
+                hashes, _, first, last = runs(data, length)
                 if not len(hashes):
                     continue
-                context = np.array([digest(data[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist())], np.uint64)
-                heads = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (context[1:] != context[:-1]))))
+                context = [digest(data[a : b + length], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist())]
+                heads = [i for i in range(len(context)) if not i or hashes[i] != hashes[i - 1] or context[i] != context[i - 1]]
                 out[0] += hashes[heads].view(np.int64).tolist()
-                out[1] += context[heads].view(np.int64).tolist()
+                out[1] += [context[i] for i in heads]
                 out[2] += [doc] * len(heads)
                 out[3] += [h] * len(heads)
                 out[4] += first[heads].tolist()
                 out[5] += (last - first + 1)[heads].tolist()
-                out[6] += np.diff(np.append(heads, len(hashes))).tolist()
-            types = [pa.int64(), pa.int64(), batch.schema.types[0], pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                out[6] += np.diff([*heads, len(hashes)]).tolist()
+            types = [pa.int64(), pa.binary(), batch.schema.types[0], pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=["anchor", "context", "doc_id", "h", "start", "windows", "times"])
 
     kind = dict(df.dtypes)["doc_id"]
-    return df.select("doc_id", "h", "text").mapInArrow(run, f"anchor long, context long, doc_id {kind}, h long, start int, windows int, times int")
+    return df.select("doc_id", "h", "text").mapInArrow(run, f"anchor long, context binary, doc_id {kind}, h long, start int, windows int, times int")
+
+
+RUN = ["doc_id", "h", "start", "windows"]
 
 
 def meet(found: DataFrame, shard_contexts: int, anchor_runs: int) -> tuple[DataFrame, DataFrame]:
-    """Runs whose context repeats (doc_id, h, start, windows of all its times), and one run for each context that must be compared (also anchor, shard, shards, n).
+    """Runs whose anchor occurs more than once, and what is compared: (anchor, context, copy, shard, shards, run), a run of each of their contexts and a second of those that have more.
 
     Frequent anchors are told from counts; there are at most FREQUENT, so their table is broadcast. Runs of all other anchors meet
     at their anchor. Runs of frequent ones are counted by context, which collapses them before the shuffle.
     """
     limit = max(anchor_runs, found.count() // FREQUENT)
     frequent = F.broadcast(materialise(found.groupBy("anchor").count().where(F.col("count") > limit).select("anchor")))
-    dealt = lambda contexts: F.ceil(F.col(contexts) / shard_contexts).cast("int").alias("shards")
-    shard = F.pmod("context", F.col("shards").cast("long")).cast("int").alias("shard")
-    run = ["doc_id", "h", "start", "windows"]
+    dealt = F.ceil(F.col("contexts") / shard_contexts).cast("int").alias("shards")
+    run = F.struct(*RUN)
+    again = F.struct("doc_id", "h", (F.col("start") + F.col("windows")).alias("start"), "windows")  # the second time in a row
 
     by_anchor, by_context = Window.partitionBy("anchor"), Window.partitionBy("anchor", "context")
     met = found.join(frequent, "anchor", "left_anti").repartition("anchor").withColumn("all", F.sum("times").over(by_anchor)).where("all > 1")
-    met = met.withColumn("n", F.sum("times").over(by_context)).withColumn("first", (F.row_number().over(by_context.orderBy("doc_id", "h", "start")) == 1).cast("int"))
-    met = met.withColumn("contexts", F.sum("first").over(by_anchor)).where("n > 1 or contexts > 1")
-    met = materialise(met.select("anchor", "context", *run, "times", "n", F.expr("contexts > 1 and first = 1").alias("asked"), dealt("contexts")))
+    met = met.withColumn("n", F.sum("times").over(by_context)).withColumn("rows", F.count("*").over(by_context)).withColumn("place", F.row_number().over(by_context.orderBy(*RUN)))
+    met = met.withColumn("contexts", F.count(F.when(F.col("place") == 1, 1)).over(by_anchor))
+    met = materialise(met.select("anchor", "context", *RUN, "times", "n", "rows", "place", dealt))
+    one = met.where("place = 1").select("anchor", "context", "shards", F.lit(1).alias("copy"), *RUN)
+    two = met.where("n > 1 and place = least(2, rows)").select("anchor", "context", "shards", F.lit(2).alias("copy"), F.when(F.col("rows") == 1, again).otherwise(run).alias("run")).select("anchor", "context", "shards", "copy", "run.*")
 
     hot = found.join(frequent, "anchor", "left_semi")
-    counted = materialise(hot.groupBy("anchor", "context").agg(F.sum("times").alias("n"), F.min(F.struct(*run)).alias("run")))
-    contexts = counted.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor", dealt("contexts"))
-    salted = sized(materialise(counted.where("n > 1").select("anchor", "context", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))))
-    hot = hot.withColumn("salt", F.pmod(F.xxhash64(*run), F.lit(SALT)).cast("int")).join(salted, ["anchor", "context", "salt"], "left_semi")
+    counted = materialise(hot.groupBy("anchor", "context").agg(F.sum("times").alias("n"), F.count("*").alias("rows"), F.min(run).alias("run"), F.max(F.when(F.col("times") > 1, again).otherwise(run)).alias("other")))
+    contexts = F.broadcast(counted.groupBy("anchor").agg(F.count("*").alias("contexts")).select("anchor", dealt))
+    hot_one = counted.join(contexts, "anchor").select("anchor", "context", "shards", F.lit(1).alias("copy"), "run.*")
+    hot_two = counted.where("n > 1").join(contexts, "anchor").select("anchor", "context", "shards", F.lit(2).alias("copy"), "other.*")
 
-    asked = counted.join(F.broadcast(contexts), "anchor").select("anchor", shard, "shards", "n", "run.*")
-    covered = [*run[:3], (F.col("windows") * F.col("times")).alias("windows")]
-    return met.where("n > 1").select(covered).union(hot.select(covered)), met.where("asked").select("anchor", shard, "shards", "n", *run).union(asked)
+    asked = one.union(two).union(hot_one).union(hot_two).withColumn("shard", F.pmod(F.xxhash64("context"), F.col("shards").cast("long")).cast("int"))
+    cells = ["anchor", "context", *RUN, "times"]
+    return met.select(cells).union(hot.select(cells)), asked
 
 
 def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, anchor_runs: int = ANCHOR_RUNS) -> DataFrame:
@@ -302,40 +303,62 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     kind = dict(df.dtypes)[id_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    repeated, single = meet(materialise(find_runs(docs, length)), max(1, shard_bytes // (2 * length)), anchor_runs)
-    settled = repeated.select("doc_id", "h", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (length - 1)).alias("b"))
 
-    # bytes of one run for each context that must be compared
-    asked = single.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "shard", "shards", "n", "start", "windows")).alias("runs"))
-    texts = asked.join(docs, asked["doc_id"].eqNullSafe(docs["doc_id"]) & (asked["h"] == docs["h"])).select(asked["doc_id"], asked["h"], "runs", "text")
-    fields = [("anchor", pa.int64()), ("shard", pa.int32()), ("shards", pa.int32()), ("n", pa.int64())]
+    # whole texts that are equal: all of a long one goes, and the rows with the least id stand for them
+    keyed = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.unhex(F.sha2(text, 256)).alias("key"), F.octet_length(text).alias("b")).where(F.col("b") >= length)
+    copies = materialise(keyed.groupBy("key", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1"))
+    copies = sized(copies)
+    whole = keyed.join(copies.select("key", "b"), ["key", "b"]).select("doc_id", "h", F.lit(0).alias("a"), "b")
+    once = docs.where(F.octet_length("text") >= length).withColumn("key", F.unhex(F.sha2("text", 256))).join(copies.select("key", "least", "n"), "key", "left").where(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("least")))
+
+    runs_, asked = meet(materialise(find_runs(once, length)), max(1, shard_bytes // (2 * length)), anchor_runs)
+
+    # bytes of the runs that are compared
+    fields = [("anchor", pa.int64()), ("shard", pa.int32()), ("shards", pa.int32()), ("context", pa.binary()), ("copy", pa.int32()), ("bytes", pa.binary())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, h, found, text_ in zip(*(c.to_pylist() for c in batch.columns)):
-                data = text_.encode()
-                rows += [(r["anchor"], r["shard"], r["shards"], r["n"], doc, h, r["start"], data[r["start"] : r["start"] + r["windows"] + length - 1]) for r in found]
-            yield _batch([*fields, ("doc_id", batch.schema.types[0]), ("h", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())], rows)
-
-    contexts = texts.mapInArrow(cut, f"anchor long, shard int, shards int, n long, doc_id {kind}, h long, start int, bytes binary")
+            cells = batch.column(0).flatten()
+            owner = np.repeat(np.arange(batch.num_rows), batch.column(0).value_lengths().to_numpy(zero_copy_only=False))
+            data = [t.encode() for t in batch.column(1).to_pylist()]
+            start, windows = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("start", "windows"))
+            pieces = [data[d][a:b] for d, a, b in zip(owner.tolist(), start.tolist(), (start + windows + length - 1).tolist())]
+            yield pa.RecordBatch.from_arrays([*(cells.field(c) for c, _ in fields[:-1]), pa.array(pieces, pa.binary())], names=[c for c, _ in fields])
+
+    def bytes_of(chosen: DataFrame) -> DataFrame:
+        listed = chosen.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "shard", "shards", "context", "copy", "start", "windows")).alias("runs"))
+        texts = listed.join(docs, listed["doc_id"].eqNullSafe(docs["doc_id"]) & (listed["h"] == docs["h"])).select("runs", "text")
+        return texts.mapInArrow(cut, "anchor long, shard int, shards int, context binary, copy int, bytes binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, names = Shards(length, shard_bytes), None
+        shards = Shards(length, shard_bytes)
         for batch in batches:
-            names = [("doc_id", batch.schema.types[4]), ("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("anchor", pa.int64()), ("part", pa.int32()), ("window", pa.int64()), ("alone", pa.bool_())]
-            found: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                found += shards.add(row)
-            yield _batch(names, found)
-        if names is not None:
-            yield _batch(names, shards.flush())
-
-    dealt = contexts.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "doc_id", "h", "start")
-    compared = materialise(dealt.mapInArrow(compare, f"doc_id {kind}, h long, a int, b int, anchor long, part int, window long, alone boolean"))
-    across = compared.where("window is not null").groupBy("anchor", "part").applyInArrow(merge_shards, f"doc_id {kind}, h long, a int, b int")
-    compared = compared.where("window is null").select("doc_id", "h", "a", "b").unionByName(across)
-    covered = settled.unionByName(compared).distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+                out = shards.add(row)
+                if out is not None:
+                    yield out
+        out = shards.flush()
+        if out is not None:
+            yield out
+
+    dealt = bytes_of(asked).repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "context", "copy")
+    compared = materialise(dealt.mapInArrow(compare, "anchor long, context binary, first int, last int, part int, window long, alone boolean"))
+    marks = compared.where("part is null").select("anchor", "context", "first", "last")
+
+    # windows that several shards of an anchor may have
+    by_window = Window.partitionBy("anchor", "window")
+    shared = compared.where("part is not null").withColumn("times", F.count("*").over(by_window)).withColumn("any", F.bool_or("alone").over(by_window)).where("times > 1 and any")
+    shared = materialise(shared.select("anchor", "context", "first", "last", "part", "alone"))
+    if not shared.isEmpty():
+        needed = bytes_of(asked.where("copy = 1").join(shared.select("anchor", "context").distinct(), ["anchor", "context"], "left_semi")).select("anchor", "context", "bytes")
+        pieces = shared.join(needed, ["anchor", "context"]).withColumn("bytes", F.substring("bytes", F.col("first") + 1, F.lit(length)))
+        marks = marks.union(pieces.groupBy("anchor", "part").applyInArrow(lambda t: merge_shards(t, length), "anchor long, context binary, first int, last int"))
+
+    found = join_split(runs_, marks.groupBy("anchor", "context").agg(F.collect_set(F.struct("first", "last")).alias("marks")), ["anchor", "context"])
+    # a context that comes several times in a row is flagged as a whole
+    each = F.explode(F.when(F.col("times") > 1, F.array(F.struct(F.lit(0).alias("first"), (F.col("windows") * F.col("times")).alias("last")))).otherwise(F.col("marks"))).alias("m")
+    ranges = found.select("doc_id", "h", "start", each).select("doc_id", "h", (F.col("start") + F.col("m.first")).alias("a"), (F.col("start") + F.col("m.last") + (length - 1)).alias("b"))
+    covered = ranges.union(whole).groupBy("doc_id", "h").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     covered = materialise(covered).withColumnsRenamed({"doc_id": "_d", "h": "_h"})
     marked = docs.join(covered, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["h"] == F.col("_h")), "left").select("doc_id", "text", "ranges")
 

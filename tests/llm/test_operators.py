@@ -270,7 +270,8 @@ def test_bounds_keep_similar_sets():
         frequent = some, np.array([rng.randint(3, 6) for _ in some], np.int32)
         k = len({*simhash.rarest(x, frequent, 0.8).tolist()} & {*simhash.rarest(y, frequent, 0.8).tolist()})
         sketch = np.stack([simhash.parities(x), simhash.parities(y)])
-        pairs = simhash.block_pairs(np.arange(2), np.arange(2), np.array([len(x), len(y)]), sketch, np.array([0]), np.array([1]), 0.8)
+        zero = np.zeros(1, np.int64)
+        (pairs,) = simhash.block_pairs(zero, zero, np.array([2]), np.zeros(2, np.int64), np.arange(2), np.arange(2), np.array([len(x), len(y)]), sketch, 0.8)
         assert len(pairs) == 1 and k >= max(1, pairs[0, 2])
         kept += 1
     assert kept > 300
@@ -414,7 +415,7 @@ def test_suffix_arrays():
             want = [[seen[c[i : i + length]] > 1 for i in range(len(c) - length + 1)] for c in contexts]
             assert [f.tolist() for f in suffixes.repeated_windows(contexts, length)] == want
     codes = np.frombuffer(b"mississippi", np.uint8).astype(np.int64) + 1
-    assert suffixes.suffix_array(codes, 11).tolist() == [10, 7, 4, 1, 0, 9, 8, 6, 3, 5, 2]
+    assert suffixes.suffix_array(codes).tolist() == [10, 7, 4, 1, 0, 9, 8, 6, 3, 5, 2]
 
 
 def test_decontamination(spark, docs, none):
