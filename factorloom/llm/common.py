@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,10 +18,16 @@ SPLIT_KEYS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names for all executors in spark.checkpoint.dir; an error where it names none."""
+    """The folder that the session names for all executors in spark.checkpoint.dir.
+
+    Where it names none, a local session (tests) takes a temporary folder of the one machine there is; on a cluster that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 

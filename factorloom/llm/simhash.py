@@ -284,9 +284,9 @@ def open_pairs(shared: DataFrame, unique: DataFrame, groups: DataFrame, similari
     The members of a key are dealt to blocks and every two blocks meet in a task of their own, so a frequent key is no single task.
     """
     placed = unique.join(groups, unique["same"] == groups["node"], "left").select("same", F.coalesce("component", "same").alias("component"), "n", "sketch")
-    every = Window.partitionBy("key")
-    parted = shared.join(placed.select("same", "component"), "same").withColumn("blocks", F.ceil(F.count("*").over(every) / F.lit(block)).cast("int"))
-    parted = parted.withColumn("first", F.min("component").over(every)).withColumn("last", F.max("component").over(every)).where("first < last")
+    joined = materialise(shared.join(placed.select("same", "component"), "same"))
+    open_ = joined.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
+    parted = join_split(joined.select("key", "same"), open_.select("key", F.ceil(F.col("members") / F.lit(block)).cast("int").alias("blocks")), ["key"])
     parted = materialise(parted.select("key", "same", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int").alias("own"), "blocks"))
     dealt = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(placed, "same")
     met = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "same", "component", "n", "sketch")).alias("members"))

@@ -5,8 +5,8 @@ of the others is found as follows. The k-grams of every text are
 hashed, and each window of ``length`` bytes is assigned to its least (leftmost) k-gram, its anchor; equal
 windows have equal anchors in equal places, so they meet at their anchor's hash. Neighbouring windows
 with one anchor form a run, whose bytes are its context, named by a cryptographic digest. Contexts of anchors that occur
-more than once are dealt to shards by anchor: one run of each context, and a second where there are more. Each shard
-builds a suffix array of their bytes by Larsson-Sadakane refinement in numpy and common prefixes by Kasai's pass; a window whose
+more than once are dealt to shards by anchor: one run of each context, and a second, to be compared with it, where there are more. Each shard
+builds a suffix array of the distinct contexts' bytes by Larsson-Sadakane refinement in numpy and common prefixes by Kasai's pass; a window whose
 prefix of ``length`` bytes is its neighbour's is repeated, in this run and in all others with the context.
 
 An anchor with more contexts than a shard holds has several shards, in as many tasks. Windows whose hashes several shards
@@ -67,20 +67,27 @@ def runs(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.nda
         return none.astype(np.uint64), none, none, none
     h = rolling(np.frombuffer(data, np.uint8).astype(np.uint64), gram)
     span = length - gram + 1
-    low, at, size = h, np.arange(len(h), dtype=np.int32), 1
+    # the least is that of the greatest 40 bits, the leftmost of equal ones: bits and place in one word, or, of a very long text, in two
+    place = np.arange(len(h), dtype=np.uint64)
+    if len(h) <= 1 << 24:
+        low = h >> np.uint64(24) << np.uint64(24) | place
+        at = sliding(low, span, np.minimum) & np.uint64((1 << 24) - 1)
+    else:
+        low = np.rec.fromarrays([h >> np.uint64(24), place])
+        at = sliding(low, span, lambda x, y: np.where((x.f0 < y.f0) | ((x.f0 == y.f0) & (x.f1 < y.f1)), x, y))["f1"]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    last = np.concatenate((first[1:] - 1, [len(at) - 1]))
+    found = at[first].astype(np.int64)
+    return h[found], found, first, last
 
-    def least(shift: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-        right = low[shift : shift + m] < low[:m]
-        return np.where(right, low[shift : shift + m], low[:m]), np.where(right, at[shift : shift + m], at[:m])
 
+def sliding(x: np.ndarray, span: int, least) -> np.ndarray:
+    """The least of every ``span`` neighbours, from those of half as many."""
+    size, low = 1, x
     while 2 * size <= span:
-        low, at = least(size, len(low) - size)
+        low = least(low[:-size], low[size:])
         size *= 2
-    low, at = least(span - size, len(h) - span + 1)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    place = at[first].astype(np.int64)
-    return h[place], place, first, last
+    return least(low[: len(x) - span + 1], low[span - size : len(x) - size + 1]) if size < span else low
 
 
 def _order(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
@@ -122,7 +129,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
 def common_prefixes(codes: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place: the suffix sorted before its own (-1: none), and how long a prefix they share; from ``enough`` on, at least so much.
 
-    Kasai's pass over every text (from ``starts``, ``sizes`` long) at once: what a place shares is one less than what the place before it
+    Kasai's pass over the first ``sizes`` places of every text (from ``starts``) at once: what a place shares is one less than what the place before it
     shared, or more, so each goes on from there, seven symbols at a time.
     """
     n = len(codes)
@@ -153,24 +160,18 @@ def common_prefixes(codes: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes
     return before, shared
 
 
-def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each context, which of its windows of ``length`` bytes start anywhere else in these contexts."""
+def repeated_windows(contexts: list[bytes], repeated: list[bool], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Over all contexts laid end to end, whether a window of ``length`` bytes starts at a place that starts anywhere else, in these contexts or in a copy of a ``repeated`` one; and where each context begins."""
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes)
     codes = np.insert(np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 1, ends, 0)  # a zero ends each
     starts = ends - sizes + np.arange(len(contexts))
-    left = np.repeat(starts + sizes, sizes + 1) - np.arange(len(codes))  # symbols to the end of the context
-    before, shared = common_prefixes(codes, suffix_array(codes), starts, sizes, length)
-    equal = (before >= 0) & (shared >= length) & (left >= length)
-    found = equal.copy()
+    whole = np.repeat(starts + sizes, sizes + 1) - np.arange(len(codes)) >= length  # within its context
+    before, shared = common_prefixes(codes, suffix_array(codes), starts, np.maximum(sizes - length + 1, 0), length)
+    equal = (before >= 0) & (shared >= length) & whole
+    found = (equal | np.repeat(repeated, sizes + 1)) & whole
     found[before[equal]] = True
-    return [found[s : s + max(0, n - length + 1)] for s, n in zip(starts.tolist(), sizes.tolist())]
-
-
-def spans(flags: np.ndarray) -> list[tuple[int, int]]:
-    """First and one past the last of each row of flagged windows."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+    return found, starts
 
 
 #: what a shard gives: flagged windows first to last of a context (part null), and windows that other shards may have
@@ -182,39 +183,49 @@ class Shards:
 
     def __init__(self, length: int, shard_bytes: int = SHARD_BYTES):
         self.length, self.shard_bytes = length, shard_bytes
-        self.rows: list[tuple] = []  # (anchor, shard, shards, context, copy, bytes)
+        self.rows: list[tuple] = []  # (anchor, shard, shards, context, bytes)
+        self.repeated: list[bool] = []  # whether another run has the same bytes
         self.bytes = 0
 
     def add(self, row: tuple) -> pa.RecordBatch | None:
-        """Rows come in the order of anchor, shard, context and copy; a copy that comes again, of a repeated row, is the same text."""
+        """Rows (anchor, shard, shards, context, copy, bytes) come in the order of anchor, shard, context and copy.
+
+        Equal contexts are one text of the suffix array, known to be repeated once a second copy's bytes are seen to be the same.
+        A first copy that comes again belongs to a repeated row.
+        """
+        if self.rows and (row[0], row[3]) == (self.rows[-1][0], self.rows[-1][3]):
+            if row[5] != self.rows[-1][4]:
+                raise RuntimeError("different bytes have one digest")
+            self.repeated[-1] = True
+            return None
         out = self.flush() if self.bytes >= self.shard_bytes and row[:2] != self.rows[-1][:2] else None
-        if not self.rows or row[:5] != self.rows[-1][:5]:
-            self.rows.append(row)
-            self.bytes += len(row[5])
+        self.rows.append((*row[:4], row[5]))
+        self.repeated.append(False)
+        self.bytes += len(row[5])
         return out
 
     def flush(self) -> pa.RecordBatch | None:
         """Flagged windows of each context, and the windows that other shards of an anchor may have, each once a shard."""
-        rows, self.rows, self.bytes = self.rows, [], 0
+        rows, repeated, self.rows, self.repeated, self.bytes = self.rows, self.repeated, [], [], 0
         if not rows:
             return None
-        flags = repeated_windows([r[5] for r in rows], self.length)
-        marks = [(r[0], r[3], a, b) for r, f in zip(rows, flags) if r[4] == 1 for a, b in spans(f)]
-        columns = [list(c) for c in zip(*marks)] if marks else [[], [], [], []]
-        more: list[list] = [[None] * len(marks) for _ in range(3)]
-        for _, group in groupby((i for i, r in enumerate(rows) if r[2] > 1 and r[4] == 1), key=lambda i: rows[i][:2]):
+        flags, starts = repeated_windows([r[4] for r in rows], repeated, self.length)
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))  # contexts end in places without windows
+        of = np.searchsorted(starts, edge[::2], "right") - 1
+        out = [(of, edge[::2] - starts[of], edge[1::2] - starts[of], None)]
+        for _, group in groupby((i for i, r in enumerate(rows) if r[2] > 1), key=lambda i: rows[i][:2]):
             here = list(group)
-            sizes = [len(flags[i]) for i in here]
-            windows = np.concatenate([rolling(np.frombuffer(rows[i][5], np.uint8).astype(np.uint64), self.length) for i in here]).view(np.int64)
-            alone, at, of = ~np.concatenate([flags[i] for i in here]), np.concatenate([np.arange(n) for n in sizes]), np.repeat(here, sizes)
-            _, once = np.unique(windows, return_index=True)
-            columns[0] += [rows[here[0]][0]] * len(once)
-            columns[1] += [rows[i][3] for i in of[once].tolist()]
-            columns[2] += at[once].tolist()
-            columns[3] += (at[once] + 1).tolist()
-            for into, x in zip(more, (windows[once] % rows[here[0]][2], windows[once], alone[once])):
-                into += x.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, *more], FOUND.types)], schema=FOUND)
+            hashes = [rolling(np.frombuffer(rows[i][4], np.uint8).astype(np.uint64), self.length) for i in here]
+            sizes = [len(h) for h in hashes]
+            at, of = np.concatenate([np.arange(n) for n in sizes]), np.repeat(here, sizes)
+            windows, once = np.unique(np.concatenate(hashes).view(np.int64), return_index=True)
+            at, of = at[once], of[once]
+            out.append((of, at, at + 1, (windows % rows[here[0]][2], windows, ~flags[starts[of] + at])))
+        tables = []
+        for of, first, last, more in out:
+            cells = more or ([None] * len(of),) * 3
+            tables.append([[rows[i][0] for i in of.tolist()], [rows[i][3] for i in of.tolist()], first, last, *cells])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(t[k], kind) for t in tables]) for k, kind in enumerate(FOUND.types)], schema=FOUND)
 
 
 def merge_shards(table: pa.Table, length: int) -> pa.Table:
@@ -241,7 +252,8 @@ def find_runs(df: DataFrame, length: int) -> DataFrame:
                 if not len(hashes):
                     continue
                 context = [digest(data[a : b + length], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist())]
-                heads = [i for i in range(len(context)) if not i or hashes[i] != hashes[i - 1] or context[i] != context[i - 1]]
+                again = [i for i in (np.flatnonzero(hashes[1:] == hashes[:-1]) + 1).tolist() if context[i] == context[i - 1]]
+                heads = np.delete(np.arange(len(context)), again).tolist()
                 out[0] += hashes[heads].view(np.int64).tolist()
                 out[1] += [context[i] for i in heads]
                 out[2] += [doc] * len(heads)
