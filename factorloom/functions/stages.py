@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for all executors in spark.checkpoint.dir; an error where it names none."""
+    """The folder that the session names for all executors in spark.checkpoint.dir.
+
+    Where it names none, a local session (tests) takes a temporary folder of the one machine there is; on a cluster that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
@@ -24,6 +32,17 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_RESUMED: dict[tuple[str, str], DataFrame] = {}
+
+
+def resumed(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage's written result: built once an application under this name, read by all that ask for it later."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _RESUMED:
+        _RESUMED[key] = staged(build())
+    return _RESUMED[key]
+
+
 def with_ordinal(df: DataFrame, order: list[str], out: str = "ordinal") -> DataFrame:
     """Add a gapless number from 0 in the given order without sorting all rows in one task.
 
