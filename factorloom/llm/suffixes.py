@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import join_split, materialise, sized, small_batches
 
 GRAM = 32
+#: k-grams of a text whose place fits into 24 bits
+LONG = 1 << 24
 #: bytes of contexts that one suffix array holds
 SHARD_BYTES = 1_500_000
 #: an anchor with more runs than this, and than its part of all runs, is frequent; so at most FREQUENT anchors are
@@ -69,12 +71,12 @@ def runs(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.nda
     span = length - gram + 1
     # the least is that of the greatest 40 bits, the leftmost of equal ones: bits and place in one word, or, of a very long text, in two
     place = np.arange(len(h), dtype=np.uint64)
-    if len(h) <= 1 << 24:
+    if len(h) <= LONG:
         low = h >> np.uint64(24) << np.uint64(24) | place
         at = sliding(low, span, np.minimum) & np.uint64((1 << 24) - 1)
     else:
-        low = np.rec.fromarrays([h >> np.uint64(24), place])
-        at = sliding(low, span, lambda x, y: np.where((x.f0 < y.f0) | ((x.f0 == y.f0) & (x.f1 < y.f1)), x, y))["f1"]
+        low = np.rec.fromarrays([h >> np.uint64(24), place]).view(np.ndarray)
+        at = sliding(low, span, lambda x, y: np.where((x["f0"] < y["f0"]) | ((x["f0"] == y["f0"]) & (x["f1"] < y["f1"])), x, y))["f1"]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = np.concatenate((first[1:] - 1, [len(at) - 1]))
     found = at[first].astype(np.int64)

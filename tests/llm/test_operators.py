@@ -552,6 +552,21 @@ def test_suffix_dedup_of_one_line_in_many_contexts(spark, anchor_runs):
     assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == {(i, *w) for i, w in enumerate(want)}
 
 
+@pytest.mark.parametrize("long", [suffixes.LONG, 50])
+def test_runs_share_their_least_gram(monkeypatch, long):
+    monkeypatch.setattr(suffixes, "LONG", long)
+    rng = random.Random(3)
+    for _ in range(60):
+        data = bytes(rng.choices(b"abcd ", k=rng.randint(40, 400)))
+        hashes, place, first, last = suffixes.runs(data, 60, 8)
+        if len(data) < 60:
+            assert not len(hashes)
+            continue
+        h = suffixes.rolling(np.frombuffer(data, np.uint8).astype(np.uint64), 8).tolist()
+        want = [min(range(i, i + 53), key=lambda k: (h[k] >> 24, k)) for i in range(len(data) - 59)]
+        assert [p for p, a, b in zip(place.tolist(), first.tolist(), last.tolist()) for _ in range(a, b + 1)] == want
+
+
 def test_suffix_arrays():
     rng = random.Random(2)
     for _ in range(60):
