@@ -407,9 +407,9 @@ def performance(spark, d):
     return statistics.performance(domain(spark, d, "bars").withColumnRenamed("ticker", "name"), "close")
 
 
-@query(with_parts("filled_days") + _FWD + f", l AS (SELECT min(monthly_return) AS low FROM fwd) SELECT CAST(floor((monthly_return - low) / 0.5 + 1e-9) AS BIGINT) AS bin, {r('any_value(low) + floor((monthly_return - low) / 0.5 + 1e-9) * 0.5', 6, 'low')}, count(*) AS count FROM fwd, l GROUP BY floor((monthly_return - low) / 0.5 + 1e-9)")
+@query(with_parts("filled_days") + _FWD + f", l AS (SELECT min(monthly_return) AS low FROM fwd) SELECT CAST(floor((monthly_return - low) / 0.01 + 1e-9) AS BIGINT) AS bin, {r('any_value(low) + floor((monthly_return - low) / 0.01 + 1e-9) * 0.01', 6, 'low')}, count(*) AS count FROM fwd, l GROUP BY floor((monthly_return - low) / 0.01 + 1e-9)")
 def return_histogram(spark, d):
-    return statistics.return_histogram(timeseries.monthly_forward_returns(timeseries.fill_days(domain(spark, d, "bars")), "close"), "monthly_return", 0.5)
+    return statistics.return_histogram(timeseries.monthly_forward_returns(timeseries.fill_days(domain(spark, d, "bars")), "close"), "monthly_return", 0.01)
 
 
 PREDICTIONS_SQL = with_parts("sampled") + """, y AS (SELECT ticker, date, return_1m, mom1w AS f, CASE WHEN return_1m > 0 THEN 1 ELSE 0 END AS l, CASE WHEN mom1w > 0 THEN 1 ELSE 0 END AS p FROM sampled WHERE return_1m IS NOT NULL AND mom1w IS NOT NULL)
