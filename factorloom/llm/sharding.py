@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation, with DataFrame operations only.
 
 Documents with equal texts are linked: every group of copies is one hyperedge, never expanded into
-pairs. Rows start evenly spread over the shards. Copies of one group are interchangeable, so the state
+pairs. Groups start laid end to end, by hash, and cut where shards end. Copies of one group are interchangeable, so the state
 that the iterations move is (group, shard, rows), which a group of any size keeps at ``n_shards`` rows.
 In each round every group takes as its home the fewest of its shards that hold or have room for all its rows, and asks to move
 its other rows there; a shard admits rows up to its quota. Rounds go on until no group comes together any further. Rows without
@@ -67,10 +67,16 @@ def shard_documents(df: DataFrame, n_shards: int = 16, rounds: int = 64, id_col:
     rows = materialise(df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("g"), F.lit(1).alias("one")))
     n = rows.count()
     buckets = buckets_for(n)
-    start = running_total(rows, [], ["doc_id", "g"], "one", "rank", buckets).withColumn("shard", F.pmod("rank", F.lit(n_shards)).cast("int"))
-    per = start.groupBy("g", "shard").agg(F.count("*").alias("c")).withColumn("n_copies", F.sum("c").over(Window.partitionBy("g")))
     quota = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
-    state, held = propagate(materialise(per.where("n_copies > 1").select("g", "shard", "c")), quota, rounds, buckets)
+    groups = materialise(rows.groupBy("g").agg(F.count("*").alias("all")).where(F.col("all") > 1))
+    linked = groups.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    laid = running_total(groups, [], ["g"], "all", "begin", buckets)
+    edges = [sum(quota[:s]) * linked // max(1, n) for s in range(n_shards + 1)]  # each shard starts with its share of linked rows
+    ranges = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(s).alias("shard")) for s, (a, b) in enumerate(zip(edges, edges[1:]))])
+    inside = F.filter(ranges, lambda r: (r["a"] < F.col("begin") + F.col("all")) & (r["b"] > F.col("begin")))
+    cut = laid.select("g", "begin", "all", F.explode(inside).alias("r"))
+    state = materialise(cut.select("g", "r.shard", (F.least(F.col("r.b"), F.col("begin") + F.col("all")) - F.greatest("r.a", "begin")).alias("c")).where("c > 0"))
+    state, held = propagate(state, quota, rounds, buckets)
 
     # rows of a group take its shards in turn: the places of each shard end where the next one's begin
     w = Window.partitionBy("g").orderBy("shard")
