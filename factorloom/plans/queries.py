@@ -222,7 +222,7 @@ def industry_features(spark, d):
 # samples, labels, dataset
 
 
-@query()
+@query(with_parts("walked") + "SELECT ticker, date, datekey FROM walked JOIN known USING (ticker, date)")
 def samples_at_filings(spark, d):
     return sampling.sample_at_filings(staged(W.known_bars(spark, d).select("ticker", "date", "datekey")))
 
