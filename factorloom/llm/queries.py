@@ -11,6 +11,7 @@ from factorloom.llm.chat import CHAT_SQL, rotate_perspectives
 from factorloom.llm.common import crc_mod
 from factorloom.llm.decontamination import DECONTAMINATION_SQL, decontaminate
 from factorloom.llm.fingerprints import fingerprint_documents
+from factorloom.llm.infilling import INFILLING_SQL, fill_in_middle, restored
 from factorloom.llm.langid import fit_languages, language_ids
 from factorloom.llm.mixing import mix_sources
 from factorloom.llm.quality import fit_quality, quality_scores
@@ -75,6 +76,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.withColumns({"output_sha256": digest(F.col("output")), "restored_sha256": digest(restored(F.col("output"), F.col("form")))}).drop("output")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
-ORACLES: dict[str, str] = {"op9_decontamination": DECONTAMINATION_SQL, "op10_chat": CHAT_SQL}
+ORACLES: dict[str, str] = {"op9_decontamination": DECONTAMINATION_SQL, "op10_chat": CHAT_SQL, "op11_fill_in_middle": INFILLING_SQL}
