@@ -19,6 +19,7 @@ from factorloom.llm.sharding import shard_documents
 from factorloom.llm.simhash import simhash_groups
 from factorloom.llm.suffixes import remove_repeats
 from factorloom.llm.token_counts import token_counts
+from factorloom.llm.whitening import fit_whitening, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +83,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumns({"output_sha256": digest(F.col("output")), "restored_sha256": digest(restored(F.col("output"), F.col("form")))}).drop("output")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return whiten(embeddings, fit_whitening(embeddings))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES: dict[str, str] = {"op9_decontamination": DECONTAMINATION_SQL, "op10_chat": CHAT_SQL, "op11_fill_in_middle": INFILLING_SQL}
