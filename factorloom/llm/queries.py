@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.chat import CHAT_SQL, rotate_perspectives
-from factorloom.llm.common import crc_mod
+from factorloom.llm.common import crc_mod, shared_dir
 from factorloom.llm.decontamination import DECONTAMINATION_SQL, decontaminate
 from factorloom.llm.fingerprints import fingerprint_documents
 from factorloom.llm.infilling import INFILLING_SQL, fill_in_middle, restored
@@ -19,6 +20,7 @@ from factorloom.llm.sharding import shard_documents
 from factorloom.llm.simhash import simhash_groups
 from factorloom.llm.suffixes import remove_repeats
 from factorloom.llm.token_counts import token_counts
+from factorloom.llm.warc import WARC_SQL, read_warc, write_warc
 from factorloom.llm.whitening import fit_whitening, whiten
 
 
@@ -88,6 +90,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(embeddings, fit_whitening(embeddings))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    back = read_warc(spark, folder, payload=False)
+    return back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -101,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_whitening": op12_whitening,
+    "op13_warc": op13_warc,
 }
 
-ORACLES: dict[str, str] = {"op9_decontamination": DECONTAMINATION_SQL, "op10_chat": CHAT_SQL, "op11_fill_in_middle": INFILLING_SQL}
+ORACLES: dict[str, str] = {"op9_decontamination": DECONTAMINATION_SQL, "op10_chat": CHAT_SQL, "op11_fill_in_middle": INFILLING_SQL, "op13_warc": WARC_SQL}
