@@ -50,7 +50,8 @@ def digits(c: str) -> Column:
     return F.when(F.abs(c) < 1e-6, 0.0).when(F.col(c).isNotNull(), F.format_string("%.5e", F.col(c) * NUDGE).cast("double")).alias(c)
 
 
-TRAINING_SQL = (
+#: CTEs up to filled_, the finished rows
+TRAINING_ROWS_SQL = (
     with_parts("walked", "priced", "monthly", "industries", "rates") + beta_sql("walked").replace("FROM walked s", "FROM walked s")
     + ", chosen AS (SELECT p.*, e.ewmstd AS ewmstd_2y_monthly FROM priced p JOIN walked USING (ticker, date) LEFT JOIN ewm e ON e.ticker = p.ticker AND e.month = last_day(p.date - INTERVAL 1 MONTH))"
     + barrier_sql("chosen", 1.0, -1.0, "1")
@@ -62,8 +63,9 @@ whole AS (SELECT * FROM merged WHERE size IS NOT NULL AND industry IS NOT NULL),
 c AS (SELECT * FROM whole WHERE mom24m IS NOT NULL AND primary_label_tbm IS NOT NULL AND return_1m IS NOT NULL AND erp_1m IS NOT NULL AND age <= 180), i AS (SELECT industry, size, {_moments} FROM c GROUP BY industry, size),
 filled_ AS (SELECT c.ticker, c.date, c.calendardate, c.datekey, c.industry, c.size, c.timeout, c.primary_label_tbm, CAST(sign(c.erp_1m) AS INT) AS erp_1m_direction, CAST(c.age AS DOUBLE) AS age, {", ".join(f"{_cell(f)} AS {f}" for f in _FILLED)}, {", ".join(r(f"c.{f}", 6, f) for f in _LABELS)}
   FROM c LEFT JOIN i USING (industry, size) LEFT JOIN z ON z.size = c.size WHERE c.primary_label_tbm <> 0 AND c.erp_1m <> 0)
-SELECT * REPLACE ({", ".join(_digits(f, f) for f in _FILLED)}) FROM filled_"""
+"""
 )
+TRAINING_SQL = TRAINING_ROWS_SQL + f"""SELECT * REPLACE ({", ".join(_digits(f, f) for f in _FILLED)}) FROM filled_"""
 
 
 @query(TRAINING_SQL, 12)
