@@ -1,13 +1,18 @@
-"""Intermediate results that several later steps read, and row numbers over whole tables."""
+"""Intermediate results: named stages that outlive an application, tables of one application, and row numbers over whole tables."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,23 +29,191 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+class Folder:
+    """A folder in any store that Spark reaches, for the few small files and moves that a manifest needs."""
+
+    def __init__(self, spark: SparkSession, where: str) -> None:
+        self.jvm, self.where = spark._jvm, where.rstrip("/")
+        self.store = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(self, name: str) -> Any:
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.where}/{name}" if name else self.where)
+
+    def names(self, name: str = "") -> list[str]:
+        at = self.path(name)
+        return sorted(s.getPath().getName() for s in self.store.listStatus(at)) if self.store.exists(at) else []
+
+    def exists(self, name: str) -> bool:
+        return self.store.exists(self.path(name))
+
+    def read(self, name: str) -> str:
+        with_stream = self.store.open(self.path(name))
+        try:
+            return bytes(with_stream.readAllBytes()).decode()
+        finally:
+            with_stream.close()
+
+    def put(self, name: str, text: str) -> bool:
+        """Write a file that doesn't exist, whole or not at all; False if it does by now."""
+        part = self.path(f".{name.replace('/', '_')}-{uuid.uuid4().hex}")
+        out = self.store.create(part, True)
+        out.write(text.encode())
+        out.close()
+        self.store.mkdirs(self.path(name).getParent())
+        try:
+            done = not self.exists(name) and self.store.rename(part, self.path(name))
+        finally:
+            if self.store.exists(part):
+                self.store.delete(part, False)
+        return bool(done)
+
+    def remove(self, name: str) -> None:
+        self.store.delete(self.path(name), True)
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A digest of names, lengths and times of all files under the paths: it changes when an input is written anew."""
+    seen = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not store.exists(at):
+            seen.append([path, "missing"])
+            continue
+        files = store.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return hashlib.sha256(json.dumps(sorted(seen, key=repr)).encode()).hexdigest()
+
+
+class StageStore:
+    """Results of named stages in a folder, kept from one application to the next.
+
+    A log of numbered versions holds the manifest: for each stage its digest of inputs and parameters, schema, state and folder. A
+    version is one file that is put in place by a rename, and its number is taken once, so a reader sees a whole manifest and writers
+    that meet try again. A stage's rows are complete before the manifest names them. On stores without atomic renames, one
+    application at a time may write.
+    """
+
+    LOG, TABLES, VERSIONS = "_log", "tables", 5
+
+    def __init__(self, spark: SparkSession, where: str) -> None:
+        self.spark, self.folder = spark, Folder(spark, where)
+
+    def version(self) -> int:
+        names = [n for n in self.folder.names(self.LOG) if n.endswith(".json")]
+        return int(names[-1].removesuffix(".json")) if names else 0
+
+    def manifest(self) -> dict[str, dict[str, Any]]:
+        v = self.version()
+        return json.loads(self.folder.read(f"{self.LOG}/{v:010d}.json")) if v else {}
+
+    def update(self, change: Callable[[dict[str, dict[str, Any]]], None], tries: int = 20) -> dict[str, dict[str, Any]]:
+        """The next version of the manifest: the last one as ``change`` leaves it."""
+        for _ in range(tries):
+            v, held = self.version(), self.manifest()
+            change(held)
+            if self.folder.put(f"{self.LOG}/{v + 1:010d}.json", json.dumps(held, indent=1, sort_keys=True)):
+                return held
+            time.sleep(0.05)
+        raise RuntimeError(f"other writers took {tries} versions of {self.folder.where}")
+
+    def digest(self, inputs: Iterable[str], stages: Iterable[str], parameters: dict[str, Any]) -> str:
+        held = self.manifest()
+        before = {s: held.get(s, {}).get("digest") for s in stages}
+        return hashlib.sha256(json.dumps([fingerprint(self.spark, *inputs), before, parameters], sort_keys=True, default=str).encode()).hexdigest()
+
+    def complete(self, name: str, digest: str | None = None) -> dict[str, Any] | None:
+        """The manifest's entry of a stage that is complete, of this digest if one is given, and whose rows are there."""
+        e = self.manifest().get(name)
+        fits = e and e["state"] == "complete" and digest in (None, e["digest"]) and self.folder.exists(f"{e['folder']}/_SUCCESS")
+        return e if fits else None
+
+    def read(self, name: str) -> DataFrame:
+        e = self.complete(name)
+        if not e:
+            raise KeyError(name)
+        return self.spark.read.schema(StructType.fromJson(e["schema"])).parquet(f"{self.folder.where}/{e['folder']}")
+
+    def stage(self, name: str, build: Callable[[], DataFrame], inputs: Iterable[str] = (), stages: Iterable[str] = (), parameters: dict[str, Any] | None = None) -> DataFrame:
+        """The result of a stage: read if it was built from these inputs (paths), stages and parameters, else built now.
+
+        The manifest says ``building`` while it runs. A build that dies leaves a folder that no complete stage names: the next call builds
+        anew and ``clean`` removes it. What ``build`` itself does isn't known here; put a version of it among the parameters.
+        """
+        inputs, stages, parameters = sorted(inputs), sorted(stages), parameters or {}
+        digest = self.digest(inputs, stages, parameters)
+        if not self.complete(name, digest):
+            where = f"{self.TABLES}/{name}-{digest[:12]}-{uuid.uuid4().hex[:8]}"
+            entry = {"digest": digest, "inputs": inputs, "stages": stages, "parameters": json.loads(json.dumps(parameters, default=str)), "folder": where, "started": time.time()}
+            self.update(lambda m: m.update({name: entry | {"state": "building"}}))
+            df = build()
+            df.write.parquet(f"{self.folder.where}/{where}")
+            self.update(lambda m: m.update({name: entry | {"state": "complete", "schema": json.loads(df.schema.json()), "finished": time.time()}}))
+        return self.read(name)
+
+    def state(self) -> DataFrame:
+        """The manifest as a table: stage, state, digest, inputs, stages, parameters, schema, folder."""
+        rows = [(n, e["state"], e["digest"], e["inputs"], e["stages"], json.dumps(e["parameters"]), json.dumps(e.get("schema")), e["folder"]) for n, e in sorted(self.manifest().items())]
+        return self.spark.createDataFrame(rows, "stage string, state string, digest string, inputs array<string>, stages array<string>, parameters string, schema string, folder string")
+
+    def drop(self, *names: str) -> None:
+        """Take stages off the manifest; ``clean`` removes their rows."""
+        self.update(lambda m: [m.pop(n, None) for n in names])
+
+    def clean(self, building_hours: float = 24) -> list[str]:
+        """Remove rows that no stage names, builds that began over ``building_hours`` ago and have not ended, and old versions of the log.
+
+        Frames over a removed table no longer run: call this when no job reads the folder.
+        """
+        old = time.time() - 3600 * building_hours
+        kept = self.update(lambda m: [m.pop(n) for n in [n for n, e in m.items() if e["state"] == "building" and e["started"] <= old]])
+        named = {e["folder"] for e in kept.values()}
+        gone = [f"{self.TABLES}/{n}" for n in self.folder.names(self.TABLES) if f"{self.TABLES}/{n}" not in named]
+        gone += [f"{self.LOG}/{n}" for n in self.folder.names(self.LOG)[: -self.VERSIONS]]
+        gone += [n for n in self.folder.names() if n.startswith(".") and n.removeprefix(".").startswith(self.LOG)]
+        for name in gone:
+            self.folder.remove(name)
+        return gone
+
+
+def stages_of(spark: SparkSession) -> StageStore:
+    """The store in the shared folder."""
+    return StageStore(spark, f"{shared_folder(spark)}/stages")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's anonymous tables; it goes when the driver's JVM ends in order."""
+    where = f"{shared_folder(spark)}/run-{spark.sparkContext.applicationId}"
+    folder = Folder(spark, where)
+    if not folder.store.exists(folder.path("")):
+        folder.store.mkdirs(folder.path(""))
+        folder.store.deleteOnExit(folder.path(""))
+    return where
+
+
+def clean_runs(spark: SparkSession, hours: float = 48) -> list[str]:
+    """Remove the tables of other applications that have written none for so long: what a killed driver left."""
+    shared = Folder(spark, shared_folder(spark))
+    own, old = f"run-{spark.sparkContext.applicationId}", (time.time() - 3600 * hours) * 1000
+    gone = [n for n in shared.names() if n.startswith("run-") and n != own and shared.store.getFileStatus(shared.path(n)).getModificationTime() <= old]
+    for n in gone:
+        shared.remove(n)
+    return gone
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Write a stage's result to the shared folder and read it back, so later steps don't repeat it."""
+    """Write a step's result to the shared folder and read it back, so later steps don't repeat it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_RESUMED: dict[tuple[str, str], DataFrame] = {}
-
-
-def resumed(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A stage's written result: built once an application under this name, read by all that ask for it later."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _RESUMED:
-        _RESUMED[key] = staged(build())
-    return _RESUMED[key]
+def resumed(spark: SparkSession, name: str, build: Callable[[], DataFrame], inputs: Iterable[str] = (), parameters: dict[str, Any] | None = None) -> DataFrame:
+    """A stage of the shared store, whichever application built it: stale as soon as an input or parameter changes."""
+    return stages_of(spark).stage(name, build, inputs, (), parameters)
 
 
 def with_ordinal(df: DataFrame, order: list[str], out: str = "ordinal") -> DataFrame:
