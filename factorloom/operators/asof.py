@@ -21,6 +21,19 @@ def attach_filings(bars: DataFrame, filings: DataFrame, carry: tuple[str, ...] =
     return both.where("_bar = 1 and _at is not null").select(*bars.columns, "_at.*", F.datediff("date", "_at.datekey").alias("age"))
 
 
+def attach_filings_listed(bars: DataFrame, filings: DataFrame, carry: tuple[str, ...] = ("sharesbas", "sharefactor")) -> DataFrame:
+    """``attach_filings`` for tables stored together by ticker: the same rows by an equi-join, which leaves both where they are.
+
+    A union of two stored tables would be shuffled; here each ticker's filings (some hundred at most) become one array, and a
+    bar takes the greatest known entry of its ticker's.
+    """
+    fields = ["calendardate", "datekey", *carry]
+    known = filings.where("datekey is not null and calendardate is not null").groupBy("ticker").agg(F.collect_list(F.struct(*fields)).alias("_all"))
+    at = F.array_max(F.filter("_all", lambda x: x["datekey"] <= F.col("date")))
+    joined = bars.join(known, "ticker").withColumn("_at", at).where("_at is not null")
+    return joined.select(*bars.columns, "_at.*", F.datediff("date", "_at.datekey").alias("age"))
+
+
 def enrich(df: DataFrame, metadata: DataFrame, columns: tuple[str, ...] = ("industry", "sector", "siccode")) -> DataFrame:
     """Rows of tickers that have metadata, with its columns, all from the last row (``last_rows``); Spark broadcasts them where they are small."""
     return df.join(last_rows(metadata, columns), "ticker")
