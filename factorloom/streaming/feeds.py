@@ -105,3 +105,34 @@ def monitor_exits(events: DataFrame, late: str = "2 days") -> DataFrame:
     events.sparkSession.conf.set(*STATE_STORE)
     seen = events.where("price > 0").withWatermark("ts", late)
     return seen.groupBy("ticker").transformWithStateInPandas(exit_monitor(), MONITOR, "append", "EventTime")
+
+
+def streamed_paths(orders: DataFrame, bars: DataFrame, hold: str = "40 days", late: str = "5 days") -> DataFrame:
+    """(orders' columns, bars' columns but ticker): each order with the bars of its ticker from ``opened`` to ``until``, both streams.
+
+    ``orders`` has ticker, opened, until (times); ``bars`` has ticker, ts. No order is held longer than ``hold``: that bound lets the
+    join forget an order once the bars' event time is past it, and a bar once the orders' is, so the state has as many rows
+    as are open. Orders and bars over ``late`` behind their own stream are dropped. An order without a known end is held for all of ``hold``.
+    """
+    opened = orders.withWatermark("opened", late).withColumnRenamed("ticker", "_ticker")
+    seen = bars.withWatermark("ts", late)
+    within = (F.col("_ticker") == F.col("ticker")) & (F.col("ts") >= F.col("opened")) & (F.col("ts") <= F.col("opened") + F.expr(f"INTERVAL {hold}"))
+    ends = F.col("until").isNull() | (F.col("ts") <= F.col("until"))
+    joined = opened.join(seen, within & ends)
+    return joined.select("ticker", *[c for c in orders.columns if c != "ticker"], *[c for c in bars.columns if c != "ticker"])
+
+
+def streamed_exits(orders: DataFrame, bars: DataFrame, hold: str = "40 days", late: str = "5 days") -> DataFrame:
+    """(order_id, opened, closed, price, cause): the first bar of each order whose low or high is at a barrier, or the first at its end.
+
+    On top of ``streamed_paths``, so ``orders`` also has order_id, direction, take_price, stop_price; ``bars`` low, high, close. An order's row comes
+    once no bar of it can follow any more. The stop counts before the profit of the same bar.
+    """
+    up = F.col("direction") > 0
+    stop = F.when(up, F.col("low") <= F.col("stop_price")).otherwise(F.col("high") >= F.col("stop_price"))
+    take = F.when(up, F.col("high") >= F.col("take_price")).otherwise(F.col("low") <= F.col("take_price"))
+    cause = F.when(stop, "stop_loss").when(take, "take_profit").when(F.col("ts") >= F.col("until"), "timeout")
+    price = F.when(F.col("cause") == "stop_loss", F.col("stop_price")).when(F.col("cause") == "take_profit", F.col("take_price")).otherwise(F.col("close"))
+    touched = streamed_paths(orders, bars, hold, late).withColumn("cause", cause).where("cause is not null").withColumn("price", price)
+    first = touched.groupBy("order_id", "opened").agg(F.min(F.struct("ts", "price", "cause")).alias("x"))
+    return first.select("order_id", "opened", F.col("x.ts").alias("closed"), "x.price", "x.cause")
