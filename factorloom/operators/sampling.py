@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,46 +18,93 @@ def _next_month(day: np.datetime64) -> np.datetime64:
     return min(month.astype("datetime64[D]") + (day - day.astype("datetime64[M]").astype("datetime64[D]")), last)
 
 
-def sampled_days(dates: np.ndarray, filings: np.ndarray, distance: int) -> set[int]:
-    """Places in one ticker's ordered dates that are sampled.
+class FilingWalk:
+    """Chooses the sampled days of one ticker from its days in order, and holds no more than two of them.
 
-    The first day is; then every month after the last base, the nearer of the two days around a missing target
-    (the earlier on ties); and each day with a new filing, which is the next base and takes the place of a
-    sample fewer than ``distance`` days old. After a gap the target moves on one month a row.
+    The first day is sampled; then every month after the last base, the nearer of the two days around a missing target (the
+    earlier on ties); and each day with a new filing, which is the next base and takes the place of a sample fewer than ``distance`` days
+    old. After a gap the target moves on one month a day. A day is any object; what comes out of ``step`` and ``end`` is sampled for good.
     """
-    picks: list[int] = []
-    target, before, filing = None, None, None
-    for i, day in enumerate(dates):
-        if i == 0 or filings[i] != filing:
-            if i and picks and dates[picks[-1]] > day - distance:
-                picks.pop()
-            picks.append(i)
-            target, filing = _next_month(day), filings[i]
-            before = i if i == 0 else before
-            continue
-        if day >= target:
-            nearer = i if day == target or target - dates[before] > day - target else before
-            picks.append(nearer)
-            target = _next_month(target)
-        before = i
-    return set(picks)
-
-
-def sample_at_filings(bars: DataFrame, distance: int = 20) -> DataFrame:
+
+    def __init__(self, distance: int) -> None:
+        self.distance = distance
+        self.target = self.filing = None
+        self.before: tuple[np.datetime64, Any] | None = None
+        self.picked: tuple[np.datetime64, Any] | None = None
+        self.times = 0
+
+    def pick(self, day: tuple[np.datetime64, Any]) -> list[Any]:
+        """The new sample may yet give way to a filing; the one before it no longer can. A day that is chosen twice gives way once."""
+        if self.picked and self.picked[0] == day[0]:
+            self.times += 1
+            return []
+        out = [self.picked[1]] if self.picked else []
+        self.picked, self.times = day, 1
+        return out
+
+    def step(self, date: np.datetime64, filing: Any, rows: Any) -> list[Any]:
+        day, first = (date, rows), self.before is None
+        if first or filing != self.filing:
+            if self.picked and self.picked[0] > date - self.distance:
+                self.times -= 1
+                self.picked = self.picked if self.times else None
+            out = self.pick(day)
+            self.target, self.filing = _next_month(date), filing
+            if first:
+                self.before = day
+            return out
+        out = []
+        if date >= self.target:
+            nearer = day if date == self.target or self.target - self.before[0] > date - self.target else self.before
+            out = self.pick(nearer)
+            self.target = _next_month(self.target)
+        self.before = day
+        return out
+
+    def end(self) -> list[Any]:
+        return [self.picked[1]] if self.picked else []
+
+
+def walk_batches(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """The sampled rows of one ticker, from batches in order of date; rows of one date are one day and come together."""
+    walk = FilingWalk(distance)
+    date, filing, parts = None, None, []  # the day at hand, and its rows
+
+    def given(days: list[list[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+        for day in days:
+            yield from day
+
+    for batch in batches:
+        days = batch.column("date").cast(pa.int32()).to_numpy(zero_copy_only=False)
+        filings = batch.column("datekey").cast(pa.int32()).to_pylist()
+        starts = np.flatnonzero(np.diff(days, prepend=days[0] - 1)) if len(days) else []
+        for a, b in zip(starts, [*starts[1:], len(days)]):
+            rows = batch.take(pa.array(range(a, b)))  # a copy, so the batch can go
+            if days[a] == date:
+                parts.append(rows)
+                continue
+            if date is not None:
+                yield from given(walk.step(np.datetime64(int(date), "D"), filing, parts))
+            date, filing, parts = days[a], filings[a], [rows]
+    if date is not None:
+        yield from given(walk.step(np.datetime64(int(date), "D"), filing, parts))
+        yield from given(walk.end())
+
+
+def sample_at_filings(bars: DataFrame, distance: int = 20, arranged: bool = False) -> DataFrame:
     """Rows of ``bars`` (ticker, date, datekey, ...) sampled monthly and rebased at each new filing.
 
-    The walk is sequential in one ticker, so it runs on three narrow columns by ticker (a few thousand days
-    each) and selects the rows by a semi join.
+    The walk is sequential in one ticker. A ticker's rows reach it sorted, batch by batch, and it hands sampled rows on as soon as they
+    are certain, so memory doesn't grow with the ticker, and one shuffle by ticker is all: none for tables stored by ticker (``arranged``).
+    Rows without a date aren't sampled; of a date with several rows the first filing counts.
     """
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date").drop_duplicates("date")
-        dates = pd.to_datetime(group["date"]).to_numpy().astype("datetime64[D]")
-        filings = pd.to_datetime(group["datekey"]).to_numpy().astype("datetime64[D]")
-        return group.iloc[sorted(sampled_days(dates, filings, distance))][["ticker", "date"]]
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from walk_batches(batches, distance)
 
-    picks = bars.select("ticker", "date", "datekey").groupBy("ticker").applyInPandas(walk, "ticker string, date date")
-    return bars.join(picks, ["ticker", "date"], "left_semi")
+    dated = bars.where("date is not null")
+    dealt = dated if arranged else dated.repartition("ticker")
+    return dealt.sortWithinPartitions("ticker", "date").groupBy("ticker").applyInArrow(walk, bars.schema)
 
 
 def month_end_samples(bars: DataFrame) -> DataFrame:
@@ -63,7 +113,16 @@ def month_end_samples(bars: DataFrame) -> DataFrame:
     return bars.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
 
 
-def random_rows(df: DataFrame, by: list[str], n: int, key: list[str], seed: int = 0) -> DataFrame:
-    """``n`` rows of each group, the same on every run: those with the least hashes."""
-    luck: Column = F.xxhash64(F.lit(seed), *key)
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(luck, *key))).where(F.col("_r") <= n).drop("_r")
+def random_rows(df: DataFrame, by: list[str], n: int, key: list[str], seed: int = 0, parts: int = 16) -> DataFrame:
+    """``n`` rows of each group, the same on every run: those with the least digests of ``seed`` and key.
+
+    The least n of a union are among the least n of its sides. So each group is drawn from in ``parts`` parts first, and from what is left of
+    them then: no task holds more of a group than a part, or n rows of each part. Up to 1,000 rows Spark also keeps only
+    the least n of each task before it shuffles. Rows that are equal in the key share a digest; which of them stays is open.
+    """
+    luck: Column = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
+    drawn = df.withColumn("_luck", luck).withColumn("_part", F.pmod(F.xxhash64("_luck"), F.lit(parts)))
+    for keys in ([*by, "_part"], by):
+        least = Window.partitionBy(*keys).orderBy("_luck", *key)
+        drawn = drawn.withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= n).drop("_r")
+    return drawn.drop("_luck", "_part")
