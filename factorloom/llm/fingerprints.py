@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import materialise
 
 WHITE = r"[\x20\x09-\x0D]+"
-#: rows in one range of neighbours, and the most ranges (one key of each is broadcast)
+#: rows in one range of neighbours, and the most ranges (one row of each is broadcast)
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 100_000
+#: copies of one row (id and text) that one task gives out
+MANY_COPIES = 1_000
 
 
 def least(hashes: Column, k: int) -> Column:
@@ -69,25 +71,20 @@ def as_hex(sketch: Column) -> Column:
 def with_next(df: DataFrame, id_col: str, order: list[str], take: list[str]) -> DataFrame:
     """Add next_<c> for each column of ``take``: the value in the next row by ascending id (null first), then ``order``; after the last comes the first.
 
-    Rows are dealt to ranges of equally many keys (id, order), whatever the type and spread of the ids, and each range is
-    sorted by itself. The rows with a range's least key also go to the range before it, as a mark of what follows its last
-    row; the rows of all ranges move once. Only the least key of each range is broadcast, ``MOST_BUCKETS`` keys in one row at most.
+    Rows are dealt to ranges of the keys and written once with the range's number, whatever the type and spread of the ids; each range is sorted by
+    itself. Its last row takes what begins the next range: one row a range, ``MOST_BUCKETS`` at most, joined by number. Meant for narrow rows.
     """
-    keyed = df.withColumn("_k", F.struct(id_col, *order))
+    keys = [F.asc_nulls_first(id_col), *order]
     ranges = max(1, min(MOST_BUCKETS, df.count() // BUCKET_ROWS))
-    heads = keyed.select("_k").repartitionByRange(ranges, "_k").groupBy(F.spark_partition_id().alias("_p")).agg(F.min("_k").alias("_k"))
-    heads = materialise(heads.agg(F.sort_array(F.collect_list("_k")).alias("_heads")))
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(ranges.bit_length()))])
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_heads", at + step - 1) <= F.col("_k"), at + step).otherwise(at))  # binary search
-    dealt = keyed.join(F.broadcast(heads)).withColumn("_b", found - 1)
-    before = F.when(F.col("_b") > 0, F.col("_b") - 1).otherwise(F.size("_heads") - 1)
-    place = lambda mark, b: F.struct(F.lit(mark).alias("mark"), b.alias("b"))
-    copies = F.when(F.col("_k") == F.get("_heads", F.col("_b")), F.array(place(0, F.col("_b")), place(1, before))).otherwise(F.array(place(0, F.col("_b"))))
-    dealt = dealt.select(*df.columns, F.explode(copies).alias("_at")).withColumn("_r", F.col("_at.b")).withColumn("_mark", F.col("_at.mark"))
-    w = Window.partitionBy("_r").orderBy("_mark", id_col, *order)
-    for c in take:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(w))
-    return dealt.where("_mark = 0").drop("_at", "_r", "_mark")
+    placed = materialise(df.repartitionByRange(ranges, *keys).withColumn("_r", F.spark_partition_id()))
+    heads = placed.groupBy("_r").agg(F.min(F.struct(id_col, *order, *[F.col(c).alias(f"_take_{c}") for c in take])).alias("_head"))
+    ring = Window.orderBy("_r")
+    first = F.first("_head").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = heads.select("_r", F.coalesce(F.lead("_head").over(ring), first).alias("_after"))
+    w = Window.partitionBy("_r").orderBy(*keys)
+    inside = placed.withColumn("_next", F.lead(F.struct(*take)).over(w)).join(F.broadcast(after), "_r")
+    at_end = F.col("_next").isNull()
+    return inside.select(*df.columns, *[F.when(at_end, F.col(f"_after._take_{c}")).otherwise(F.col(f"_next.{c}")).alias(f"next_{c}") for c in take])
 
 
 def fingerprint_documents(df: DataFrame, k: int = 64, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,13 +94,42 @@ def fingerprint_documents(df: DataFrame, k: int = 64, shingle: int = 5, id_col:
     texts count as empty; a text without words has an empty fingerprint, which resembles empty ones
     only; ids may be of any type with an order, null ids come first; rows of equal ids follow each other by a hash of
     their texts; a single row is its own next; an empty table gives an empty result; other columns are not read.
+
+    Rows equal in id and text are one until the end: all but the last of them have themselves as next. Neighbours are found on keys without texts; a
+    document is then sent the part of its next one that it needs, with its sketch, so whole texts move by their own key only.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = with_sketch(df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")), F.col("text"), "sketch", k, shingle)
-    paired = with_next(base, "doc_id", ["h"], ["text", "sketch"])
-    n = F.length("text")
-    cut = F.floor(F.length("text") / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
-    paired = paired.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    paired = with_sketch(paired, F.col("edited"), "other", k, shingle)
-    return paired.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_hex(F.col("sketch")).alias("fingerprint"), as_hex(F.col("other")).alias("edited_fingerprint"), resemblance(F.col("sketch"), F.col("other"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"), distinct_shingles(F.col("sketch"), k).alias("distinct_shingles"))
+    base = df.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumns({"a": F.xxhash64("doc_id", "text"), "b": F.xxhash64(F.lit(7), "text", "doc_id"), "h": F.xxhash64("text")})
+    narrow = base.groupBy("a", "b").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first(F.length("text")).alias("n"), F.count("*").alias("copies"))
+    follows = materialise(with_next(narrow, "doc_id", ["h", "a", "b"], ["a", "b"]).select("a", "b", "doc_id", "n", "copies", "next_a", "next_b"))
+    once = base.groupBy("a", "b").agg(F.first("text").alias("text"))
+
+    def results(of: DataFrame, texts: DataFrame) -> DataFrame:
+        asked = of.select(F.col("next_a").alias("a"), F.col("next_b").alias("b"), F.col("a").alias("to_a"), F.col("b").alias("to_b"), F.floor(F.col("n") / 4).cast("int").alias("cut"))
+        sent = with_sketch(once, F.col("text"), "next_sketch", k, shingle).join(asked, ["a", "b"])
+        sent = sent.select(F.col("to_a").alias("a"), F.col("to_b").alias("b"), F.substring("text", F.lit(1), F.col("cut")).alias("head"), "next_sketch")
+        paired = with_sketch(texts, F.col("text"), "sketch", k, shingle).join(of.drop("next_a", "next_b"), ["a", "b"]).join(sent, ["a", "b"])
+        # the last copy has the next document, the others have themselves
+        cut = F.floor(F.col("n") / 4).cast("int")
+        last = F.struct(F.col("head"), F.col("next_sketch").alias("near"), F.lit(1).cast("long").alias("times"))
+        own = F.struct(F.substring("text", F.lit(1), cut).alias("head"), F.col("sketch").alias("near"), (F.col("copies") - 1).alias("times"))
+        each = paired.select("doc_id", "text", "n", "sketch", F.explode(F.when(F.col("copies") > 1, F.array(last, own)).otherwise(F.array(last))).alias("x"))
+        edited = F.concat(F.substring("text", F.lit(1), F.col("n") - cut), F.col("x.head"))
+        each = each.select("doc_id", F.col("n").cast("long").alias("n_chars"), "sketch", F.col("x.near").alias("near"), F.col("x.times").alias("times"), edited.alias("edited"))
+        each = with_sketch(each, F.col("edited"), "other", k, shingle)
+        return each.select(
+            "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_hex(F.col("sketch")).alias("fingerprint"), as_hex(F.col("other")).alias("edited_fingerprint"),
+            resemblance(F.col("sketch"), F.col("other"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("near"), k).alias("near_next"), distinct_shingles(F.col("sketch"), k).alias("distinct_shingles"), "times",
+        )
+
+    def repeated(out: DataFrame) -> DataFrame:
+        return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "_copy")
+
+    out = repeated(results(follows.where(F.col("copies") <= MANY_COPIES), once))
+    hot = follows.where(F.col("copies") > MANY_COPIES)
+    if not hot.isEmpty():  # their rows are told out by several tasks
+        few = results(hot, once.join(hot.select("a", "b"), ["a", "b"], "left_semi"))
+        runs = few.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(MANY_COPIES).cast("long"))))
+        runs = runs.withColumn("times", F.least(F.lit(MANY_COPIES), F.col("times") - F.col("_run")).cast("long")).repartition("doc_id", "_run").drop("_run")
+        out = out.union(repeated(runs))
+    return out

@@ -255,6 +255,29 @@ def test_next_document_whatever_the_ids(spark, kind, monkeypatch):
     assert fingerprints.fingerprint_documents(df).count() == 61
 
 
+@pytest.mark.parametrize("many", [3, 1_000])
+def test_fingerprints_of_repeated_rows(spark, many, monkeypatch):
+    """Rows equal in id and text follow themselves; the last of them is followed by the next document."""
+    monkeypatch.setattr(fingerprints, "MANY_COPIES", many)
+    table = [(1, "a b c d e f g h")] * 40 + [(2, "b c d e f g h i")] + [(3, None)] * 2 + [(None, "x y")] * 3 + [(1, "other words in here now")]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    order = [(r.doc_id, r.text) for r in df.fillna("").orderBy(F.asc_nulls_first("doc_id"), F.xxhash64(F.col("text"))).collect()]
+    want = Counter()
+    for i, (d, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        a, b, c = shingles(t), shingles(edited), shingles(after)
+        want[d, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(len(a & b) / len(a | b) if a | b else 1.0, 9), round(len(a & c) / len(a | c) if a | c else 1.0, 9)] += 1
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.fingerprint_documents(df).collect())
+    assert got == want
+
+
+def test_neighbours_are_not_found_by_a_nested_loop(docs):
+    plan = fingerprints.fingerprint_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "_heads" not in plan and "Cartesian" not in plan
+
+
 def test_sketches_merge(spark):
     parts = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(300))), (1, " ".join(f"w{i}" for i in range(250, 700)))], "k int, text string")
     whole = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(700)))], "k int, text string")
