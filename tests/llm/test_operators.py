@@ -539,7 +539,33 @@ def test_schedule_is_even(spark):
     first = [r.source for r in sorted(got, key=lambda r: r.first_slot)][:60]
     share = {r.source: r.target for r in got}
     total = sum(share.values())
-    assert all(abs(first.count(s) - 60 * t / total) <= 8 for s, t in share.items())
+    assert all(abs(first.count(s) - 60 * t / total) <= 3 for s, t in share.items())
+
+
+def test_the_mix_comes_in_order_of_its_slots(spark, tmp_path):
+    df = spark.createDataFrame([(i, " ".join(["w"] * 50), f"s{i % 3}", i % 7) for i in range(300)], "doc_id long, text string, source string, extra int")
+    mixing.mixed_documents(df, block_words=50).write.parquet(f"{tmp_path}/mix")
+    rows_ = spark.read.parquet(f"{tmp_path}/mix").withColumns({"_f": F.input_file_name(), "_i": F.monotonically_increasing_id()}).orderBy("_f", "_i").collect()
+    target = {r.source: r.target for r in mixing.mix_sources(df, block_words=50).collect()}
+    assert all(abs(50 * n - target[s]) <= 100 for s, n in Counter(r.source for r in rows_).items()) and max(Counter(r.doc_id for r in rows_).values()) <= 2
+    share = Counter(r.source for r in rows_)
+    for begin in range(0, len(rows_) - 60, 20):  # any stretch has the sources in their proportions
+        here = Counter(r.source for r in rows_[begin : begin + 60])
+        assert all(abs(here[s] - 60 * share[s] / len(rows_)) <= 5 for s in share)
+
+
+def test_equal_rows_of_a_mix(spark):
+    """Equal rows have as many copies as each would have alone; rows that differ in any column are others."""
+    table = [(1, "a b c d", "x", 1)] * 6 + [(1, "a b c d", "y", 1), (2, "e f g h", "x", 2), (3, "i j k", "y", 3), (4, None, "y", 4)]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string, extra int").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    got = Counter((r.doc_id, r.source) for r in mixing.mixed_documents(df, block_words=1).collect())
+    alone = Counter()
+    for r in mixing.mix_sources(df, block_words=1).collect():
+        alone[r.source] += r.taken
+    words_ = {(1, "x"): 4, (1, "y"): 4, (2, "x"): 4, (3, "y"): 3}
+    assert set(got) <= set(words_)
+    for s in ("x", "y"):
+        assert abs(sum(n * words_[d, x] for (d, x), n in got.items() if x == s) - alone[s]) <= 8
 
 
 def brute_repeats(data, length):
