@@ -179,5 +179,6 @@ def shard_documents(df: DataFrame, n_shards: int = 16, rounds: int = 64, id_col:
     placed = placed.withColumn("shard", F.filter(parts, lambda p: p["end"] > F.col("place"))[0]["shard"])
     copies = F.when(F.col("parts").isNotNull(), F.element_at("parts", -1)["end"]).otherwise(F.lit(1))
     placed = materialise(placed.select("doc_id", "g", "size", "text_crc32", "shard", copies.cast("long").alias("n_copies"), "one"))
-    slotted = running_total(placed, ["shard"], ["doc_id", "g"], "one", "slot", buckets)
+    # "one" first: other buckets than those that dealt the rows to shards
+    slotted = running_total(placed, ["shard"], ["one", "doc_id", "g"], "one", "slot", buckets)
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "n_copies")
