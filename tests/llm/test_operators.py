@@ -109,9 +109,38 @@ def test_what_a_letter_is(spark):
     df = spark.createDataFrame([(0, "½"), (1, "②③"), (2, "été")], "doc_id long, text string")
     fitted = {"aa": np.log(np.full(1 << langid.BITS, 1 / (1 << langid.BITS)))}
     assert [r.lang_pred for r in langid.language_ids(df, fitted).orderBy("doc_id").collect()] == ["und", "und", "aa"]
-    many = spark.createDataFrame([(str(i), "x") for i in range(1_001)], "lang string, text string")
-    with pytest.raises(ValueError, match="languages"):
-        langid.fit_languages(many, F.lit(True))
+
+
+def test_more_languages_than_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    many = spark.createDataFrame([(f"l{i}", "abc def") for i in range(6) for _ in range(1 + (i == 4))], "lang string, text string")
+    got = langid.fit_languages(many, F.lit(True))
+    assert list(got) == ["l0", "l1", "l4"] and got.prior.tolist() == [0.25, 0.25, 0.5]
+
+
+def test_little_text_gives_little_certainty(spark):
+    rng = random.Random(1)
+    letters = {"aa": "abcdefgh ", "bb": "hgfedcbaxyz "}
+    table = [(x, "".join(rng.choices(letters[x], k=9_000))) for x in ("aa", "bb", "bb", "bb")]
+    fitted = langid.fit_languages(spark.createDataFrame(table, "lang string, text string"), F.lit(True))
+    texts_ = ["a", "ab", "я", "abc", "xyz x", "".join(rng.choices("abcdefgh ", k=400)), "".join(rng.choices("xyz ", k=400)), "42", None]
+    got = [(r.lang_pred, r.score) for r in langid.language_ids(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), fitted).orderBy("doc_id").collect()]
+    assert [(p, round(s, 9)) for p, s in got[:3]] == [("bb", 0.75)] * 3  # no trigram: the prior
+    assert 0.5 <= got[3][1] < 0.99 and got[6] == ("bb", pytest.approx(1, abs=1e-6)) and got[5][0] == "aa" and got[7:] == [("und", 0.0)] * 2
+
+
+def test_expectation_maximisation_ends_at_the_best_and_bounds_it():
+    rng = np.random.default_rng(7)
+    prob = rng.dirichlet(np.full(60, 0.4), size=5) + 1e-4
+    prob /= prob.sum(1, keepdims=True)
+    counts = np.stack([rng.multinomial(n, rng.dirichlet(np.ones(5)) @ prob) for n in (0, 3, 40, 900, 20_000)]).astype(float)
+    share, fit, bound = langid._em(counts, prob, np.full((5, 5), 0.2))
+    assert (bound - fit <= langid.GAP).all() and np.allclose(share.sum(1), 1)
+    for row, best in zip(counts, bound):
+        for _ in range(300):
+            assert (row * np.log(rng.dirichlet(np.full(5, 0.5)) @ prob)).sum() <= best + 1e-9
+    _, early, upper = langid._em(counts, prob, np.full((5, 5), 0.2), fit + 1)  # ends as soon as nothing over that can come
+    assert (upper >= fit - 1e-9).all() and (early <= fit + 1e-9).all()
 
 
 def test_mixtures_are_those_of_plain_expectation_maximisation():
@@ -119,11 +148,11 @@ def test_mixtures_are_those_of_plain_expectation_maximisation():
     prob = rng.dirichlet(np.full(40, 0.3), size=3) + 1e-4
     prob /= prob.sum(1, keepdims=True)
     counts = np.stack([rng.multinomial(400, share @ prob) for share in ([1, 0, 0], [0.6, 0.4, 0], [0.1, 0.2, 0.7], [0, 1, 0])]).astype(np.float32)
-    got = langid.mixtures(counts, np.log(prob), penalty=4.0, rounds=12)
+    got = langid.mixtures(counts, np.log(prob), penalty=4.0)
 
     def em(row, chosen, start):
         share = dict(zip(chosen, start))
-        for _ in range(12):
+        for _ in range(3_000):
             new = dict.fromkeys(chosen, 0.0)
             for w, c in enumerate(row):
                 total = sum(share[k] * prob[k, w] for k in chosen)
