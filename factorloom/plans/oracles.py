@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from factorloom.operators.dataset import SIZE_BOUNDS, SMALLEST
-from factorloom.operators.fundamentals import ADJUSTED, FEATURES, INDUSTRY_VALUES, QUARTER_VALUES, SIN
+from factorloom.plans.formulas import FORMULAS, INDUSTRY, INDUSTRY_STEPS, STEPS, parsed
 from factorloom.sources.adapters import INPUTS, STATEMENTS
 from factorloom.sources.readers import FILING_VALUES
 
@@ -46,31 +46,27 @@ def _trailing() -> str:
 
 def _fundamentals() -> str:
     v = ", ".join(f"'{c}': f.{c}" for c in FILING_VALUES)
-    q = ", ".join(f"'{c}': f.{c}" for c in QUARTER_VALUES)
-    quarters = ", ".join(f"arg_max({{{q}}}, f.datekey) FILTER (WHERE f.qidx = c.qidx - {i}) AS q{i}" for i in range(8))
-    flat = ", ".join([*(f"p.{c} AS p_{c}" for c in FILING_VALUES), *(f"q{i}.{c} AS q{i}_{c}" for i in range(8) for c in QUARTER_VALUES), *(f"q{i} IS NOT NULL AS has_q{i}" for i in range(8)), "p IS NOT NULL AS has_p"])
-    cells = ", ".join(f"CASE WHEN ready THEN {e} END AS {k}" for k, e in FEATURES.items())
-    sins = ", ".join(f"'{x}'" for x in SIN)
+    quarters = ", ".join(f"arg_max({{{v}}}, f.datekey) FILTER (WHERE f.qidx = c.qidx - {i}) AS q{i}" for i in range(8))
+    steps = ", ".join(f"{e} AS {k}" for k, e in parsed(STEPS).items())
+    cells = ", ".join(f"CASE WHEN ready THEN {e} END AS {k}" for k, e in parsed(FORMULAS).items())
     return f"""
 w AS (SELECT c.ticker, c.calendardate, c.datekey, arg_max({{{v}}}, f.datekey) FILTER (WHERE f.qidx = c.qidx - 4) AS p, {quarters}
       FROM filled c JOIN filled f ON f.ticker = c.ticker AND f.qidx BETWEEN c.qidx - 7 AND c.qidx AND f.datekey <= c.datekey GROUP BY ALL),
-x AS (SELECT c.*, m.industry, m.firstpricedate, {flat}, c.calendardate >= last_day(min(c.calendardate) OVER (PARTITION BY c.ticker) + INTERVAL 12 MONTH) AS ready
+x AS (SELECT c.*, m.industry, m.firstpricedate, w.* EXCLUDE (ticker, calendardate, datekey), c.calendardate >= last_day(min(c.calendardate) OVER (PARTITION BY c.ticker) + INTERVAL 12 MONTH) AS ready
       FROM filled c JOIN w USING (ticker, calendardate, datekey) JOIN metadata m ON m.ticker = c.ticker),
-featured AS (SELECT {", ".join(["ticker", "calendardate", "datekey", "is_filled", "industry", *(c for c in FILING_VALUES)])}, {cells},
-      CASE WHEN ready THEN CASE WHEN industry IN ({sins}) THEN 1 ELSE 0 END END AS sin, CASE WHEN ready THEN round((datekey - firstpricedate) / 365.0) END AS company_age,
-      CASE WHEN ready THEN CASE WHEN datekey - firstpricedate <= 365 THEN 1 ELSE 0 END END AS ipo FROM x)"""
+stepped AS (SELECT *, {steps} FROM x),
+featured AS (SELECT {", ".join(["ticker", "calendardate", "datekey", "is_filled", "industry", *FILING_VALUES])}, {cells} FROM stepped)"""
 
 
 def _industry() -> str:
-    own = ", ".join(f"{e} AS v_{k}" for k, e in INDUSTRY_VALUES.items())
-    means = ", ".join(f"avg(v_{k}) AS a_{k}" for k in INDUSTRY_VALUES)
-    above = " + ".join(f"CASE WHEN v_{k} > a_{k} THEN 1 ELSE 0 END" for k in ("roa", "cash_roa", "rnd", "capex", "sgna"))
+    steps = parsed(INDUSTRY_STEPS)
+    means = ", ".join(f"avg({k}) AS {k}" for k in steps)
     return f"""
-own AS (SELECT *, {own} FROM featured WHERE industry IS NOT NULL),
+own AS (SELECT *, {", ".join(f"{e} AS {k}" for k, e in steps.items())} FROM featured WHERE industry IS NOT NULL),
 means AS (SELECT industry, calendardate, {means}, CASE WHEN bool_or(revenueusd IS NULL) THEN NULL ELSE sum(revenueusd * revenueusd) / nullif(sum(revenueusd) * sum(revenueusd), 0) END AS herf
           FROM (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY industry, calendardate, ticker ORDER BY datekey) = 1) GROUP BY ALL),
-industries AS (SELECT ticker, calendardate, datekey, {", ".join(f"v_{k} - a_{k} AS {a}" for a, k in ADJUSTED.items())}, herf,
-          CASE WHEN assetsavg = 0 OR netinc = 0 THEN NULL ELSE {above} + CASE WHEN ncfo > netinc THEN 1 ELSE 0 END END AS ms FROM own JOIN means USING (industry, calendardate))"""
+industries AS (SELECT own.ticker, own.calendardate, own.datekey, {", ".join(f"{e} AS {k}" for k, e in parsed(INDUSTRY).items())}
+          FROM own JOIN means AS m ON m.industry = own.industry AND m.calendardate = own.calendardate)"""
 
 
 def _size(x: str = "mve") -> str:

@@ -381,14 +381,19 @@ def trade_statistics(spark, d):
 
 # portfolio statistics
 
-SERIES_SQL = with_parts("filled_days") + _FWD + """, pair AS (SELECT month, avg(monthly_return) AS market, avg(monthly_return) FILTER (WHERE CAST(ticker AS INT) % 3 = 0) AS portfolio FROM fwd GROUP BY month)
+SERIES_SQL = with_parts("bars", "filled_days") + _FWD + """, traded AS (SELECT ticker, last_day(date) AS month_end, sum(close * volume) AS dollars FROM bars GROUP BY ALL),
+pair AS (SELECT month, avg(monthly_return) AS market, sum(monthly_return * coalesce(dollars, 0)) / nullif(sum(coalesce(dollars, 0)), 0) AS portfolio FROM fwd LEFT JOIN traded ON traded.ticker = fwd.ticker AND month_end = last_day(month) GROUP BY month)
 """
 
 
 def monthly_pair(spark, d):
-    fwd = timeseries.monthly_forward_returns(timeseries.fill_days(domain(spark, d, "bars")), "close")
-    chosen = F.pmod(F.col("ticker").cast("int"), F.lit(3)) == 0
-    return fwd.groupBy("month").agg(F.avg("monthly_return").alias("market"), F.avg(F.when(chosen, F.col("monthly_return"))).alias("portfolio"))
+    """Monthly returns of all tickers: weighted equally (market), and by the dollars traded in the month (portfolio)."""
+    bars = domain(spark, d, "bars")
+    fwd = timeseries.monthly_forward_returns(timeseries.fill_days(bars), "close").withColumn("month_end", F.last_day("month"))
+    traded = bars.groupBy("ticker", F.last_day("date").alias("month_end")).agg(F.sum(F.col("close") * F.col("volume")).alias("dollars"))
+    weighed = fwd.where("monthly_return is not null").join(traded, ["ticker", "month_end"], "left").fillna(0.0, ["dollars"])
+    portfolio = F.try_divide(F.sum(F.col("monthly_return") * F.col("dollars")), F.sum("dollars"))
+    return weighed.groupBy("month").agg(F.avg("monthly_return").alias("market"), portfolio.alias("portfolio"))
 
 
 @query(SERIES_SQL + "SELECT " + ", ".join(r(e, 6, n) for e, n in (("corr(portfolio, market)", "correlation"), ("avg(portfolio)", "mean"), ("stddev_samp(portfolio)", "std"), ("avg(market)", "mean_market"), ("stddev_samp(market)", "std_market"))) + " FROM pair")

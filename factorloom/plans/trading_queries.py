@@ -141,7 +141,7 @@ SELECT n, {r('t')}, {r('low', 6, 'critical')}, {r(f"1 - {_CDF.format(x='t')}", 6
 
 @query(_TEST)
 def mean_return_test(spark, d):
-    """One-sided test of the mean monthly return of a third of the tickers."""
+    """One-sided test of the mean monthly return of the portfolio."""
     return statistics.t_test(monthly_pair(spark, d), "portfolio")
 
 

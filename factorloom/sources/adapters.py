@@ -49,8 +49,9 @@ FROM {orders} GROUP BY o_custkey, last_day(make_date(year(o_orderdate), quarter(
 """
 
 METADATA = """
-SELECT CAST(s_suppkey AS STRING) AS ticker, CASE WHEN s_suppkey % 10 = 9 THEN 'OTHER' ELSE 'SF1' END AS source_table, n_name AS industry, r_name AS sector,
-       CAST(n_nationkey * 100 AS INT) AS siccode, CAST(f.first AS DATE) AS firstpricedate
+SELECT CAST(s_suppkey AS STRING) AS ticker, CASE WHEN s_suppkey % 10 = 9 THEN 'OTHER' ELSE 'SF1' END AS source_table,
+       CASE n_nationkey WHEN 3 THEN 'Tobacco' WHEN 11 THEN 'Gambling' ELSE n_name END AS industry, r_name AS sector, CAST(n_nationkey * 100 AS INT) AS siccode,
+       CAST(f.first AS DATE) + CAST(900 * CAST(s_suppkey % 4 = 1 AS INT) AS INT) AS firstpricedate
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 JOIN (SELECT l_suppkey, min(CAST(l_shipdate AS DATE)) AS first FROM {lineitem} GROUP BY l_suppkey) AS f ON f.l_suppkey = s_suppkey
 """
