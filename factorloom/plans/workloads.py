@@ -20,8 +20,8 @@ def known_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def priced_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known bars with adjusted prices, returns and the two small aggregates joined back."""
-    bars = timeseries.price_returns(timeseries.adjust_backward(known_bars(spark, sf_dir)))
+    """Known bars with adjusted prices and returns, staged once, and the two small aggregates of them joined back."""
+    bars = staged(timeseries.price_returns(timeseries.adjust_backward(known_bars(spark, sf_dir))))
     return timeseries.industry_momentum(timeseries.market_return(bars))
 
 

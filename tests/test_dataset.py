@@ -250,3 +250,13 @@ def test_lags_know_no_later_filing(spark):
 
 def test_every_sql_has_its_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_barriers_from_a_carried_price(spark, path):
+    """Samples that carry their price have the same labels as those that look it up."""
+    bare = samples(spark)
+    priced = bare.join(path.select("ticker", "date", "adj_close"), ["ticker", "date"], "left")
+    a, b = (labels.triple_barrier(s, path).select(*bare.columns, "date_of_touch", "return_tbm", "primary_label_tbm") for s in (bare, priced.where("adj_close is not null")))
+    assert b.count() > 0 and b.exceptAll(a).count() == 0
+    plan = labels.triple_barrier(priced, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
