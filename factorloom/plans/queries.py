@@ -525,4 +525,4 @@ def stream_exits(spark, d):
 
 
 # queries of these modules register themselves
-from factorloom.plans import dataset_queries, key_queries, model_queries, profile_queries, source_queries, stored_queries, stream_queries, trading_queries  # noqa: E402, F401
+from factorloom.plans import dataset_queries, key_queries, model_checks, model_queries, profile_queries, source_queries, stored_queries, stream_queries, trading_queries  # noqa: E402, F401
