@@ -75,21 +75,27 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label_col: str, id_
     return documents.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(chosen, "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
 
+def rounded_features(texts: list[str | None]) -> np.ndarray:
+    """Features of texts in half precision, for sample and scored texts alike: a text of the sample is its own nearest neighbour."""
+    return np.stack([quality_features(t).astype(np.float16) for t in texts])
+
+
 def fit_quality(documents: DataFrame, labels: DataFrame, learn, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 1536, dims: int = 64, neighbours: int = 9, power: float = 3.0) -> LatentModel:
     """Fit on a bounded sample: at most ``per_class`` labelled texts a class.
 
-    ``learn`` takes a column name and gives the condition for ids that may be learnt from. Without any
+    ``learn`` takes a column name and gives the condition for ids that may be learnt from. The sample is in order of its texts' digests, which
+    decides between equal neighbours, so ids have no part in a score. Without any
     labelled text every score is 0.5.
     """
     small_batches(documents.sparkSession)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [quality_features(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
+            rows = [x.tobytes() for t in batch.column(1).to_pylist() for x in rounded_features([t])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["y", "x"])
 
     sample = labelled_sample(documents, labels, label_col, id_col, text_col, learn, per_class)
-    rows = sample.select("_id", F.col("_label").cast("int").alias("_label"), "_text").orderBy("_id").select("_label", "_text").mapInArrow(features, "y int, x binary").collect()
+    rows = sample.select(F.col("_label").cast("int").alias("_label"), "_text").orderBy(F.sha2("_text", 256), "_label").mapInArrow(features, "y int, x binary").collect()
     y = np.array([r["y"] for r in rows], np.float32)
     width = len(quality_features(""))
     if not len(y):
@@ -115,7 +121,7 @@ def quality_scores(df: DataFrame, model: LatentModel, text_col: str = "text", ke
             texts = batch.column(batch.num_columns - 1).to_pylist()
             if not texts:
                 continue
-            s = np.clip(fitted.value.score(np.stack([quality_features(t) for t in texts])), 0.0, 1.0).astype(np.float64)
+            s = np.clip(fitted.value.score(rounded_features(texts).astype(np.float32)), 0.0, 1.0).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 
     schema = schema_with(df, keep, "score double, predicted int")
