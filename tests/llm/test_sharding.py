@@ -69,7 +69,7 @@ def test_groups_come_together_from_hashed_shards(spark, singles):
     assert sum(len(v) for v in last.values()) <= len(sizes) + 15
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_cut_of_small_tables_is_within_one_of_the_best(spark, seed):
     """Best partitions of 16 rows over 4 shards of 4: (4, 4, 3, 3): no group is cut; (5, 5, 3): one cut for each of the larger; (6, 6, 4): likewise."""
     for sizes, best in (((4, 4, 3, 3), 4), ((5, 5, 3), 5), ((6, 6, 4), 5), ((2,) * 8, 8)):
