@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.expressions import no_nan
 from factorloom.functions.stages import shared_folder, staged
-from factorloom.operators import asof, dataset, folds, fundamentals, labels, models, reports, sampling, signals, statistics, timeseries, trades
+from factorloom.operators import asof, dataset, folds, fundamentals, labels, reports, sampling, signals, statistics, timeseries, trades
 from factorloom.plans import workloads as W
 from factorloom.plans.oracles import r, size_sql, trailing_sql, with_parts
 from factorloom.plans.registry import ORACLES, QUERIES, cols, query
