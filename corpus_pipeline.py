@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and all but the last return the columns of ``docs``. A stage works on
 what its predecessor kept, written as Parquet and read again. Null texts count as empty texts, repeated
-rows as copies, other columns are carried along, and an empty table passes through.
+rows as copies, other columns are carried along, and an empty table passes through. Of near-duplicates the one with the least id
+stays, then the one with the least text hash; other ties are decided by hashes, so reruns agree.
 """
 
 from __future__ import annotations
