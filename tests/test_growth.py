@@ -1,9 +1,12 @@
 """Work that must not grow with rows where it needn't: copies, shuffles, files written."""
 
+from datetime import date as day
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from factorloom.operators import sampling
+from factorloom.operators import profiles, sampling, timeseries
 
 
 def test_walk_copies_once_a_batch():
@@ -11,3 +14,24 @@ def test_walk_copies_once_a_batch():
     batch = pa.RecordBatch.from_arrays([pa.array(days).cast(pa.date32()), pa.array(days - days % 90).cast(pa.date32()), pa.array(days)], names=["date", "datekey", "x"])
     got = list(sampling.walk_batches(iter([batch.slice(0, 2500), batch.slice(2500)]), 20))
     assert sum(b.num_rows for b in got) > 100 and len(got) <= 6  # two copies, and the days held at the ends
+
+
+def test_means_by_date_leave_the_bars_where_they_are(spark):
+    bars = spark.range(3_000_000).selectExpr("cast(id % 1000 as string) as ticker", "date_add(date '2000-01-01', cast(id div 1000 as int)) as date", "'x' as industry", "cast(id as double) as mom1w", "cast(id as double) as mom12m_actual")
+    for df in (timeseries.market_return(bars), timeseries.industry_momentum(bars)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_month_ends_are_the_month_end_samples(spark):
+    rows = [(t, d) for t, d in [("a", "2020-01-30"), ("a", "2020-01-31"), ("a", "2020-03-02"), ("b", "2020-01-05"), ("b", "2021-01-06"), ("a", None), (None, "2020-01-01")]]
+    bars = spark.createDataFrame(rows, "ticker string, date string").withColumn("date", F.col("date").cast("date"))
+    ends = sampling.with_month_ends(bars)
+    pairs = lambda df: sorted((r.ticker or "", str(r.date)) for r in df.collect())
+    assert pairs(ends.where("month_end")) == pairs(sampling.month_end_samples(bars)) and ends.where("month_end is null").count() == 0
+
+
+def test_distinct_counts_of_large_slices_are_exact(spark):
+    df = spark.range(40_000).selectExpr("cast(id % 20000 as string) as who", "date '2020-01-31' as month", "cast(id % 2 as string) as g")
+    spans = spark.createDataFrame([("s", day(2020, 1, 1), day(2020, 12, 31))], "span string, first date, last date")
+    assert {r.g: r.n for r in profiles.exact_over(df, "who", spans, "month", ["g"]).collect()} == {"0": 10_000, "1": 10_000}
