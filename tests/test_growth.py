@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from factorloom.operators import profiles, sampling, timeseries
+from factorloom.plans import trading_queries
+from factorloom.plans import workloads as W
 
 
 def test_walk_copies_once_a_batch():
@@ -35,3 +37,9 @@ def test_distinct_counts_of_large_slices_are_exact(spark):
     df = spark.range(40_000).selectExpr("cast(id % 20000 as string) as who", "date '2020-01-31' as month", "cast(id % 2 as string) as g")
     spans = spark.createDataFrame([("s", day(2020, 1, 1), day(2020, 12, 31))], "span string, first date, last date")
     assert {r.g: r.n for r in profiles.exact_over(df, "who", spans, "month", ["g"]).collect()} == {"0": 10_000, "1": 10_000}
+
+
+def test_accounts_make_bars_once(spark):
+    entries, balances = trading_queries._accounts(spark, "/root/testdata/sf0.001")
+    book = W.trade_book(spark, "/root/testdata/sf0.001")
+    assert not any("lineitem" in f for df in (entries, balances, *book) for f in df.inputFiles())
