@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from factorloom.operators import profiles, sampling, timeseries
+from factorloom.operators import dataset, profiles, sampling, timeseries
 from factorloom.plans import trading_queries
 from factorloom.plans import workloads as W
 
@@ -43,3 +43,15 @@ def test_accounts_make_bars_once(spark):
     entries, balances = trading_queries._accounts(spark, "/root/testdata/sf0.001")
     book = W.trade_book(spark, "/root/testdata/sf0.001")
     assert not any("lineitem" in f for df in (entries, balances, *book) for f in df.inputFiles())
+
+
+def test_statistics_take_one_aggregate_for_all_features(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, None), ("a", 3, None, None), (None, 5, 1.0, None)], "k string, x int, y double, z double")
+    got = dataset.statistics_by(df, ["k"], ["x", "y", "z"])
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("partial_avg(") == 1
+    assert {(r.k, r.feature): (r["mean"], r.n) for r in got.collect()} == {("a", "x"): (2.0, 2), ("a", "y"): (2.0, 1), ("a", "z"): (None, 0), (None, "x"): (5.0, 1), (None, "y"): (1.0, 1), (None, "z"): (None, 0)}
+
+
+def test_rows_on_sampled_days(spark):
+    rows = spark.createDataFrame([("a", "2020-01-01", 1), ("a", "2020-01-01", 2), ("a", "2020-01-02", 3), ("b", "2020-01-01", 4)], "ticker string, date string, x int").withColumn("date", F.col("date").cast("date"))
+    assert sorted(r.x for r in sampling.on_days(rows, rows.where("x = 1 or x = 2")).collect()) == [1, 2]
