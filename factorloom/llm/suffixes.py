@@ -176,8 +176,8 @@ def repeated_windows(contexts: list[bytes], repeated: list[bool], length: int) -
     return found, starts
 
 
-#: what a shard gives: flagged windows first to last of a context (part null), and windows that other shards may have
-FOUND = pa.schema([("anchor", pa.int64()), ("context", pa.binary()), ("first", pa.int32()), ("last", pa.int32()), ("part", pa.int32()), ("window", pa.int64()), ("alone", pa.bool_())])
+#: what a shard gives: flagged windows first to last of a context, windows that other shards may have (with a part), and the bytes of the contexts that have these
+FOUND = pa.schema([("anchor", pa.int64()), ("context", pa.binary()), ("first", pa.int32()), ("last", pa.int32()), ("part", pa.int32()), ("window", pa.int64()), ("alone", pa.bool_()), ("bytes", pa.binary())])
 
 
 class Shards:
@@ -207,14 +207,14 @@ class Shards:
         return out
 
     def flush(self) -> pa.RecordBatch | None:
-        """Flagged windows of each context, and the windows that other shards of an anchor may have, each once a shard."""
+        """Flagged windows of each context, and the windows that other shards of an anchor may have, each once a shard, with their contexts' bytes, so that no text is looked up again."""
         rows, repeated, self.rows, self.repeated, self.bytes = self.rows, self.repeated, [], [], 0
         if not rows:
             return None
         flags, starts = repeated_windows([r[4] for r in rows], repeated, self.length)
         edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))  # contexts end in places without windows
         of = np.searchsorted(starts, edge[::2], "right") - 1
-        out = [(of, edge[::2] - starts[of], edge[1::2] - starts[of], None)]
+        out, contexts = [(of, edge[::2] - starts[of], edge[1::2] - starts[of], None)], []
         for _, group in groupby((i for i, r in enumerate(rows) if r[2] > 1), key=lambda i: rows[i][:2]):
             here = list(group)
             hashes = [rolling(np.frombuffer(rows[i][4], np.uint8).astype(np.uint64), self.length) for i in here]
@@ -223,10 +223,13 @@ class Shards:
             windows, once = np.unique(np.concatenate(hashes).view(np.int64), return_index=True)
             at, of = at[once], of[once]
             out.append((of, at, at + 1, (windows % rows[here[0]][2], windows, ~flags[starts[of] + at])))
+            contexts += here
         tables = []
         for of, first, last, more in out:
             cells = more or ([None] * len(of),) * 3
-            tables.append([[rows[i][0] for i in of.tolist()], [rows[i][3] for i in of.tolist()], first, last, *cells])
+            tables.append([[rows[i][0] for i in of.tolist()], [rows[i][3] for i in of.tolist()], first, last, *cells, [None] * len(of)])
+        none = [None] * len(contexts)
+        tables.append([[rows[i][0] for i in contexts], [rows[i][3] for i in contexts], none, none, none, none, none, [rows[i][4] for i in contexts]])
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(t[k], kind) for t in tables]) for k, kind in enumerate(FOUND.types)], schema=FOUND)
 
 
@@ -356,15 +359,15 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
             yield out
 
     dealt = bytes_of(asked).repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "context", "copy")
-    compared = materialise(dealt.mapInArrow(compare, "anchor long, context binary, first int, last int, part int, window long, alone boolean"))
-    marks = compared.where("part is null").select("anchor", "context", "first", "last")
+    compared = materialise(dealt.mapInArrow(compare, "anchor long, context binary, first int, last int, part int, window long, alone boolean, bytes binary"))
+    marks = compared.where("part is null and bytes is null").select("anchor", "context", "first", "last")
 
     # windows that several shards of an anchor may have
     by_window = Window.partitionBy("anchor", "window")
     shared = compared.where("part is not null").withColumn("times", F.count("*").over(by_window)).withColumn("any", F.bool_or("alone").over(by_window)).where("times > 1 and any")
     shared = materialise(shared.select("anchor", "context", "first", "last", "part", "alone"))
     if not shared.isEmpty():
-        needed = bytes_of(asked.where("copy = 1").join(shared.select("anchor", "context").distinct(), ["anchor", "context"], "left_semi")).select("anchor", "context", "bytes")
+        needed = compared.where("bytes is not null").select("anchor", "context", "bytes")
         pieces = shared.join(needed, ["anchor", "context"]).withColumn("bytes", F.substring("bytes", F.col("first") + 1, F.lit(length)))
         marks = marks.union(pieces.groupBy("anchor", "part").applyInArrow(lambda t: merge_shards(t, length), "anchor long, context binary, first int, last int"))
 

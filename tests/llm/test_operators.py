@@ -751,3 +751,17 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out} <= want[2]
     counts = Counter(r.shard for r in out)
     assert max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_shards_give_the_bytes_that_other_shards_ask_for():
+    """op8: contexts of an anchor with several shards come with their bytes, so texts aren't shuffled a second time for them; other contexts don't."""
+    from factorloom.llm.suffixes import Shards
+
+    shards = Shards(8)
+    contexts = {b"a": b"abcdefghijkl", b"b": b"mnopqrstuvwx", b"c": b"0123456789"}
+    for anchor, several, name in ((1, 2, b"a"), (1, 2, b"b"), (2, 1, b"c")):
+        shards.add((anchor, 0, several, name, 1, contexts[name]))
+    got = shards.flush().to_pylist()
+    assert {(r["anchor"], r["context"]): r["bytes"] for r in got if r["bytes"] is not None} == {(1, b"a"): contexts[b"a"], (1, b"b"): contexts[b"b"]}
+    windows = [(r["context"], r["first"]) for r in got if r["part"] is not None]
+    assert sorted(windows) == [(n, i) for n in (b"a", b"b") for i in range(5)]
