@@ -17,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +150,8 @@ SKETCH = 8
 SAMPLE_TEXTS, FREQUENT, MOST_FREQUENT = 5_000, 3, 100_000
 #: members of one shingle that are compared in one block
 BLOCK = 4_096
+#: counts that are compared at once
+COMPARED = 4 << 20
 
 
 def parities(distinct: np.ndarray) -> np.ndarray:
@@ -157,6 +160,39 @@ def parities(distinct: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+#: sets of so many shingles have counts too: in larger ones the parities of unlike sets differ no more than those of like sets may
+COUNTED = 768
+
+
+def counted(distinct: np.ndarray) -> bytes | None:
+    """How many of a large set are in each of its hash buckets, some eight to sixteen on average: two sets' counts differ in sum by as much as the sets in shingles, at most."""
+    if len(distinct) < COUNTED:
+        return None
+    bits = min(len(distinct).bit_length() - 4, 10)  # a kilobyte at most, as every key carries it: of very large sets the bound is weaker
+    return np.minimum(np.bincount((distinct >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def laid_out(counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts end to end, where each set's begin and how many it has."""
+    lengths = pc.fill_null(pc.binary_length(counts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer(b"".join(c for c in counts.to_pylist() if c), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def counts_apart(laid: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how much the counts of sets x and y differ, the finer ones added up to the others' buckets; 0 if one has none."""
+    data, starts, lengths = laid
+    out = np.zeros(len(x), np.int64)
+    both = np.flatnonzero((lengths[x] > 0) & (lengths[y] > 0))
+    kinds, kind = np.unique(lengths[x[both]] << 32 | lengths[y[both]], return_inverse=True)
+    for k, joint in enumerate(kinds.tolist()):
+        wide, least = (joint >> 32, joint & 0xFFFFFFFF), min(joint >> 32, joint & 0xFFFFFFFF)
+        members = both[kind == k]
+        for part in np.array_split(members, -(-len(members) * max(wide) // COMPARED)):
+            a, b = (np.minimum(data[starts[z[part]][:, None] + np.arange(w)].reshape(len(part), least, -1).sum(axis=2, dtype=np.int32), 255) for z, w in zip((x, y), wide))
+            out[part] = np.abs(a - b).sum(axis=1)
+    return out
+
+
 def text_number(hashes: np.ndarray) -> int:
     """A number for texts of equal shingles, repeats included."""
     import xxhash
@@ -165,26 +201,26 @@ def text_number(hashes: np.ndarray) -> int:
 
 
 def described(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, row_key, fp3, same, n, sketch, sample): the contract's fingerprint, ``text_number``, distinct shingles and their parities; the shingles themselves of some texts."""
+    """(doc_id, row_key, fp3, same, n, sketch, counts, sample): the contract's fingerprint, ``text_number``, distinct shingles, their parities and counts; the shingles themselves of some texts."""
     small_batches(df.sparkSession)
     one_in = max(1, df.count() // SAMPLE_TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short, out = [], [[], [], [], []]
+            short, out = [], [[], [], [], [], []]
             for three, h in shingle_hashes(batch.column(2).to_pylist(), 3, shingle):
                 short.append(three)
                 same, distinct = text_number(h), np.unique(h)
                 sample = distinct.view(np.int64) if same % one_in == 0 else None
-                for into, x in zip(out, (same, len(distinct), parities(distinct), sample)):
+                for into, x in zip(out, (same, len(distinct), parities(distinct), counted(distinct), sample)):
                     into.append(x)
             out.insert(0, majority_bits(short).view(np.int64))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, k) for x, k in zip(out, kinds))], names=["doc_id", "row_key", "fp3", "same", "n", "sketch", "sample"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, k) for x, k in zip(out, kinds))], names=["doc_id", "row_key", "fp3", "same", "n", "sketch", "counts", "sample"])
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, row_key string, fp3 long, same long, n int, sketch array<long>, sample array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, row_key string, fp3 long, same long, n int, sketch array<long>, counts binary, sample array<long>")
 
 
 def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -232,11 +268,15 @@ def shared_prefixes(rows: DataFrame, df: DataFrame, text_col: str, shingle: int,
     return dealt.withColumn("first", F.min("same").over(every)).withColumn("last", F.max("same").over(every)).where("first < last").select("key", "same").distinct()
 
 
+def most_apart(both: np.ndarray | Column, similarity: float) -> np.ndarray | Column:
+    """Shingles in which two sets that have so many together differ at most, if they have the similarity."""
+    return both * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def alike(similarity: float) -> Column:
     """Whether the sizes and parities of a and b (n_a, n_b, s_a, s_b) allow the similarity; never false if they have it."""
     apart = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH)), F.lit(0))
-    both = F.col("n_a") + F.col("n_b")
-    return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (apart <= most_apart(F.col("n_a") + F.col("n_b"), similarity))
 
 
 def centre_pairs(shared: DataFrame, unique: DataFrame, similarity: float) -> DataFrame:
@@ -245,15 +285,24 @@ def centre_pairs(shared: DataFrame, unique: DataFrame, similarity: float) -> Dat
     centres = ranked.groupBy("key").agg(F.max(F.struct("count", "same")).alias("c")).select("key", F.col("c.same").alias("b"))
     pairs = shared.join(centres, "key").where("same <> b").select(F.least("same", "b").alias("a"), F.greatest("same", "b").alias("b")).distinct()
     side = lambda x: unique.select(F.col("same").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike(similarity)).select("a", "b")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(alike(similarity)).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"))
+    large = lambda x: unique.where("counts is not null").select(F.col("same").alias(x), F.col("counts").alias(f"c_{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.arange(len(batch))
+            apart = counts_apart(laid_out(pa.concat_arrays([batch.column(3), batch.column(4)])), at, at + len(batch))
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most_apart(batch.column(2).to_numpy(), similarity)))
+
+    return near.join(large("a"), "a", "left").join(large("b"), "b", "left").select("a", "b", "both", "c_a", "c_b").mapInArrow(run, "a long, b long")
 
 
 #: pairs that are compared at once
 PAIRS = 500_000
 
 
-def block_pairs(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, own: np.ndarray, same: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs of unequal components that sizes and parities allow, as rows (a, b, least) with a < b, over groups of members laid end to end.
+def block_pairs(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, own: np.ndarray, same: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float, counts: pa.Array | None = None) -> Iterator[np.ndarray]:
+    """Pairs of unequal components that sizes, parities and counts allow, as rows (a, b, least) with a < b, over groups of members laid end to end.
 
     Group g has ``sizes[g]`` members; those of block i[g] meet those of block j[g]. ``least`` is how many keys such a pair must
     share: beyond the prefix that ends first, its text has ceil(similarity * n) - 1 shingles only.
@@ -262,6 +311,7 @@ def block_pairs(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, own: np.ndarray
     left, right = np.flatnonzero(own == i[group]), np.flatnonzero(own == j[group])
     begin, end = np.searchsorted(group[right], np.arange(len(sizes))), np.searchsorted(group[right], np.arange(len(sizes)), "right")
     met = (end - begin)[group[left]]
+    laid = None if counts is None else laid_out(counts)
     pieces = np.flatnonzero(np.diff(np.cumsum(met) // PAIRS, prepend=0))
     for part in np.split(np.arange(len(left)), pieces):
         x = np.repeat(left[part], met[part])
@@ -272,34 +322,63 @@ def block_pairs(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, own: np.ndarray
         apart = np.zeros(len(x), np.int64)
         for word in sketch.view(np.uint64).T:  # bitwise_count takes the absolute value of signed numbers
             apart += np.bitwise_count(word[x] ^ word[y])
-        near = apart <= (n[x] + n[y]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        near = apart <= most_apart(n[x] + n[y], similarity)
         x, y = x[near], y[near]
+        if laid is not None:
+            near = counts_apart(laid, x, y) <= most_apart(n[x] + n[y], similarity)
+            x, y = x[near], y[near]
         least = np.ceil((n[x] + n[y]) * (similarity / (1 + similarity)) - 1e-6) - np.ceil(similarity * np.maximum(n[x], n[y]) - 1e-9) + 1
         yield np.stack([np.minimum(same[x], same[y]), np.maximum(same[x], same[y]), least.astype(np.int64)], axis=1)
 
 
+#: rows of pairs that a task adds up before it passes them on
+HELD = 200_000
+
+
+def added_up(found: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b, least, k), one for each (a, b, least) with the sum of k."""
+    rows = np.concatenate([np.zeros((0, 4), np.int64), *found])
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort(rows[:, 2::-1].T)]
+    first = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
+    return np.column_stack([rows[first, :3], np.add.reduceat(rows[:, 3], first)])
+
+
+def met_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, least, k) over groups of members (i, j, members): ``block_pairs`` with the number of groups in which they met, added up over many batches."""
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=["a", "b", "least", "k"])
+    held: list[np.ndarray] = []
+    for batch in batches:
+        lists = batch.column(2)
+        own, same, component, n = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        sketch, counts = lists.flatten().field(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH), lists.flatten().field(5)
+        i, j, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        for pairs in block_pairs(i, j, sizes, own, same, component, n, sketch, similarity, counts):
+            held.append(added_up([np.column_stack([pairs, np.ones(len(pairs), np.int64)])]))
+            if sum(map(len, held)) > HELD:
+                held = [added_up(held)]
+                if len(held[0]) > HELD // 2:
+                    yield table(held.pop())
+    if held:
+        yield table(added_up(held))
+
+
 def open_pairs(shared: DataFrame, unique: DataFrame, groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """(a, b): all pairs that share enough keys, are in different groups so far, and may have the similarity.
 
     The members of a key are dealt to blocks and every two blocks meet in a task of their own, so a frequent key is no single task.
     """
-    placed = unique.join(groups, unique["same"] == groups["node"], "left").select("same", F.coalesce("component", "same").alias("component"), "n", "sketch")
+    placed = unique.join(groups, unique["same"] == groups["node"], "left").select("same", F.coalesce("component", "same").alias("component"), "n", "sketch", "counts")
     joined = materialise(shared.join(placed.select("same", "component"), "same"))
     open_ = joined.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
     parted = join_split(joined.select("key", "same"), open_.select("key", F.ceil(F.col("members") / F.lit(block)).cast("int").alias("blocks")), ["key"])
     parted = materialise(parted.select("key", "same", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int").alias("own"), "blocks"))
     dealt = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(placed, "same")
-    met = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "same", "component", "n", "sketch")).alias("members"))
+    met = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "same", "component", "n", "sketch", "counts")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            own, same, component, n = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            sketch = lists.flatten().field(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
-            i, j, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
-            found = [np.zeros((0, 3), np.int64), *block_pairs(i, j, sizes, own, same, component, n, sketch, similarity)]
-            pairs, k = np.unique(np.concatenate(found), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in pairs.T), pa.array(k.astype(np.int64))], names=["a", "b", "least", "k"])
+        return met_pairs(batches, similarity)
 
     small_batches(shared.sparkSession)
     return met.select("i", "j", "members").mapInArrow(run, "a long, b long, least long, k long").groupBy("a", "b", "least").agg(F.sum("k").alias("k")).where("k >= least").select("a", "b")
@@ -331,7 +410,7 @@ def similar_groups(rows: DataFrame, links: DataFrame, df: DataFrame, id_col: str
     keys, which joins most groups in few pairs; then all pairs that share a key and are still in different
     groups are compared, whatever their number. Pairs are discarded only by bounds that hold always.
     """
-    unique = materialise(rows.where("n > 0").groupBy("same").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("row_key").alias("row_key")))
+    unique = materialise(rows.where("n > 0").groupBy("same").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("counts").alias("counts"), F.min("row_key").alias("row_key")))
     shared = materialise(shared_prefixes(rows, df, text_col, shingle, similarity))
     how = (unique, df, id_col, text_col, shingle, similarity)
     groups = materialise(components(links.unionByName(verified(centre_pairs(shared, unique, similarity), *how))))

@@ -448,6 +448,66 @@ def test_bounds_keep_similar_sets():
     assert kept > 300
 
 
+def test_counts_keep_similar_sets():
+    rng, kept = np.random.default_rng(2), 0
+    for _ in range(300):
+        n = int(rng.integers(700, 6_000))
+        a = rng.integers(0, 2**64, n, np.uint64) >> np.uint64(rng.integers(0, 3) * 3)  # some leave most buckets empty and fill others to the brim
+        b = np.concatenate([a[: int(rng.uniform(0.78, 1) * n)], rng.integers(0, 2**64, int(rng.integers(0, 1 + n // 5)), np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        laid = simhash.laid_out(pa.array([simhash.counted(a), simhash.counted(b)], pa.binary()))
+        (apart,) = simhash.counts_apart(laid, np.array([0]), np.array([1]))
+        assert apart <= len(np.setxor1d(a, b))
+        kept += apart > 0
+    assert kept > 200
+
+
+def members(sets, groups):
+    """``groups`` equal groups of all sets, as met in tasks."""
+    row = [{"own": 0, "same": i, "component": i, "n": len(x), "sketch": simhash.parities(x).tolist(), "counts": simhash.counted(x)} for i, x in enumerate(sets)]
+    kind = pa.list_(pa.struct({"own": pa.int64(), "same": pa.int64(), "component": pa.int64(), "n": pa.int32(), "sketch": pa.list_(pa.int64()), "counts": pa.binary()}))
+    zero = pa.array([0] * groups, pa.int32())
+    return pa.RecordBatch.from_arrays([zero, zero, pa.array([row] * groups, kind)], names=["i", "j", "members"])
+
+
+def test_large_unlike_sets_are_no_pairs():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in [*range(1_000, 1_800, 40), *range(2_000, 9_000, 200)]]
+    sets[-1] = np.unique(np.append(sets[-2][:-300], rng.integers(0, 2**64, 200, np.uint64)))
+    batch = members(sets, 3)
+    assert {(r["a"], r["b"], r["k"]) for b in simhash.met_pairs(iter([batch, batch]), 0.8) for r in b.to_pylist()} == {(len(sets) - 2, len(sets) - 1, 6)}
+
+
+def test_pairs_of_many_keys_are_added_up_in_a_task(monkeypatch):
+    rng = np.random.default_rng(4)
+    whole = rng.integers(0, 2**64, 200, np.uint64)
+    batch = members([np.sort(np.delete(whole, i)) for i in range(6)], 4)
+    for held, rows in ((200_000, 15), (1, 150)):
+        monkeypatch.setattr(simhash, "HELD", held)
+        got = [r for b in simhash.met_pairs(iter([batch] * 10), 0.8) for r in b.to_pylist()]
+        k = Counter()
+        for r in got:
+            k[r["a"], r["b"]] += r["k"]
+        assert len(got) == rows and set(k.values()) == {40} and len(k) == 15
+    assert list(simhash.met_pairs(iter([]), 0.8)) == []
+
+
+def test_near_copies_of_long_texts(spark):
+    rng = random.Random(15)
+    word = lambda: f"v{rng.randrange(5_000)}"
+    passage = [word() for _ in range(150)]
+    table = []
+    for n in (700, 780, 950, 1_020, 1_500, 2_030, 2_100, 4_000):
+        for part in (0.005, 0.02, 0.024, 0.03):  # each edit changes five shingles: similarity about 0.95 to 0.74
+            a = [word() for _ in range(n - 150)] + passage
+            b = list(a)
+            for at in rng.sample(range(n), int(n * part)):
+                b[at] = word()
+            table += [" ".join(a), " ".join(b + [word() for _ in range(5)])]
+    kept, want = kept_and_wanted(spark, table)
+    assert kept == want and 32 < len(want) < 60
+
+
 def test_near_copies_of_short_texts(spark):
     rng = random.Random(13)
     word = lambda: f"v{rng.randrange(2_000)}"
