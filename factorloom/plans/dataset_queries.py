@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factorloom.functions.expressions import rounded_double
 from factorloom.operators import dataset
 from factorloom.plans import workloads as W
 from factorloom.plans.oracles import r, size_sql, trailing_sql, with_parts
@@ -72,5 +73,5 @@ TRAINING_SQL = TRAINING_ROWS_SQL + f"""SELECT * REPLACE ({", ".join(_digits(f, f
 def training_table(spark, d):
     """The final dataset: base columns, the features of the models with nulls drawn, labels."""
     out = dataset.ordered(W.training_table(spark, d))
-    return out.select(*[digits(c) if c in _FILLED else F.round(c, 6).alias(c) if c in _LABELS else F.col(c) for c in out.columns])
+    return out.select(*[digits(c) if c in _FILLED else rounded_double(F.col(c), 6).alias(c) if c in _LABELS else F.col(c) for c in out.columns])
 
