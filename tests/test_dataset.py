@@ -276,4 +276,7 @@ def test_rounding_is_the_other_engines(spark):
     assert got[-1] is None and math.isnan(got[-2])
     want = [r[0] for r in duckdb.execute("SELECT round(x, 6) + 0.0 FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()]
     assert expressions.rounded(spark.createDataFrame([(4187.14,)], "x double"), 12).first().x == 4187.14
+    short = [4294967296.07 + i * 1e9 + i / 100 for i in range(500)]
+    short = [round(x, 2) for x in short]
+    assert [r.x for r in expressions.rounded(spark.createDataFrame([(x,) for x in short], "x double").coalesce(1), 6).collect()] == short
     assert [got[i] for i in range(len(values))] == want and not any(math.copysign(1, got[i]) < 0 for i in range(len(values)) if got[i] == 0)
